@@ -1 +1,14 @@
 """The registered queries with their equivalent SQL."""
+
+from __future__ import annotations
+
+from causeway.catalog import impacts, incidents, scalars, timing  # noqa: F401
+from causeway.catalog.registry import QUERIES, SQL
+
+
+def queries():
+    return dict(QUERIES)
+
+
+def oracle_sql():
+    return dict(SQL)

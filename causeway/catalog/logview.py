@@ -106,7 +106,7 @@ EN = (
     f"regexp_matches(rc, {quote(RECOVERY_PATTERN)}, 'i') AS is_recovery, "
     + ", ".join(f"regexp_matches(rc, {quote(p)}, 'i') AS f_{t}" for t, p in TAG_PATTERNS.items()) + " FROM l2),\n"
     "en AS (SELECT *, is_error OR " + " OR ".join(f"f_{t}" for t in TAGS) + " AS is_anomaly, "
-    "list_filter([" + ", ".join(f"CASE WHEN f_{t} THEN '{t}' END" for t in TAGS) + "], x -> x IS NOT NULL) AS tags FROM l3)"
+    "list_filter([" + ", ".join(f"CASE WHEN f_{t} THEN '{t}' END" for t in TAGS) + "], lambda x: x IS NOT NULL) AS tags FROM l3)"
 )
 LEVEL_WORD = quote(LEVEL_PATTERN)
 
