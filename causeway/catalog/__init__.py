@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from causeway.catalog import impacts, incidents, scalars, timing  # noqa: F401
+from causeway.catalog import impacts, incidents, scalars, sources, summaries, texts, timing  # noqa: F401
 from causeway.catalog.registry import QUERIES, SQL
 
 

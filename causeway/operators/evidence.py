@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causeway import schema as S
 from causeway.functions.hosts import host_class, url_host
+from causeway.plans.once import compute_once
 from causeway.plans.scaling import top_k, with_scope
 from causeway.rules import EVIDENCE_PATTERNS
 
@@ -20,11 +21,13 @@ def network_evidence(df: DataFrame, scope=(), columns: list[str] | None = None,
     columns = S.text_columns(df) if columns is None else columns
     text = F.concat_ws(_BARRIER, *[F.col(f"`{c}`") for c in columns])
     prefix = "(?i)" if ignore_case else ""
-    rows = with_scope(df, scope).select(*scope, text.alias("_text"))
-    found = F.concat(*[
-        F.transform(F.regexp_extract_all("_text", F.lit(prefix + p), F.lit(0)),
-                    lambda v, kind=kind: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
-        for kind, p in EVIDENCE_PATTERNS.items()])
+    rows = compute_once(with_scope(df, scope), {"_text": text}).select(*scope, "_text")
+
+    def values(kind: str, pattern: str) -> Column:
+        hits = F.regexp_extract_all("_text", F.lit(prefix + pattern), F.lit(0))
+        return F.transform(hits, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    found = F.concat(*[values(kind, p) for kind, p in EVIDENCE_PATTERNS.items()])
     return rows.select(*scope, F.explode(found).alias("e")).select(*scope, "e.kind", "e.value").distinct()
 
 

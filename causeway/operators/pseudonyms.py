@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from causeway.plans.once import compute_once
 from causeway.plans.scaling import attach, materialize, running_total
 from causeway.rules import PSEUDONYM_KINDS
 
@@ -63,7 +64,7 @@ def pseudonymize(df: DataFrame, text: str, order: str, scope=()) -> tuple[DataFr
     """
     scope = list(scope)
     any_hit = reduce(lambda a, b: a | b, [F.col(text).rlike(_pattern(k)[0]) for k in PSEUDONYM_KINDS])
-    work = df.where(any_hit).select(*scope, order, text)
+    work = compute_once(df.select(*scope, order, text), {text: F.col(text)}).where(any_hit)
     names = []
     for kind in PSEUDONYM_KINDS:
         work = materialize(work, f"pseudonyms-{kind}-text")

@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from causeway.rules import REPLY_KEYS, REPLY_SECTIONS
 
@@ -23,7 +24,12 @@ def _salvage(text: str) -> tuple[str, object] | None:
     return None
 
 
-@F.pandas_udf("struct<body:string,keys:array<string>,kind:string>")
+_REPAIRED = T.StructType([
+    T.StructField("body", T.StringType()), T.StructField("keys", T.ArrayType(T.StringType())),
+    T.StructField("kind", T.StringType())])
+
+
+@F.pandas_udf(_REPAIRED)
 def _repair(texts: pd.Series) -> pd.DataFrame:
     def one(text):
         if text is None:
@@ -48,9 +54,10 @@ def audit_replies(df: DataFrame, text: str) -> DataFrame:
     from the right until they parse.
     """
     c = F.col(text)
-    # Strict JSON only: no apostrophes as quotes, no raw control characters, nothing around it.
-    plain = c.startswith("{") & c.endswith("}") & ~c.rlike(r"[\x00-\x1f']") & F.json_object_keys(c).isNotNull()
-    whole = c.rlike(r"^\{.*\}$") & F.coalesce(plain, F.lit(False)) & (F.get_json_object(c, "$").isNotNull())
+    # Strict JSON with nothing around it: as the only element of an array it must still parse.
+    listed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    whole = (listed.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+             & F.json_object_keys(c).isNotNull())
     df = df.withColumn("_whole", F.coalesce(whole, F.lit(False)))
     df = df.withColumn("_fix", _repair(F.when(~F.col("_whole") & (c != ""), c)))
     body = F.when(F.col("_whole"), c).otherwise(F.col("_fix.body"))

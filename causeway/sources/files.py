@@ -57,9 +57,14 @@ def detect_encoding(spark: SparkSession, path, requested: str = "utf-8") -> Data
     return checked.select("file", chosen.otherwise("latin-1").alias("encoding"))
 
 
-def read_csv(spark: SparkSession, path, encoding: str = "utf-8", infer: bool = True, schema=None) -> DataFrame:
-    """CSV files with a header; quoted values may hold line breaks. Pass a schema at scale."""
-    reader = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def read_csv(spark: SparkSession, path, encoding: str = "utf-8", infer: bool = True, schema=None,
+             multi_line: bool = True) -> DataFrame:
+    """CSV files with a header. Pass a schema at scale.
+
+    With `multi_line` quoted values may hold line breaks, but a file is then read by one task;
+    `route_files` tells which files need it, so that the others can be split.
+    """
+    reader = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
               .option("encoding", SPARK_ENCODING[encoding]))
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", infer)
     return reader.csv(path)
@@ -70,18 +75,27 @@ def read_raw(spark: SparkSession, path, encoding: str = "utf-8") -> DataFrame:
 
 
 def route_files(spark: SparkSession, path, requested: str = "utf-8") -> DataFrame:
-    """Format and encoding of every file: (file, format, encoding). One row per file."""
-    formats = sniff_format(read_lines(spark, path), "file", ["block", "seq"], "line").select("file", "format")
-    return formats.join(detect_encoding(spark, path, requested), "file")
+    """(file, format, encoding, multi_line) of every file.
+
+    A record that goes on over a line break leaves an odd number of quotes on its first line.
+    """
+    lines = read_lines(spark, path)
+    formats = sniff_format(lines, "file", ["block", "seq"], "line").select("file", "format")
+    quotes = F.char_length("line") - F.char_length(F.replace("line", F.lit('"'), F.lit("")))
+    spanning = lines.groupBy("file").agg(F.max(quotes % 2 == 1).alias("multi_line"))
+    return formats.join(detect_encoding(spark, path, requested), "file").join(spanning, "file")
 
 
-def load_logs(spark: SparkSession, path, requested: str = "utf-8") -> dict[tuple[str, str], DataFrame]:
-    """One table per (format, encoding) that occurs. Only file names come to the driver, as they do
-    for any read of a list of files."""
-    routed: dict[tuple[str, str], list[str]] = {}
+def load_logs(spark: SparkSession, path, requested: str = "utf-8") -> dict[tuple[str, str, bool], DataFrame]:
+    """One table per (format, encoding, multi_line) that occurs. Only file names come to the driver,
+    as they do for any read of a list of files."""
+    routed: dict[tuple[str, str, bool], list[str]] = {}
     for r in route_files(spark, path, requested).collect():
-        routed.setdefault((r.format, r.encoding), []).append(r.file)
-    return {key: (read_raw if key[0] == "raw" else read_csv)(spark, files, key[1]) for key, files in routed.items()}
+        spanning = r.format == "csv" and r.multi_line
+        routed.setdefault((r.format, r.encoding, spanning), []).append(r.file)
+    return {(fmt, enc, spanning): read_raw(spark, files, enc) if fmt == "raw"
+            else read_csv(spark, files, enc, multi_line=spanning)
+            for (fmt, enc, spanning), files in routed.items()}
 
 
 def file_fingerprints(spark: SparkSession, path) -> DataFrame:
