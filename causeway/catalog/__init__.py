@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from causeway.catalog import impacts, incidents, scalars, sources, summaries, texts, timing  # noqa: F401
+from causeway.catalog import (  # noqa: F401
+    impacts, incidents, scalars, sources, streams, summaries, texts, timing)
 from causeway.catalog.registry import QUERIES, SQL
 
 

@@ -59,10 +59,15 @@ COLUMNS_SQL = {
 VIEW_COLUMNS = ["event_id", "timestamp", *COLUMNS_SQL]
 
 
+def view_of(events: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The log view of a table or stream of events."""
+    keyed = events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return keyed.select("event_id", F.col("ts").alias("timestamp"), *extra,
+                        *[F.expr(sql).alias(name) for name, sql in COLUMNS_SQL.items()])
+
+
 def log_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    return events.select("event_id", F.col("ts").alias("timestamp"),
-                         *[F.expr(sql).alias(name) for name, sql in COLUMNS_SQL.items()])
+    return view_of(table(spark, sf_dir, "events"))
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from causeway import schema as S
-from causeway.catalog.logview import EN, LV, TAGS, enriched, log_view, quote, table, unzoned
+from causeway.catalog.logview import EN, LV, TAGS, enriched, log_view, quote, table, unzoned, view_of
 from causeway.catalog.registry import query
 from causeway.operators import reports
 from causeway.plans.scaling import shared_dir
@@ -44,10 +44,8 @@ def _lines_of(s: str, time: str, tab: str, level: str) -> list[str]:
 
 def raw_lines(spark, sf_dir):
     """(file, line_no, line): the log view as raw application logs, one file per service."""
-    events = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    view = log_view(spark, sf_dir).select("event_id", "sourcetype", "source", "message", "log_level")
-    rows = events.select("event_id", "ts", "event_type", "k").join(view, "event_id")
-    texts = _lines_of("STRING", "date_format(ts, 'yyyy-MM-dd HH:mm:ss,SSS')", "'\\t'", "log_level")
+    rows = view_of(table(spark, sf_dir, "events"), ("event_type", "k"))
+    texts = _lines_of("STRING", "date_format(timestamp, 'yyyy-MM-dd HH:mm:ss,SSS')", "'\\t'", "log_level")
     lines = F.array(*[F.struct(F.lit(i).alias("i"), F.expr(t).alias("line")) for i, t in enumerate(texts)])
     return rows.select(F.col("sourcetype").alias("file"), "event_id", F.explode(lines).alias("l")).where("l.line IS NOT NULL").select(
         "file", (F.col("event_id") * 4 + F.col("l.i")).alias("line_no"), F.col("l.line").alias("line"))
