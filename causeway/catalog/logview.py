@@ -11,8 +11,13 @@ from causeway.rules import (APPLICATION_PATTERNS, ERROR_LEVELS, EVIDENCE_PATTERN
                             NETWORK_TAGS, RECOVERY_PATTERN, WARNING_LEVELS)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepare(spark: SparkSession) -> None:
+    """Event times are UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

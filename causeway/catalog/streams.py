@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from causeway import schema as S
 from causeway.catalog.impacts import DUP_COLUMNS
-from causeway.catalog.logview import EN, LV, view_of
+from causeway.catalog.logview import EN, LV, prepare, view_of
 from causeway.catalog.registry import query
 from causeway.catalog.timing import LEV, cross_sql, leveled
 from causeway.operators.enrich import enrich_levels, normalize_time
@@ -15,7 +15,7 @@ from causeway.streaming import streams
 
 
 def stream(spark, sf_dir):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    prepare(spark)
     return view_of(streams.read_table_stream(spark, sf_dir, "events.parquet"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from causeway import rules as R
+from causeway.plans.once import literal
 
 _BLANKS = " \t\n\r\x0b\x0c"
 
@@ -15,17 +16,19 @@ def canonical_level(up: Column) -> Column:
     return F.when(up == "ERR", "ERROR").when(up == "WARN", "WARNING").otherwise(up)
 
 
-def find_level(level: Column | None, texts: list[Column]) -> Column:
+def find_level(level: str | None, texts: list[str]) -> str:
     """The level column in upper case where it is filled, else the first level word of the texts.
 
     A level word cannot reach over a blank, so the first hit in the joined texts is the first hit
-    from left to right.
+    from left to right. Given as SQL text.
     """
-    word = F.regexp_extract(F.concat_ws(" ", *texts), "(?i)" + R.LEVEL_PATTERN, 1)
-    found = F.coalesce(F.nullif(F.upper(word), F.lit("")), F.lit("UNKNOWN"))
+    joined = "concat_ws(' ', " + ", ".join(f"`{c}`" for c in texts) + ")"
+    word = f"upper(regexp_extract({joined}, {literal('(?i)' + R.LEVEL_PATTERN)}, 1))"
+    found = f"coalesce(nullif({word}, ''), 'UNKNOWN')"
     if level is None:
         return found
-    return F.when(level.isNotNull(), F.upper(F.trim(level, F.lit(_BLANKS)))).otherwise(found)
+    text = f"CAST(`{level}` AS STRING)"
+    return f"IF(`{level}` IS NOT NULL, upper(trim(BOTH {literal(_BLANKS)} FROM {text})), {found})"
 
 
 def severity_rank(level: Column, ranks: dict[str, int] = R.LEVEL_RANKS, default: int = -1) -> Column:

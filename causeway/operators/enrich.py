@@ -31,9 +31,7 @@ def enrich_levels(df: DataFrame, roles: Roles | None = None, year: int = 1970) -
     roles = roles or resolve_roles(df)
     if roles.timestamp and S.MICROS not in df.columns:
         df = normalize_time(df, roles, year)
-    texts = [F.col(f"`{c}`") for c in S.text_columns(df)]
-    level = F.col(f"`{roles.level}`").cast("string") if roles.level else None
-    df = compute_once(df, {S.LEVEL: levels.find_level(level, texts)})
+    df = compute_once(df, {S.LEVEL: levels.find_level(roles.level, S.text_columns(df))})
     word = F.col(S.LEVEL)
     return df.withColumns({S.LEVEL: levels.canonical_level(word), S.IS_ERROR: levels.is_error(word),
                            S.IS_WARNING: levels.is_warning(word)})
@@ -41,12 +39,12 @@ def enrich_levels(df: DataFrame, roles: Roles | None = None, year: int = 1970) -
 
 def with_tags(df: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
     """Flags and tags from the combined text, which must be present."""
-    df = compute_once(df, {S.LOWERED: F.lower(S.COMBINED)})
-    flags = tags.tag_flags(F.col(S.COMBINED), F.col(S.LOWERED), rules)
-    named = {S.FLAG_PREFIX + t: c for t, c in flags.items()}
-    named[S.IS_RECOVERY] = tags.recovery_flag(F.col(S.COMBINED), F.col(S.LOWERED), rules)
-    df = compute_once(df, named).drop(S.LOWERED)
-    return df.withColumn(S.TAGS, tags.assemble_tags({t: F.col(S.FLAG_PREFIX + t) for t in rules.tags}))
+    df = compute_once(df, {S.LOWERED: f"lower({S.COMBINED})"})
+    named = {S.FLAG_PREFIX + t: sql for t, sql in tags.tag_flags(S.COMBINED, S.LOWERED, rules).items()}
+    named[S.IS_RECOVERY] = tags.recovery_flag(S.COMBINED, S.LOWERED, rules)
+    df = compute_once(df, named)
+    listed = tags.assemble_tags({t: S.FLAG_PREFIX + t for t in rules.tags})
+    return df.selectExpr(f"* EXCEPT ({S.LOWERED})", f"{listed} AS {S.TAGS}")
 
 
 def enrich(df: DataFrame, roles: Roles | None = None, rules: RuleSet = DEFAULT_RULES, year: int = 1970) -> DataFrame:
@@ -57,16 +55,9 @@ def enrich(df: DataFrame, roles: Roles | None = None, rules: RuleSet = DEFAULT_R
     """
     texts = S.text_columns(df)
     df = enrich_levels(df, roles, year)
-    df = compute_once(df, {S.COMBINED: tags.combine_text([F.col(f"`{c}`") for c in texts] + [F.col(S.LEVEL)])})
-    df = with_tags(df, rules)
-    return df.withColumn(S.IS_ANOMALY, any_flag(rules) | F.col(S.IS_ERROR))
-
-
-def any_flag(rules: RuleSet) -> Column:
-    out = F.lit(False)
-    for t in rules.tags:
-        out = out | F.col(S.FLAG_PREFIX + t)
-    return out
+    df = with_tags(compute_once(df, {S.COMBINED: tags.combine_text([*texts, S.LEVEL])}), rules)
+    flags = " OR ".join([S.IS_ERROR, *[f"`{S.FLAG_PREFIX}{t}`" for t in rules.tags]])
+    return df.selectExpr("*", f"({flags}) AS {S.IS_ANOMALY}")
 
 
 def time_range(df: DataFrame, column: str, since: str | None = None, until: str | None = None) -> DataFrame:

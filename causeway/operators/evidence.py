@@ -19,7 +19,7 @@ _BARRIER = '"'
 def network_evidence(df: DataFrame, scope=(), columns: list[str] | None = None, ignore_case: bool = False) -> DataFrame:
     """Distinct (kind, value) pairs per scope. Case-sensitive unless asked otherwise."""
     columns = S.text_columns(df) if columns is None else columns
-    text = F.concat_ws(_BARRIER, *[F.col(f"`{c}`") for c in columns])
+    text = f"concat_ws('{_BARRIER}', {', '.join(f'`{c}`' for c in columns)})"
     prefix = "(?i)" if ignore_case else ""
     rows = compute_once(with_scope(df, scope), {"_text": text}).select(*scope, "_text")
 

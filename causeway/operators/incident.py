@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from causeway import rules as R
 from causeway import schema as S
-from causeway.functions.times import MINUTE, SECOND, floor_div, format_duration
+from causeway.functions.times import MINUTE, SECOND, format_duration
 from causeway.operators.enrich import with_tags
 from causeway.plans.scaling import attach, with_scope
 from causeway.rules import DEFAULT_RULES, RuleSet
@@ -27,20 +27,15 @@ def beside(facts: DataFrame, more: DataFrame, scope) -> DataFrame:
 def _root_pick(roles: Roles, extra: list[str]) -> Column:
     """The first error, else the first warning, else the first event, as one mergeable aggregate."""
     (event_id,) = roles.need("event_id")
-    has_time = F.col(S.MICROS).isNotNull()
-    order = F.struct(
-        F.when(F.col(S.IS_ERROR), 0).when(F.col(S.IS_WARNING), 1).otherwise(2),
-        F.when(has_time, 0).otherwise(1), F.coalesce(S.MICROS, F.lit(0)), F.col(event_id))
 
-    def role(column: str | None) -> Column:
-        return F.col(f"`{column}`").cast("string") if column else F.lit(None).cast("string")
+    def role(column: str | None, name: str) -> str:
+        return f"'{name}', " + (f"CAST(`{column}` AS STRING)" if column else "CAST(NULL AS STRING)")
 
-    event = F.struct(
-        F.col(event_id).alias("event_id"), F.col(S.MICROS).alias("micros"), F.col(S.LEVEL).alias("level"),
-        role(roles.host).alias("host"), role(roles.message).alias("message"),
-        F.col(S.COMBINED).alias("combined"),
-        *[F.col(f"`{c}`").cast("string").alias(f"x_{c}") for c in extra])
-    return F.min_by(event, order)
+    order = f"""struct(CASE WHEN {S.IS_ERROR} THEN 0 WHEN {S.IS_WARNING} THEN 1 ELSE 2 END,
+        {S.MICROS} IS NULL, coalesce({S.MICROS}, 0), `{event_id}`)"""
+    fields = [f"'event_id', `{event_id}`, 'micros', {S.MICROS}, 'level', {S.LEVEL}", role(roles.host, "host"),
+              role(roles.message, "message"), f"'combined', {S.COMBINED}", *[role(c, f"x_{c}") for c in extra]]
+    return F.expr(f"min_by(named_struct({', '.join(fields)}), {order})")
 
 
 def root_cause(df: DataFrame, roles: Roles | None = None, scope=(), flow_key: str | None = None,
@@ -48,29 +43,23 @@ def root_cause(df: DataFrame, roles: Roles | None = None, scope=(), flow_key: st
     """Root event and totals of each scope in one pass; tags are computed on the root rows only."""
     roles = roles or resolve_roles(df)
     extra = [flow_key] if flow_key else []
-    high = F.lit(False)
-    for t in high_severity:
-        if t in rules.patterns:
-            high = high | F.col(S.FLAG_PREFIX + t)
+    high = " OR ".join(["false", *[f"`{S.FLAG_PREFIX}{t}`" for t in high_severity if t in rules.patterns]])
     df = with_scope(df, scope)
     facts = df.groupBy(*scope).agg(
-        F.count(F.lit(1)).alias("total_events"),
-        F.count_if(S.IS_ERROR).alias("error_events"),
-        F.count_if(S.IS_WARNING).alias("warning_events"),
-        F.count_if(S.IS_ANOMALY).alias("anomaly_events"),
-        F.max(F.col(S.LEVEL) == "CRITICAL").alias("has_critical"),
-        F.max(high).alias("has_high_severity"),
+        F.expr("count(1) AS total_events"),
+        F.expr(f"count_if({S.IS_ERROR}) AS error_events"),
+        F.expr(f"count_if({S.IS_WARNING}) AS warning_events"),
+        F.expr(f"count_if({S.IS_ANOMALY}) AS anomaly_events"),
+        F.expr(f"max({S.LEVEL} = 'CRITICAL') AS has_critical"),
+        F.expr(f"max({high}) AS has_high_severity"),
         _root_pick(roles, extra).alias("root"),
     )
-    facts = with_tags(facts.withColumn(S.COMBINED, F.col("root.combined")), rules)
-    return facts.select(
-        *scope, "total_events", "error_events", "warning_events", "anomaly_events", "has_critical",
-        "has_high_severity", F.col("root.event_id").alias("root_event_id"),
-        F.col("root.micros").alias("root_micros"), F.col("root.level").alias("root_level"),
-        F.col("root.host").alias("root_host"), F.col("root.message").alias("root_message"),
-        F.col(S.TAGS).alias("root_tags"),
-        (F.coalesce(F.col(f"root.x_{flow_key}"), F.lit("N/A")) if flow_key else F.lit("N/A")).alias("root_flow"),
-    )
+    facts = with_tags(facts.selectExpr("*", f"root.combined AS {S.COMBINED}"), rules)
+    flow = f"coalesce(root.`x_{flow_key}`, 'N/A')" if flow_key else "'N/A'"
+    return facts.selectExpr(
+        *[f"`{c}`" for c in scope], "total_events", "error_events", "warning_events", "anomaly_events", "has_critical",
+        "has_high_severity", "root.event_id AS root_event_id", "root.micros AS root_micros", "root.level AS root_level",
+        "root.host AS root_host", "root.message AS root_message", f"{S.TAGS} AS root_tags", f"{flow} AS root_flow")
 
 
 def _around_root(df: DataFrame, root: DataFrame, scope, roles: Roles, keep: list[str]) -> DataFrame:
@@ -121,11 +110,11 @@ def mttr(df: DataFrame, root: DataFrame, roles: Roles | None = None, scope=()) -
     return beside(root.select(*scope, "root_micros"), found, scope)
 
 
-def _grade(score: Column) -> Column:
-    out = F
-    for grade, floor in R.GRADE_FLOORS.items():
-        out = out.when(score >= floor, grade)
-    return out.otherwise("P5")
+_HIGH = ("critical_with_tags", "error_deep_cascade", "error_tags_and_cascade")
+
+
+def _case(subject: str, pairs: dict) -> str:
+    return "CASE " + subject + " ".join(f" WHEN {k} THEN {v}" for k, v in pairs.items())
 
 
 def with_severity(df: DataFrame) -> DataFrame:
@@ -133,51 +122,42 @@ def with_severity(df: DataFrame) -> DataFrame:
 
     The parts shown are rounded half up to tenths, in whole-number arithmetic.
     """
-    n, e, c, m = F.col("total_events"), F.col("error_events"), F.col("cascade_count"), F.col("mttr_us")
     hour = 3600 * SECOND
-    weight = F.least(F.when(F.col("has_critical"), 15).otherwise(0) + F.when(F.col("has_high_severity"), 10).otherwise(0),
-                     F.lit(25))
-    errors = F.least(e / n, F.lit(1.0)) * 25
-    depth = F.least(c / F.greatest(n * 0.5, F.lit(1.0)), F.lit(1.0)) * 25
-    recovery = F.coalesce(F.least(m / SECOND / 3600, F.lit(1.0)) * 25, F.lit(15.0))
-    score = F.floor(errors + depth + recovery + weight).cast("int")
-    tenths = {
-        "part_error_ratio": floor_div(e * 500 + n, n * 2),
-        "part_cascade_depth": F.least(F.when(n >= 2, floor_div(c * 1000 + n, n * 2)).otherwise(c * 250), F.lit(250)),
-        "part_mttr": F.coalesce(F.least(floor_div(m * 500 + hour, 2 * hour), F.lit(250)), F.lit(150)),
-        "part_pattern_weight": weight * 10,
-    }
-    return df.withColumns({
-        "severity_score": F.least(F.greatest(score, F.lit(0)), F.lit(100)),
-        **{name: (t / 10).cast("double") for name, t in tenths.items()},
-    }).withColumn("severity_grade", _grade(F.col("severity_score")))
+    df = df.selectExpr("*", """least(IF(has_critical, 15, 0) + IF(has_high_severity, 10, 0), 25) AS _weight""")
+    df = df.selectExpr("*", f"""greatest(0, least(100, CAST(floor(
+        least(error_events / total_events, 1.0D) * 25
+        + least(cascade_count / greatest(total_events * 0.5D, 1.0D), 1.0D) * 25
+        + coalesce(least(mttr_us / {SECOND} / 3600, 1.0D) * 25, 15.0D) + _weight) AS INT))) AS severity_score""")
+    grades = _case("", {f"severity_score >= {floor}": f"'{grade}'" for grade, floor in R.GRADE_FLOORS.items()})
+    return df.selectExpr(
+        "* EXCEPT (_weight)",
+        "CAST((500 * error_events + total_events) DIV (2 * total_events) / 10 AS DOUBLE) AS part_error_ratio",
+        """CAST(least(IF(total_events >= 2, (1000 * cascade_count + total_events) DIV (2 * total_events),
+            250 * cascade_count), 250) / 10 AS DOUBLE) AS part_cascade_depth""",
+        f"CAST(coalesce(least((500 * mttr_us + {hour}) DIV {2 * hour}, 250), 150) / 10 AS DOUBLE) AS part_mttr",
+        "CAST(_weight AS DOUBLE) AS part_pattern_weight",
+        f"{grades} ELSE 'P5' END AS severity_grade")
 
 
 def with_confidence(df: DataFrame) -> DataFrame:
     """How far the root event can be trusted, with the branch that decided it."""
-    level, tags, c = F.col("root_level"), F.size("root_tags"), F.col("cascade_count")
-    reason = (
-        F.when(level.isin("CRITICAL", "FATAL", "EMERG", "ALERT") & (tags >= 1), "critical_with_tags")
-        .when((level == "ERROR") & (c >= 5), "error_deep_cascade")
-        .when((level == "ERROR") & (tags >= 2) & (c >= 3), "error_tags_and_cascade")
-        .when(level.isin("CRITICAL", "FATAL") & (tags == 0), "critical_without_tags")
-        .when((level == "ERROR") & (tags >= 1), "error_with_tags")
-        .when(level == "ERROR", "error_without_tags")
-        .otherwise("other_level"))
-    df = df.withColumn("confidence_reason", reason)
-    why = F.col("confidence_reason")
-    label = (F.when(why.isin("critical_with_tags", "error_deep_cascade", "error_tags_and_cascade"), "HIGH")
-             .when(why == "other_level", "LOW").otherwise("MEDIUM"))
-    return df.withColumn("confidence", label)
+    df = df.selectExpr("*", """CASE
+        WHEN root_level IN ('CRITICAL', 'FATAL', 'EMERG', 'ALERT') AND size(root_tags) >= 1 THEN 'critical_with_tags'
+        WHEN root_level = 'ERROR' AND cascade_count >= 5 THEN 'error_deep_cascade'
+        WHEN root_level = 'ERROR' AND size(root_tags) >= 2 AND cascade_count >= 3 THEN 'error_tags_and_cascade'
+        WHEN root_level IN ('CRITICAL', 'FATAL') AND size(root_tags) = 0 THEN 'critical_without_tags'
+        WHEN root_level = 'ERROR' AND size(root_tags) >= 1 THEN 'error_with_tags'
+        WHEN root_level = 'ERROR' THEN 'error_without_tags'
+        ELSE 'other_level' END AS confidence_reason""")
+    return df.selectExpr("*", f"""CASE WHEN confidence_reason IN {_HIGH} THEN 'HIGH'
+        WHEN confidence_reason = 'other_level' THEN 'LOW' ELSE 'MEDIUM' END AS confidence""")
 
 
 def with_sla(df: DataFrame) -> DataFrame:
     """Was the time to recovery longer than the grade allows? Null for P5 or without recovery."""
-    allowed = F
-    for grade, seconds in R.SLA_SECONDS.items():
-        allowed = allowed.when(F.col("severity_grade") == grade, seconds)
-    return df.withColumn("sla_seconds", allowed.otherwise(None)).withColumn(
-        "sla_breach", F.col("mttr_us") > F.col("sla_seconds").cast("bigint") * SECOND)
+    allowed = _case("severity_grade", {f"'{g}'": s for g, s in R.SLA_SECONDS.items()})
+    return df.selectExpr("*", f"{allowed} END AS sla_seconds").selectExpr(
+        "*", f"mttr_us > CAST(sla_seconds AS BIGINT) * {SECOND} AS sla_breach")
 
 
 def incident(df: DataFrame, roles: Roles | None = None, scope=(), flow_key: str | None = None,

@@ -64,7 +64,7 @@ def pseudonymize(df: DataFrame, text: str, order: str, scope=()) -> tuple[DataFr
     """
     scope = list(scope)
     any_hit = reduce(lambda a, b: a | b, [F.col(text).rlike(_pattern(k)[0]) for k in PSEUDONYM_KINDS])
-    work = compute_once(df.select(*scope, order, text), {text: F.col(text)}).where(any_hit)
+    work = compute_once(df.select(*scope, order, text), {text: f"`{text}`"}).where(any_hit)
     names = []
     for kind in PSEUDONYM_KINDS:
         work = materialize(work, f"pseudonyms-{kind}-text")

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 
-def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Add columns whose expressions are not copied into later expressions.
+def literal(text: str) -> str:
+    """A text as SQL literal."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def compute_once(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add columns, given as SQL expressions, that are not copied into later expressions.
 
     A filter or projection on a computed column normally pulls the whole expression into itself; with
     a chain of regular expressions over a joined text the copies multiply. Unfolding a one-element
     array stops that, while filters on the other columns still reach the scan.
     """
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
-    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    replaced = [f"`{c}`" for c in columns if c in df.columns]
+    kept = f"* EXCEPT ({', '.join(replaced)})" if replaced else "*"
+    fields = ", ".join(f"{literal(name)}, {sql}" for name, sql in columns.items())
+    return df.selectExpr(kept, f"inline(array(named_struct({fields})))")

@@ -21,8 +21,24 @@ FORMATS = {
     "us": "MM/dd/yyyy HH:mm:ss",
     "day_first": "dd-MM-yyyy HH:mm:ss",
 }
-_ZONED = {"iso_fraction_zone", "iso_zone", "access_log"}
-_ZONE_AT_END = r"(Z|[+-]\d{2}:?\d{2})$"
+# What a text of each format looks like. Only texts of the right shape are parsed: a failed attempt
+# costs far more than a look at the shape.
+_ZONE = r"(Z|[+-]\d{2}:?\d{2})"
+_DAY, _CLOCK, _FRACTION = r"\d{4}-\d{1,2}-\d{1,2}", r"\d{1,2}:\d{1,2}:\d{1,2}", r"\d{1,6}"
+SHAPES = {
+    "iso_fraction_zone": rf"^{_DAY}T{_CLOCK}\.{_FRACTION}{_ZONE}$",
+    "iso_zone": rf"^{_DAY}T{_CLOCK}{_ZONE}$",
+    "iso_fraction": rf"^{_DAY}T{_CLOCK}\.{_FRACTION}$",
+    "iso": rf"^{_DAY}T{_CLOCK}$",
+    "sql_fraction": rf"^{_DAY} {_CLOCK}\.{_FRACTION}$",
+    "sql_comma_fraction": rf"^{_DAY} {_CLOCK},{_FRACTION}$",
+    "sql": rf"^{_DAY} {_CLOCK}$",
+    "access_log": rf"^\d{{1,2}}/[A-Za-z]{{3}}/\d{{4}}:{_CLOCK} [+-]\d{{4}}$",
+    "syslog": rf"^[A-Za-z]{{3}}\s+\d{{1,2}} {_CLOCK}$",
+    "us": rf"^\d{{1,2}}/\d{{1,2}}/\d{{4}} {_CLOCK}$",
+    "day_first": rf"^\d{{1,2}}-\d{{1,2}}-\d{{4}} {_CLOCK}$",
+}
+_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 @dataclass(frozen=True)
@@ -34,18 +50,19 @@ class TimeFormat:
 
 
 def _by_format(c: Column, name: str, year: int) -> Column:
-    if name == "syslog":
-        c = F.concat(F.lit(f"{year} "), F.regexp_replace(F.trim(c), r"\s+", " "))
-    parsed = F.try_to_timestamp(c, F.lit(FORMATS[name]))
-    if name in ("iso_fraction_zone", "iso_zone"):
-        return F.when(c.rlike(_ZONE_AT_END), parsed)
-    return parsed
+    text = F.concat(F.lit(f"{year} "), F.regexp_replace(c, r"\s+", " ")) if name == "syslog" else c
+    return F.when(c.rlike(SHAPES[name]), F.try_to_timestamp(text, F.lit(FORMATS[name])))
+
+
+def _number(c: Column) -> Column:
+    text = c.cast("string")
+    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 
 def parse_column(c: Column, fmt: TimeFormat) -> Column:
     if fmt.kind in ("seconds", "millis"):
         scale = 1_000_000 if fmt.kind == "seconds" else 1000
-        return F.timestamp_micros(F.round(c.try_cast("double") * scale).cast("bigint"))
+        return F.timestamp_micros(F.round(_number(c) * scale).cast("bigint"))
     if fmt.kind == "inferred":
         return c.try_cast("timestamp")
     return _by_format(c.cast("string"), fmt.kind, fmt.year)
@@ -56,7 +73,7 @@ def choose_formats(df: DataFrame, columns: list[str], year: int = 1970) -> dict[
     votes = []
     for i, name in enumerate(columns):
         c = F.col(f"`{name}`")
-        number = c.try_cast("double")
+        number = _number(c)
         votes += [F.count(c).alias(f"filled_{i}"), F.count(number).alias(f"numbers_{i}"),
                   F.count(F.lit(1)).alias(f"rows_{i}"),
                   F.approx_percentile(number, F.lit(0.5), F.lit(1000)).alias(f"median_{i}")]
