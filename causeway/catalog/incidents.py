@@ -37,7 +37,7 @@ def root_ctes(scope: list[str], cascade_us: int = 300_000_000, precursor_us: int
     w AS (SELECT *, least(CASE WHEN has_critical THEN 15 ELSE 0 END + CASE WHEN has_high THEN 10 ELSE 0 END, 25) AS weight FROM inc),
     sc AS (SELECT *, CAST(floor(least(error_events / total_events, 1.0::DOUBLE) * 25
         + least(cascade_count / greatest(total_events * 0.5::DOUBLE, 1.0::DOUBLE), 1.0::DOUBLE) * 25
-        + coalesce(least(mttr_us / 1000000 / 3600, 1.0::DOUBLE) * 25, 15.0::DOUBLE) + weight) AS INTEGER) AS severity_score FROM w),
+        + CASE WHEN mttr_us IS NULL THEN 15.0::DOUBLE ELSE least(mttr_us / 1000000 / 3600, 1.0::DOUBLE) * 25 END + weight) AS INTEGER) AS severity_score FROM w),
     gr AS (SELECT *, CASE {' '.join(f"WHEN severity_score >= {f} THEN '{g}'" for g, f in GRADE_FLOORS.items())} ELSE 'P5' END AS severity_grade FROM sc),
     cf AS (SELECT *, CASE
         WHEN root_level IN ('CRITICAL', 'FATAL', 'EMERG', 'ALERT') AND len(root_tags) >= 1 THEN 'critical_with_tags'
@@ -54,7 +54,7 @@ def root_ctes(scope: list[str], cascade_us: int = 300_000_000, precursor_us: int
 ROOT_COLUMNS = "root_event_id, make_timestamp(t0) AS root_ts, root_level, root_host, root_message, array_to_string(root_tags, '|') AS root_tags, root_flow"
 PARTS_SQL = """CAST((500 * error_events + total_events) // (2 * total_events) / 10 AS DOUBLE) AS part_error_ratio,
     CAST(least(CASE WHEN total_events >= 2 THEN (1000 * cascade_count + total_events) // (2 * total_events) ELSE 250 * cascade_count END, 250) / 10 AS DOUBLE) AS part_cascade_depth,
-    CAST(coalesce(least((500 * mttr_us + 3600000000) // 7200000000, 250), 150) / 10 AS DOUBLE) AS part_mttr,
+    CAST(CASE WHEN mttr_us IS NULL THEN 150 ELSE least((500 * mttr_us + 3600000000) // 7200000000, 250) END / 10 AS DOUBLE) AS part_mttr,
     CAST(weight AS DOUBLE) AS part_pattern_weight"""
 SIX_HOURS = 21_600_000_000
 

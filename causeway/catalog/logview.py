@@ -16,9 +16,16 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small file that Spark reads in fewer tasks than there are cores is dealt out to all of them,
+    as regular expressions cost far more than the reading. Larger tables stay as they are split."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 # Messages of failing events by k % 12, and of the other events; the same texts in both languages.

@@ -43,10 +43,11 @@ def cross_host_cascade(df: DataFrame, roles: Roles | None = None, scope=(), wind
         *[F.col(c) for c in scope], F.col(host).cast("string").alias("error_host"), F.col(S.LEVEL).alias("error_level"),
         F.col(S.MICROS).alias("us"), F.col(event_id).alias("id"),
         floor_div(F.col(S.MICROS), width).alias("bucket"))
-    # Copies of one instant on one host collapse: only the lowest id can matter.
-    moments = errors.groupBy(*at, "error_host", "error_level", "us").agg(F.min("id").alias("id"))
+    # Copies of one instant on one host collapse: as a seed or follower only the lowest id matters.
+    moments = errors.groupBy(*at, "error_host", "error_level", "us").agg(F.min("id").alias("id"), F.max("id").alias("last_id"))
     place = F.struct("us", "id")
-    per_host = errors.groupBy(*at, "error_host").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    per_host = moments.groupBy(*at, "error_host").agg(
+        F.min(place).alias("first"), F.max(F.struct("us", F.col("last_id").alias("id"))).alias("last"))
     lasts = _first_two(per_host.select(*at, "error_host", "last.*"), at, "error_host",
                        [F.col("us").desc(), F.col("id").desc()], "last")
     firsts = _first_two(per_host.select(*at, "error_host", "first.*"), at, "error_host",

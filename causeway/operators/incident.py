@@ -127,14 +127,14 @@ def with_severity(df: DataFrame) -> DataFrame:
     df = df.selectExpr("*", f"""greatest(0, least(100, CAST(floor(
         least(error_events / total_events, 1.0D) * 25
         + least(cascade_count / greatest(total_events * 0.5D, 1.0D), 1.0D) * 25
-        + coalesce(least(mttr_us / {SECOND} / 3600, 1.0D) * 25, 15.0D) + _weight) AS INT))) AS severity_score""")
+        + IF(mttr_us IS NULL, 15.0D, least(mttr_us / {SECOND} / 3600, 1.0D) * 25) + _weight) AS INT))) AS severity_score""")
     grades = _case("", {f"severity_score >= {floor}": f"'{grade}'" for grade, floor in R.GRADE_FLOORS.items()})
     return df.selectExpr(
         "* EXCEPT (_weight)",
         "CAST((500 * error_events + total_events) DIV (2 * total_events) / 10 AS DOUBLE) AS part_error_ratio",
         """CAST(least(IF(total_events >= 2, (1000 * cascade_count + total_events) DIV (2 * total_events),
             250 * cascade_count), 250) / 10 AS DOUBLE) AS part_cascade_depth""",
-        f"CAST(coalesce(least((500 * mttr_us + {hour}) DIV {2 * hour}, 250), 150) / 10 AS DOUBLE) AS part_mttr",
+        f"CAST(IF(mttr_us IS NULL, 150, least((500 * mttr_us + {hour}) DIV {2 * hour}, 250)) / 10 AS DOUBLE) AS part_mttr",
         "CAST(_weight AS DOUBLE) AS part_pattern_weight",
         f"{grades} ELSE 'P5' END AS severity_grade")
 

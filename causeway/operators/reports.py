@@ -22,6 +22,7 @@ VERSION = "1.0"
 def timeline(df: DataFrame, roles: Roles | None = None, scope=(), max_rows: int = 30, min_level: str | None = None) -> DataFrame:
     """The first anomalies, or rows of a least level, with their texts fit for table cells."""
     roles = roles or resolve_roles(df)
+    roles.need("event_id")
     rows = enrich.min_level(df, min_level) if min_level else df.where(F.col(S.IS_ANOMALY))
     rows = top_k(with_scope(rows, scope), scope, enrich.time_order(roles), max_rows, "row_no")
     shown = [c for c in S.display_columns(df) if c not in scope]
