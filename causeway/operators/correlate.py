@@ -54,10 +54,12 @@ def cross_host_cascade(df: DataFrame, roles: Roles | None = None, scope=(), wind
                         [F.col("us").asc(), F.col("id").asc()], "next")
     firsts = firsts.withColumn("bucket", F.col("bucket") - 1)
     near = lasts.join(firsts, at, "left")
-    rows = attach(moments, near, at, "b", F.col("id"))
+    # A bucket holds no more moments than hosts, levels and microseconds allow, so the join is an
+    # ordinary one.
+    rows = moments.join(near, at)
 
     def other(prefix: str):
-        return F.when(F.col(f"b.{prefix}_host") == F.col("error_host"), F.col(f"b.{prefix}_2")).otherwise(F.col(f"b.{prefix}_1"))
+        return F.when(F.col(f"{prefix}_host") == F.col("error_host"), F.col(f"{prefix}_2")).otherwise(F.col(f"{prefix}_1"))
 
     follows = F.coalesce(other("last") > place, F.lit(False)) | F.coalesce(
         other("next").getField("us") <= F.col("us") + width, F.lit(False))
@@ -95,8 +97,8 @@ def first_sources(df: DataFrame, roles: Roles, scope=(), k: int = 3) -> DataFram
 def _near_root(df, root, roles, scope, minutes, extra=()):
     """Events within ± minutes of their scope's root event, both ends included."""
     (event_id,) = roles.need("event_id")
-    facts = root.select(*scope, "root_micros", "root_host", "root_flow", "root_tags", *extra)
-    rows = attach(with_scope(df, scope), facts, scope, "r", F.col(event_id))
+    facts = root.select(*scope, "root_micros", "root_host", "root_flow", "root_tags", "total_events", *extra)
+    rows = attach(with_scope(df, scope), facts, scope, "r", F.col(event_id), "total_events")
     width = round(minutes * MINUTE)
     return rows.where(F.col(S.MICROS).between(F.col("r.root_micros") - width, F.col("r.root_micros") + width))
 
@@ -107,7 +109,7 @@ def _with_sources(root, df, roles, scope):
     sources = first_sources(df, roles, scope)
     if scope:
         return root.join(sources, list(scope), "left")
-    return attach(root, sources, (), "_s", F.lit(0), "left").withColumn("sources", F.col("_s.sources")).drop("_s")
+    return attach(root, sources, (), "_s", F.lit(0), how="left").withColumn("sources", F.col("_s.sources")).drop("_s")
 
 
 def _from_sources(rows, roles):
@@ -156,17 +158,17 @@ def isolate_flow(df: DataFrame, flow_key: str, value: str | None = None, scope=(
     the most anomalies, else everything. Ties go to the smallest key."""
     if flow_key not in df.columns:
         raise S.MissingRole(f"no such flow column: {flow_key}")
-    key = F.col(f"`{flow_key}`")
+    key, spread = F.col(f"`{flow_key}`"), resolve_roles(df).event_id or S.MICROS
     if value is not None:
         return df.where(key.cast("string") == str(value))
     counts = with_scope(df, [*scope, flow_key]).groupBy(*scope, key.alias("_key")).agg(
-        F.count_if(S.IS_ERROR).alias("e"), F.count_if(S.IS_ANOMALY).alias("a"))
+        F.count_if(S.IS_ERROR).alias("e"), F.count_if(S.IS_ANOMALY).alias("a"), F.count(F.lit(1)).alias("n"))
     winner = counts.groupBy(*scope).agg(
-        F.max("e").alias("e"), F.max("a").alias("a"),
+        F.max("e").alias("e"), F.max("a").alias("a"), F.sum("n").alias("n"),
         F.min_by("_key", F.struct(-F.col("e"), "_key")).alias("by_errors"),
         F.min_by("_key", F.struct(-F.col("a"), "_key")).alias("by_anomalies"))
     chosen = F.when(F.col("e") > 0, F.col("by_errors")).when(F.col("a") > 0, F.col("by_anomalies"))
-    rows = attach(with_scope(df, scope), winner.select(*scope, chosen.alias("key")), scope, "w", key, "left")
+    rows = attach(with_scope(df, scope), winner.select(*scope, chosen.alias("key"), "n"), scope, "w", F.col(spread), "n", "left")
     return rows.where(F.col("w.key").isNull() | (key == F.col("w.key"))).drop("w")
 
 

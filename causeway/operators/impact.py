@@ -133,17 +133,17 @@ def recovery_timeline(df: DataFrame, roles: Roles | None = None, scope=(), after
     keys = list(dict.fromkeys([*scope, host]))
     df = with_scope(df, keys)
     per_host = df.groupBy(*keys).agg(
-        F.count_if(S.IS_ERROR).alias("errors"),
+        F.count_if(S.IS_ERROR).alias("errors"), F.count_if(S.IS_RECOVERY).alias("recoveries"),
         F.min(F.when(F.col(S.IS_ERROR), F.col(S.MICROS))).alias("first_error_us"),
         F.min(F.when(F.col(S.IS_RECOVERY), F.col(S.MICROS))).alias("first_recovery_us")).where("errors > 0")
     if after_error:
         recoveries = df.where(F.col(S.IS_RECOVERY)).select(*keys, S.MICROS)
-        known = attach(recoveries, per_host.select(*keys, "first_error_us"), keys, "h", F.col(S.MICROS))
+        known = attach(recoveries, per_host.select(*keys, "first_error_us", "recoveries"), keys, "h", F.col(S.MICROS), "recoveries")
         later = known.where(F.col(S.MICROS) > F.col("h.first_error_us")).groupBy(*keys).agg(
             F.min(S.MICROS).alias("first_recovery_us"))
         per_host = per_host.drop("first_recovery_us").join(later, keys, "left")
     down = F.col("first_recovery_us") - F.col("first_error_us")
-    return per_host.withColumns({"downtime_us": down, "downtime": F.coalesce(format_duration(down), F.lit("N/D"))})
+    return per_host.drop("recoveries").withColumns({"downtime_us": down, "downtime": F.coalesce(format_duration(down), F.lit("N/D"))})
 
 
 def top_error_messages(df: DataFrame, roles: Roles | None = None, scope=(), top_n: int = 5) -> DataFrame:

@@ -20,7 +20,7 @@ def beside(facts: DataFrame, more: DataFrame, scope) -> DataFrame:
     if scope:
         return facts.join(more, scope, "left")
     names = more.columns
-    both = attach(facts, more, (), "_more", F.lit(0), "left")
+    both = attach(facts, more, (), "_more", F.lit(0), how="left")
     return both.select(*facts.columns, *[F.col(f"_more.{c}").alias(c) for c in names])
 
 
@@ -66,8 +66,8 @@ def _around_root(df: DataFrame, root: DataFrame, scope, roles: Roles, keep: list
     """Events with the instant of their scope's root event in column `t0`."""
     (event_id,) = roles.need("event_id")
     slim = with_scope(df, scope).select(*dict.fromkeys([*scope, *keep, event_id, S.MICROS]))
-    facts = root.select(*scope, F.col("root_micros").alias("t0"))
-    return attach(slim, facts, scope, "root", F.col(event_id)).withColumn("t0", F.col("root.t0")).drop("root")
+    facts = root.select(*scope, F.col("root_micros").alias("t0"), "total_events")
+    return attach(slim, facts, scope, "root", F.col(event_id), "total_events").withColumn("t0", F.col("root.t0")).drop("root")
 
 
 def precursors(df: DataFrame, root: DataFrame, roles: Roles | None = None, scope=(), minutes: float = 10) -> DataFrame:
@@ -182,7 +182,7 @@ def trend(df: DataFrame, scope=()) -> DataFrame:
     df = with_scope(df, scope).where(F.col(S.MICROS).isNotNull())
     span = df.groupBy(*scope).agg(F.min(S.MICROS).alias("first"), F.max(S.MICROS).alias("last"),
                                   F.count(F.lit(1)).alias("n"))
-    rows = attach(df.select(*scope, S.MICROS, S.IS_ERROR), span, scope, "span", F.col(S.MICROS))
+    rows = attach(df.select(*scope, S.MICROS, S.IS_ERROR), span, scope, "span", F.col(S.MICROS), "n")
     # Twice the time against first + last, so that the middle needs no fraction.
     early = F.col(S.MICROS) * 2 < F.col("span.first") + F.col("span.last")
     halves = rows.groupBy(*scope).agg(

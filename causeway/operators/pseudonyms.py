@@ -20,18 +20,19 @@ def _pattern(kind: str) -> tuple[str, str]:
 
 
 def number_values(rows: DataFrame, text: str, order: str, kind: str, scope=()) -> DataFrame:
-    """(scope, kind, value, pseudonym): distinct values numbered by first appearance.
+    """(scope, kind, value, pseudonym, uses): distinct values numbered by first appearance.
 
     `order` is a bigint that orders the rows. Numbers are built from blocks of it, so neither the
     rows nor the dictionary go through one task.
     """
     pattern, prefix = _pattern(kind)
     found = rows.select(*scope, order, F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("_pos", "value"))
-    first = found.groupBy(*scope, "value").agg(F.min(F.struct(F.col(order).alias("row"), "_pos")).alias("at"))
+    first = found.groupBy(*scope, "value").agg(
+        F.min(F.struct(F.col(order).alias("row"), "_pos")).alias("at"), F.count(F.lit(1)).alias("uses"))
     blocks = first.withColumn("_block", F.call_function("div", F.col("at.row"), F.lit(BLOCK)))
     numbered = running_total(blocks, scope, "_block", [F.col("at")], F.lit(1), "n")
     return numbered.select(*scope, F.lit(kind).alias("kind"), "value",
-                           F.concat(F.lit(prefix + "-"), F.col("n").cast("string")).alias("pseudonym"))
+                           F.concat(F.lit(prefix + "-"), F.col("n").cast("string")).alias("pseudonym"), "uses")
 
 
 def _replaced(text: Column, pattern: str, names: Column) -> Column:
@@ -42,12 +43,12 @@ def _replaced(text: Column, pattern: str, names: Column) -> Column:
 
 
 def replace_values(rows: DataFrame, names: DataFrame, text: str, order: str, kind: str, scope=()) -> DataFrame:
-    """Rows with the values of one kind replaced. Only distinct values per row are joined, by a
-    salted join, since one address may occur in a third of all rows."""
+    """Rows with the values of one kind replaced. Only distinct values per row are joined; the values
+    used most are served apart, since one address may occur in a third of all rows."""
     pattern, _ = _pattern(kind)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = rows.select(*scope, order, F.explode(F.array_distinct(found)).alias("value"))
-    known = attach(values, names.select(*scope, "value", "pseudonym"), [*scope, "value"], "p", F.col(order))
+    known = attach(values, names.select(*scope, "value", "pseudonym", "uses"), [*scope, "value"], "p", F.col(order), "uses")
     per_row = known.groupBy(*scope, order).agg(
         F.map_from_entries(F.collect_list(F.struct("value", "p.pseudonym"))).alias("_names"))
     out = rows.join(per_row, [*scope, order], "left")
@@ -73,4 +74,4 @@ def pseudonymize(df: DataFrame, text: str, order: str, scope=()) -> tuple[DataFr
         work = replace_values(work, numbered, text, order, kind, scope)
     changed = work.withColumnRenamed(text, "_new_text")
     out = df.join(changed, [*scope, order], "left").withColumn(text, F.coalesce("_new_text", F.col(text))).drop("_new_text")
-    return out.select(*df.columns), reduce(DataFrame.unionByName, names)
+    return out.select(*df.columns), reduce(DataFrame.unionByName, names).drop("uses")

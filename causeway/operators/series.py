@@ -23,8 +23,8 @@ def event_bins(df: DataFrame, scope=(), seconds: float = 30) -> DataFrame:
     if DAY % width == 0:
         start = floor_div(F.col(S.MICROS), width) * width
     else:
-        first = rows.groupBy(*scope).agg(F.min(S.MICROS).alias("us"))
-        rows = attach(rows, first, scope, "first", F.col(S.MICROS))
+        first = rows.groupBy(*scope).agg(F.min(S.MICROS).alias("us"), F.count(F.lit(1)).alias("n"))
+        rows = attach(rows, first, scope, "first", F.col(S.MICROS), "n")
         origin = floor_div(F.col("first.us"), DAY) * DAY
         start = origin + floor_div(F.col(S.MICROS) - origin, width) * width
     return rows.withColumn("start_us", start).groupBy(*scope, "start_us").agg(
@@ -43,7 +43,7 @@ def burst_windows(df: DataFrame, scope=(), resample_seconds: float = 30) -> Data
     facts = bins.groupBy(*scope).agg(
         F.sum("events").alias("n"), F.sum(F.col("events").cast("decimal(38,0)") * F.col("events")).cast("decimal(38,0)").alias("sq"),
         (floor_div(F.max("start_us") - F.min("start_us"), width) + 1).alias("bins"))
-    rows = attach(bins, facts, scope, "f", F.col("start_us"))
+    rows = attach(bins, facts, scope, "f", F.col("start_us"), "bins")
 
     def whole(c: Column) -> Column:
         return c.cast("decimal(38,0)")
@@ -94,7 +94,7 @@ def log_gaps(df: DataFrame, scope=(), multiplier: float = 5.0, min_gap_seconds:
     lengths = steps.select(*scope, "gap_us", F.lit(1).cast("bigint").alias("w")).unionByName(repeats)
     lengths = lengths.groupBy(*scope, "gap_us").agg(F.sum("w").alias("w"))
     quartile = exact_quantile(lengths, scope, "gap_us", "w", 3, "p75")
-    wide = attach(steps.where(F.col("gap_us") >= micros(min_gap_seconds)), quartile, scope, "q", F.col("to_us"))
+    wide = attach(steps.where(F.col("gap_us") >= micros(min_gap_seconds)), quartile, scope, "q", F.col("to_us"), "n")
     base = F.when(F.col("q.p75") > 0, F.col("q.p75")).otherwise(F.col("q.mean"))
     found = wide.withColumn("_base", base).where(
         (F.col("q.n") >= 2) & (F.col("_base") > 0)
@@ -132,7 +132,8 @@ def event_chain(df: DataFrame, root: DataFrame, roles: Roles | None = None, scop
     half = max_events // 2
     keep = [c for c in (event_id, S.MICROS, S.LEVEL, roles.host, roles.message) if c]
     rows = with_scope(df, scope).where(F.col(S.IS_ANOMALY)).select(*dict.fromkeys([*scope, *keep]), S.TAGS)
-    rows = attach(rows, root.select(*scope, F.col("root_micros").alias("t0")), scope, "r", F.col(event_id))
+    facts = root.select(*scope, F.col("root_micros").alias("t0"), "total_events")
+    rows = attach(rows, facts, scope, "r", F.col(event_id), "total_events")
     rows = rows.withColumn("t0", F.col("r.t0")).drop("r")
     before = top_k(rows.where(F.col(S.MICROS) < F.col("t0")), scope,
                    [F.col(S.MICROS).desc(), F.col(event_id).desc()], half, "_rank")

@@ -2,9 +2,10 @@
 
 Every operator works per scope, a list of grouping columns, and one scope may hold a large part of
 all rows. So no operator sorts a whole scope in one task: facts about a scope are aggregated (with
-partial aggregation before the shuffle) and brought back to the events by `attach`, first-k lists
-are cut before the shuffle by `top_k`, running numbers are built from block sums by `running_total`,
-and exact quantiles come from a histogram that narrows the value range first.
+partial aggregation before the shuffle) and brought back to the events by `attach`, which treats the
+heaviest scopes apart; first-k lists are cut before the shuffle by `top_k`, running numbers are built
+from block sums by `running_total`, and exact quantiles come from a histogram that narrows the value
+range first.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from causeway.functions.times import floor_div
 
 SALTS = 32
+HEAVY_KEYS = 1000  # rows of the one table that is broadcast by name
 GROUP_LIMIT = 1000  # Spark cuts row_number() <= k before the shuffle up to this k
 
 
@@ -29,7 +31,7 @@ def with_scope(df: DataFrame, scope) -> DataFrame:
 
 
 def salted_join(rows: DataFrame, small: DataFrame, keys, spread: Column, how: str = "inner") -> DataFrame:
-    """Equi-join of many rows with a small table, safe against hot keys.
+    """Equi-join of many rows with a table of few rows per key, safe against hot keys.
 
     The rows of one key are spread over `SALTS` tasks by a hash of `spread`; the small table is
     repeated once per salt. No broadcast is asked for; adaptive execution makes one where the table
@@ -41,18 +43,30 @@ def salted_join(rows: DataFrame, small: DataFrame, keys, spread: Column, how: st
     return salted.join(repeated, [*keys, salt], how).drop(salt)
 
 
-def attach(rows: DataFrame, facts: DataFrame, scope, name: str, spread: Column, how: str = "inner") -> DataFrame:
+def attach(rows: DataFrame, facts: DataFrame, scope, name: str, spread: Column, weight: str | None = None,
+           how: str = "inner") -> DataFrame:
     """Add to every row the facts of its scope (one row per scope) as a struct column called `name`.
 
     Without scope columns the facts are one row and come in as a scalar subquery, which Spark holds
-    to one row. With scope columns it is a salted join.
+    to one row. Otherwise `weight`, the number of rows of each scope, tells the `HEAVY_KEYS` heaviest
+    scopes, whose facts are broadcast: a table of fixed size. Any other scope then holds less than a
+    thousandth of the rows, so the remaining rows meet their facts in an ordinary join; rows that are
+    already served are dealt out evenly. Without a weight the join is salted.
     """
     scope = list(scope)
     packed = F.struct(*[F.col(f"`{c}`") for c in facts.columns if c not in scope])
     if not scope:
         out = rows.withColumn(name, facts.select(packed).scalar())
         return out.where(F.col(name).isNotNull()) if how == "inner" else out
-    return salted_join(rows, facts.select(*scope, packed.alias(name)), scope, spread, how)
+    keyed = facts.select(*scope, packed.alias(name))
+    if weight is None:
+        return salted_join(rows, keyed, scope, spread, how)
+    heavy = facts.orderBy(F.col(weight).desc()).limit(HEAVY_KEYS).select(*scope, packed.alias("_heavy"))
+    served = rows.join(F.broadcast(heavy), scope, "left")
+    deal = F.when(F.col("_heavy").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.lit(4096)) + 1).cast("int")
+    both = served.withColumn("_deal", deal).join(keyed.withColumn("_deal", F.lit(0)), [*scope, "_deal"], "left")
+    out = both.withColumn(name, F.coalesce("_heavy", name)).drop("_heavy", "_deal")
+    return out.where(F.col(name).isNotNull()) if how == "inner" else out
 
 
 def top_k(df: DataFrame, scope, order: list[Column], k: int, rank: str) -> DataFrame:
