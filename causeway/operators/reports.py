@@ -48,9 +48,14 @@ def export_enriched(df: DataFrame) -> DataFrame:
     return df.withColumn(S.TAGS, F.array_join(S.TAGS, "|"))
 
 
-def write_enriched(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write by day, so that later reads of a time range skip the other days."""
+def write_enriched(df: DataFrame, path: str, fmt: str = "parquet", rebalance: bool = True) -> None:
+    """Write by day, so that later reads of a time range skip the other days.
+
+    Rows are brought together by day first, large days in several parts, so that few and well-sized
+    files come out; leave that away where the input is already ordered by time.
+    """
     out = export_enriched(df).withColumn("event_date", F.to_date(S.EVENT_TIME))
+    out = out.hint("rebalance", "event_date") if rebalance else out
     writer = out.write.partitionBy("event_date")
     (writer.option("header", True).csv(path) if fmt == "csv" else writer.parquet(path))
 
@@ -177,14 +182,15 @@ def alert_feed(df: DataFrame, roles: Roles | None = None, scope=(), rules: RuleS
 def model_events(df: DataFrame, roles: Roles | None = None, scope=(), max_events: int = 30, sanitize: bool = True) -> DataFrame:
     """The first errors of each scope (or first events, where there are none) as texts for a model."""
     roles = roles or resolve_roles(df)
-    rows = with_scope(df, scope).withColumn("_raw_text", row_to_text(S.display_columns(df)))
-    rows = rows.select(*scope, roles.need("event_id")[0], S.MICROS, S.LEVEL, S.TAGS, S.IS_ERROR, "_raw_text")
+    shown = S.display_columns(df)
+    rows = with_scope(df, scope).select(*dict.fromkeys([
+        *scope, *roles.need("event_id"), S.MICROS, S.LEVEL, S.TAGS, S.IS_ERROR, *shown]))
     top = top_k(rows, scope, [F.col(S.IS_ERROR).desc(), *enrich.time_order(roles)], max_events, "event_no")
     whole = Window.partitionBy(*scope) if scope else Window.partitionBy(F.lit(0))
     # At most max_events rows per scope reach this window.
     top = top.withColumn("_any", F.max(S.IS_ERROR).over(whole)).where(F.col(S.IS_ERROR) | ~F.col("_any"))
     top = top.select(*scope, F.col("event_no").cast("bigint").alias("event_no"), format_ts(F.col(S.MICROS)).alias("ts"),
-                     F.col(S.LEVEL).alias("level"), F.col(S.TAGS).alias("tags"), F.col("_raw_text").alias("raw"))
+                     F.col(S.LEVEL).alias("level"), F.col(S.TAGS).alias("tags"), row_to_text(shown).alias("raw"))
     return pseudonymize(top, "raw", "event_no", scope)[0] if sanitize else top
 
 

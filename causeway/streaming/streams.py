@@ -131,30 +131,39 @@ def cross_host_by_day(enriched: DataFrame, folder: str, roles: Roles | None = No
                       delay_seconds: float = 600.0, limit: int = 10) -> str:
     """Cross-host cascades of each closed day; gives the folder of the result.
 
-    Every micro-batch adds its errors to a table partitioned by day. A day is closed when the newest
-    error lies further behind it than delay and window; it is then worked off by the batch operator,
-    which pairs no events. A repeated micro-batch overwrites what its first run wrote.
+    Every micro-batch adds its errors to a table partitioned by day and notes the days it saw. A day
+    is closed when the newest error lies further behind it than delay and window; it is then worked
+    off once by the batch operator, which pairs no events. A repeated micro-batch overwrites what its
+    first run wrote.
     """
     roles = roles or resolve_roles(enriched)
     event_id, host, message = roles.need("event_id", "cross_host", "message")
     errors = enriched.where(F.col(S.IS_ERROR)).select(event_id, host, message, S.MICROS, S.LEVEL, S.IS_ERROR)
-    kept, result = f"{folder}/errors", f"{folder}/cascades"
+    day = F.date_format(F.timestamp_micros(S.MICROS), "yyyy-MM-dd")
+    kept, seen, finished, result = (f"{folder}/{name}" for name in ("errors", "seen", "finished", "cascades"))
+
+    def notes(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
+        """The notes of the batches so far: a few rows per batch."""
+        return spark.read.schema(f"{schema}, batch_id long").parquet(path).where(F.col("batch_id") <= batch_id)
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        day = F.date_format(F.timestamp_micros(S.MICROS), "yyyy-MM-dd").alias("day")
-        batch.select("*", day).write.mode("overwrite").partitionBy("day").parquet(f"{kept}/batch_id={batch_id}")
-        known = spark.read.option("basePath", kept).parquet(f"{kept}/batch_id=*").withColumn("day", F.col("day").cast("string"))
-        newest = known.agg(F.max(S.MICROS)).first()[0]
-        closed = F.timestamp_micros(F.lit((newest or 0) - micros(delay_seconds + window_seconds)))
-        before = F.date_format(closed, "yyyy-MM-dd")
-        days = known.where(F.col("day") < before)
-        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{result}")
-        if done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-            given = spark.read.option("basePath", result).parquet(f"{result}/batch_id=*").select(F.col("day").cast("string")).distinct()
-            days = days.join(given, "day", "left_anti")
-        found = correlate.cross_host_cascade(days, roles, ["day"], window_seconds, limit)
-        found.write.mode("overwrite").partitionBy("day").parquet(f"{result}/batch_id={batch_id}")
+        spark, part = batch.sparkSession, f"batch_id={batch_id}"
+        batch.select("*", day.alias("day")).write.mode("overwrite").partitionBy("day").parquet(f"{kept}/{part}")
+        batch.groupBy(day.alias("day")).agg(F.max(S.MICROS).alias("newest")).write.mode("overwrite").parquet(f"{seen}/{part}")
+        spark.createDataFrame([], "day string").write.mode("overwrite").parquet(f"{finished}/{part}")
+        days = notes(spark, seen, "day string, newest long", batch_id)
+        closed = F.lit(micros(delay_seconds + window_seconds))
+        limit_day = days.select(F.date_format(F.timestamp_micros(F.max("newest") - closed), "yyyy-MM-dd").alias("before"))
+        due = days.select("day").distinct().join(notes(spark, finished, "day string", batch_id - 1), "day", "left_anti")
+        names = [r.day for r in due.where(F.col("day") < limit_day.scalar()).collect()]
+        if not names:
+            return
+        # The names of the days prune the partitions that are read.
+        schema = T.StructType([*errors.schema.fields, T.StructField("batch_id", T.LongType()), T.StructField("day", T.StringType())])
+        rows = spark.read.schema(schema).parquet(kept).where(F.col("day").isin(names) & (F.col("batch_id") <= batch_id))
+        found = correlate.cross_host_cascade(rows, roles, ["day"], window_seconds, limit)
+        found.write.mode("overwrite").partitionBy("day").parquet(f"{result}/{part}")
+        spark.createDataFrame([(n,) for n in names], "day string").write.mode("overwrite").parquet(f"{finished}/{part}")
 
     query = (errors.writeStream.foreachBatch(add).option("checkpointLocation", f"{folder}/checkpoint")
              .trigger(availableNow=True).start())
