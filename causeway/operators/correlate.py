@@ -109,7 +109,7 @@ def _with_sources(root, df, roles, scope):
     sources = first_sources(df, roles, scope)
     if scope:
         return root.join(sources, list(scope), "left")
-    return attach(root, sources, (), "_s", F.lit(0), how="left").withColumn("sources", F.col("_s.sources")).drop("_s")
+    return attach(root, sources, (), "_s", how="left").withColumn("sources", F.col("_s.sources")).drop("_s")
 
 
 def _from_sources(rows, roles):

@@ -155,7 +155,7 @@ def top_error_messages(df: DataFrame, roles: Roles | None = None, scope=(), top_
     top = top_k(counts, scope, [F.col("occurrences").desc(), F.col("message_pattern").asc()], top_n, "message_rank")
     if not scope:
         most = counts.agg(F.max("occurrences").alias("most"))
-        return attach(top, most, (), "_m", F.lit(0)).withColumn("all_unique", F.col("_m.most") == 1).drop("_m")
+        return attach(top, most, (), "_m").withColumn("all_unique", F.col("_m.most") == 1).drop("_m")
     most = counts.groupBy(*scope).agg((F.max("occurrences") == 1).alias("all_unique"))
     return top.join(most, list(scope))
 

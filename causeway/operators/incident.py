@@ -20,7 +20,7 @@ def beside(facts: DataFrame, more: DataFrame, scope) -> DataFrame:
     if scope:
         return facts.join(more, scope, "left")
     names = more.columns
-    both = attach(facts, more, (), "_more", F.lit(0), how="left")
+    both = attach(facts, more, (), "_more", how="left")
     return both.select(*facts.columns, *[F.col(f"_more.{c}").alias(c) for c in names])
 
 

@@ -43,7 +43,7 @@ def burst_windows(df: DataFrame, scope=(), resample_seconds: float = 30) -> Data
     facts = bins.groupBy(*scope).agg(
         F.sum("events").alias("n"), F.sum(F.col("events").cast("decimal(38,0)") * F.col("events")).cast("decimal(38,0)").alias("sq"),
         (floor_div(F.max("start_us") - F.min("start_us"), width) + 1).alias("bins"))
-    rows = attach(bins, facts, scope, "f", F.col("start_us"), "bins")
+    rows = attach(bins, facts, scope, "f")
 
     def whole(c: Column) -> Column:
         return c.cast("decimal(38,0)")
@@ -94,7 +94,8 @@ def log_gaps(df: DataFrame, scope=(), multiplier: float = 5.0, min_gap_seconds:
     lengths = steps.select(*scope, "gap_us", F.lit(1).cast("bigint").alias("w")).unionByName(repeats)
     lengths = lengths.groupBy(*scope, "gap_us").agg(F.sum("w").alias("w"))
     quartile = exact_quantile(lengths, scope, "gap_us", "w", 3, "p75")
-    wide = attach(steps.where(F.col("gap_us") >= micros(min_gap_seconds)), quartile, scope, "q", F.col("to_us"), "n")
+    # Gaps of the least length are few: the span of a scope divided by that length.
+    wide = attach(steps.where(F.col("gap_us") >= micros(min_gap_seconds)), quartile, scope, "q")
     base = F.when(F.col("q.p75") > 0, F.col("q.p75")).otherwise(F.col("q.mean"))
     found = wide.withColumn("_base", base).where(
         (F.col("q.n") >= 2) & (F.col("_base") > 0)

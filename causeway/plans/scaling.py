@@ -43,15 +43,16 @@ def salted_join(rows: DataFrame, small: DataFrame, keys, spread: Column, how: st
     return salted.join(repeated, [*keys, salt], how).drop(salt)
 
 
-def attach(rows: DataFrame, facts: DataFrame, scope, name: str, spread: Column, weight: str | None = None,
-           how: str = "inner") -> DataFrame:
+def attach(rows: DataFrame, facts: DataFrame, scope, name: str, spread: Column | None = None,
+           weight: str | None = None, how: str = "inner") -> DataFrame:
     """Add to every row the facts of its scope (one row per scope) as a struct column called `name`.
 
     Without scope columns the facts are one row and come in as a scalar subquery, which Spark holds
     to one row. Otherwise `weight`, the number of rows of each scope, tells the `HEAVY_KEYS` heaviest
     scopes, whose facts are broadcast: a table of fixed size. Any other scope then holds less than a
     thousandth of the rows, so the remaining rows meet their facts in an ordinary join; rows that are
-    already served are dealt out evenly. Without a weight the join is salted.
+    already served are dealt out evenly by `spread`. Without a weight the join is an ordinary one, for
+    rows of which every scope has a bounded number.
     """
     scope = list(scope)
     packed = F.struct(*[F.col(f"`{c}`") for c in facts.columns if c not in scope])
@@ -60,7 +61,7 @@ def attach(rows: DataFrame, facts: DataFrame, scope, name: str, spread: Column,
         return out.where(F.col(name).isNotNull()) if how == "inner" else out
     keyed = facts.select(*scope, packed.alias(name))
     if weight is None:
-        return salted_join(rows, keyed, scope, spread, how)
+        return rows.join(keyed, scope, how)
     heavy = facts.orderBy(F.col(weight).desc()).limit(HEAVY_KEYS).select(*scope, packed.alias("_heavy"))
     served = rows.join(F.broadcast(heavy), scope, "left")
     deal = F.when(F.col("_heavy").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.lit(4096)) + 1).cast("int")
