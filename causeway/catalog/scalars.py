@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from causeway import schema as S
-from causeway.catalog.logview import (EN, LEVEL_WORD, LV, RANK_SQL, TAG_PATTERNS, TAGS, VIEW_COLUMNS, canonical_sql, enriched,
+from causeway.catalog.logview import (EN, LEVEL_WORD, LV, TAG_PATTERNS, TAGS, VIEW_COLUMNS, canonical_sql, enriched,
                                       log_view, quote, table, unzoned)
 from causeway.catalog.registry import query
 from causeway.functions import levels

@@ -14,7 +14,7 @@ from causeway.catalog.texts import pseudonym_ctes
 from causeway.catalog.timing import burst_sql, gap_sql
 from causeway.operators import reports
 from causeway.plans.scaling import materialize
-from causeway.rules import CLIP_MARKER
+from causeway.rules import CLIP_MARKER, IPV4_PATTERN
 
 _PRINT = print_sql("lv", ["event_id", "host", "session_id", "sourcetype", "source", "src_ip", "dst_ip", "log_level", "message"], HOST)
 
@@ -90,8 +90,20 @@ def _(spark, sf_dir):
     return rows.withColumn("tags", F.array_join("tags", "|"))
 
 
-@query("model_context")
+_CONTEXT = """total_events long, severity_grade string, raw_error_extracts array<string>,
+    timeline_excerpt array<struct<event_no: long, ts: string, level: string, raw: string>>"""
+
+
+@query("model_context", f"""WITH {root_ctes(HOST)}{_events_ctes('host')[len(EN):]}, x AS (SELECT host, count(*) AS excerpt_events, least(count(*), 5) AS extracts,
+    string_agg({iso_sql('us')} || ' ' || lvl, '|' ORDER BY event_no) AS excerpt FROM me GROUP BY host)
+    SELECT host, total_events, severity_grade, CAST(excerpt_events AS INTEGER) AS excerpt_events, CAST(extracts AS INTEGER) AS extracts, excerpt, FALSE AS shows_address
+    FROM fin JOIN x USING (host)""")
 def _(spark, sf_dir):
     df = written(spark, sf_dir)
-    return reports.model_context(df, reports.incident_summary(df, scope=HOST), scope=HOST)
-
+    context = reports.model_context(df, reports.incident_summary(df, scope=HOST), scope=HOST)
+    parsed = context.select("host", F.from_json("context", _CONTEXT).alias("c"))
+    lines = F.transform("c.timeline_excerpt", lambda e: F.concat(e["ts"], F.lit(" "), e["level"]))
+    shown = F.array_join(F.concat("c.timeline_excerpt.raw", "c.raw_error_extracts"), " ").rlike(IPV4_PATTERN)
+    return parsed.select("host", "c.total_events", "c.severity_grade", F.size("c.timeline_excerpt").alias("excerpt_events"),
+                         F.size("c.raw_error_extracts").alias("extracts"), F.array_join(lines, "|").alias("excerpt"),
+                         shown.alias("shows_address"))

@@ -40,7 +40,7 @@ def burst_sql(seconds: int, scope: list[str]) -> str:
 
 @query("burst_windows", burst_sql(3600, []))
 def _(spark, sf_dir):
-    return series.burst_windows(leveled(spark, sf_dir), resample_seconds=3600)
+    return reports.bursts_ordered(series.burst_windows(leveled(spark, sf_dir), resample_seconds=3600))
 
 
 @query("burst_windows_30s", burst_sql(30, []))

@@ -10,7 +10,7 @@ from causeway.functions.text import normalize_message
 from causeway.functions.times import floor_div, format_duration
 from causeway.operators.incident import beside
 from causeway.plans.scaling import attach, top_k, with_scope
-from causeway.rules import (CAUSE_LABELS, DEFAULT_RULES, FLOW_KEY_CANDIDATES, RECOVERY_MARKER_TAGS, RuleSet)
+from causeway.rules import DEFAULT_RULES, FLOW_KEY_CANDIDATES, RECOVERY_MARKER_TAGS, RuleSet
 from causeway.schema import Roles, resolve_roles
 
 

@@ -151,6 +151,11 @@ def incident_summary(df: DataFrame, roles: Roles | None = None, scope=(), flow_k
         F.struct(F.lit(False).alias("enabled"), F.lit("disabled").alias("status")).alias("model_review"))
 
 
+def write_summary(summary: DataFrame, path: str) -> None:
+    """One JSON record per incident."""
+    summary.write.option("ignoreNullFields", False).json(path)
+
+
 def flat_summary(summary: DataFrame, scope=()) -> DataFrame:
     """The scalar part of the summary."""
     return summary.select(

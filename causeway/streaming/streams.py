@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from causeway import schema as S
-from causeway.functions.times import as_time, micros
+from causeway.functions.times import micros
 from causeway.operators import correlate, series
 from causeway.operators.enrich import enrich
 from causeway.rules import DEFAULT_RULES, RuleSet
@@ -169,9 +169,3 @@ def cross_host_by_day(enriched: DataFrame, folder: str, roles: Roles | None = No
              .trigger(availableNow=True).start())
     query.awaitTermination()
     return result
-
-
-def times_of_episodes(episodes: DataFrame) -> DataFrame:
-    """Episodes with un-zoned times beside the microseconds."""
-    return episodes.withColumns({"first_error": as_time(F.col("first_error_us")),
-                                 "first_recovery": as_time(F.col("first_recovery_us"))})

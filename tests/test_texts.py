@@ -82,9 +82,13 @@ def test_model_context_hides_addresses(events):
     assert reports.model_events(calm, sanitize=False).count() == 30
 
 
-def test_summary_record(events):
+def test_summary_record(spark, events, tmp_path):
     rows = [(0, "lb", "ERROR", "timeout to 10.0.0.1")] + [(i, "db", "ERROR", "out of memory") for i in range(1, 11)] + [
         (75, "lb", "INFO", "service recovered")]
+    reports.write_summary(reports.incident_summary(events(rows)), str(tmp_path / "out"))
+    # 11/12 of 25 for errors, 25 for the cascade, 75/3600 of 25 for recovery, 10 for a grave tag.
+    severity = spark.read.json(str(tmp_path / "out")).first().severity
+    assert (severity.score, severity.grade) == (58, "P3")
     row = reports.incident_summary(events(rows)).first()
     assert (row.total_events, row.error_events, row.host_count, row.cascade_count, row.mttr_seconds) == (12, 11, 2, 10, 75.0)
     assert row.root_cause_host == "lb" and row.root_cause_tags == ["timeout"]
