@@ -63,20 +63,29 @@ def discriminant(counts: np.ndarray, firsts: np.ndarray, seconds: np.ndarray, to
     return Discriminant(share, means, np.linalg.inv(lower), constants)
 
 
-def fit(labelled: DataFrame) -> Discriminant:
-    """`labelled`: columns text and label (0 or 1); every row counts."""
+def fit(docs: DataFrame, known: DataFrame) -> Discriminant:
+    """`docs`: doc_id and text; `known`: doc_id and label (0 or 1). Every labelled row counts.
+
+    Texts become statistics where they are read; only those rows meet the labels.
+    """
     k = len(STATISTICS)
 
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            x = pa.FixedSizeListArray.from_arrays(pa.array(statistics(batch.column("text")).ravel()), k).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), x], ["doc_id", "x"])
+
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 + k + k * k))
-        for batch in slices(batches):
-            x, y = statistics(batch.column("text")), batch.column("label").to_numpy()
+        for batch in batches:
+            x, y = batch.column("x").flatten().to_numpy().reshape(-1, k), batch.column("label").to_numpy()
             for c in (0, 1):
                 own = x[y == c]
                 sums[c] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
         yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(list(sums), pa.list_(pa.float64()))], ["label", "sums"])
 
-    parts = labelled.mapInArrow(add_up, "label int, sums array<double>")
+    described = docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, x array<double>")
+    parts = described.join(known, "doc_id").select("x", F.col("label").cast("int")).mapInArrow(add_up, "label int, sums array<double>")
     rows = (parts.select("label", F.posexplode("sums").alias("at", "value")).groupBy("label", "at").agg(F.sum("value").alias("value"))
             .collect())  # two rows of 1 + k + k * k numbers, whatever the input
     sums = np.zeros((2, 1 + k + k * k))
@@ -104,5 +113,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds:
     """Learn `labels.quality` from the documents outside the held-out fold and score all documents."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label")).where("label in (0, 1)")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = fit(rows.where(~held_out("doc_id", folds)).join(known, "doc_id").select("text", "label"))
+    model = fit(rows.where("doc_id is not null").where(~held_out("doc_id", folds)), known)
     return score(rows, model, threshold, held_out("doc_id", folds))
