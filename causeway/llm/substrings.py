@@ -10,7 +10,7 @@ start in a document of smaller id; windows are judged on the input.
    hash with their documents, which confirms those that recur and names their owner, the smallest id.
    Documents whose whole word sequence is that of a smaller one are settled here: they lose everything.
 3. Automata. Documents with confirmed windows are worked off in slices; the windows of a slice are
-   compiled into one Aho-Corasick automaton over words (each word is one character), which finds every
+   compiled into one Aho-Corasick automaton over numbered words, which finds every
    occurrence in the slice's documents. An occurrence in a document above its owner removes its words.
 
 An automaton is bounded by its slice, so memory does not grow with the corpus; a hot passage is one row
@@ -35,7 +35,7 @@ from causeway.llm.ppm import symbols
 
 WINDOW = 13
 ANCHOR = 4
-CODES = 1_100_000  # characters that can stand for words
+BASE = 48
 
 
 def windows_and_anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,19 +113,35 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield keys_with_documents(keys, np.repeat(np.arange(batch.num_rows), sizes), batch.column("doc_id").to_numpy())
 
 
-def covered(codes: list[str], doc_ids: list[int], phrases: dict[str, int]) -> list[np.ndarray]:
-    """For each coded document which words lie in a phrase of an owner below it. One automaton serves all."""
+def spelled(numbers: np.ndarray, digits: int) -> str:
+    """Each number as so many characters, one for each digit to the base BASE, of an alphabet of the digit's own.
+
+    Nodes of the automaton then have few children, and matches cannot begin inside a word.
+    """
+    places = np.arange(digits)
+    return (numbers[:, None] // BASE**places % BASE + places * BASE + 1).astype("<u4").tobytes().decode("utf-32-le")
+
+
+def covered(numbers: np.ndarray, ends: np.ndarray, doc_ids: list[int], starts: np.ndarray, owners: np.ndarray) -> list[np.ndarray]:
+    """For each document which words lie in a phrase of an owner below it.
+
+    `numbers` are the words of all documents, which begin at `ends[:-1]`; a phrase is the window at one of `starts`.
+    One automaton serves all documents.
+    """
+    top, digits = int(numbers.max(initial=0)), 1
+    while BASE**digits <= top:
+        digits += 1
+    text = spelled(numbers, digits)
     automaton = ahocorasick.Automaton()
-    for phrase, owner in phrases.items():
-        automaton.add_word(phrase, owner)
+    for start, owner in zip(starts.tolist(), owners.tolist(), strict=True):
+        automaton.add_word(text[start * digits : (start + WINDOW) * digits], owner)
     automaton.make_automaton()
     out = []
-    for code, doc_id in zip(codes, doc_ids, strict=True):
-        ends = np.array([end for end, owner in automaton.iter(code) if owner < doc_id], np.int64)
-        change = np.zeros(len(code) + 1, np.int64)
-        np.add.at(change, ends - WINDOW + 1, 1)
-        np.add.at(change, ends + 1, -1)
-        out.append(np.cumsum(change[:-1]) > 0)
+    for doc_id, a, b in zip(doc_ids, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        found = [end for end, owner in automaton.iter(text[a * digits : b * digits]) if owner < doc_id]
+        last = (np.array(found, np.int64) + 1) // digits
+        change = np.bincount(last - WINDOW, minlength=b - a + 1) - np.bincount(last, minlength=b - a + 1)
+        out.append(np.cumsum(change[: b - a]) > 0)
     return out
 
 
@@ -149,26 +165,13 @@ def _cut_rows(with_text: bool):
             places, first = np.unique(whole[fits], return_index=True)
             starts = np.flatnonzero(fits)[first]
             owner = owners[np.searchsorted(keys, places)]
-            # Characters for words; the range of surrogates is left out. Words outside all phrases share one.
-            used = np.zeros(len(coded.dictionary) + 1, bool)
+            # Numbers for the words of phrases; all others share the number 0.
+            used = np.zeros(len(coded.dictionary), bool)
             for k in range(WINDOW):
                 used[index[starts + k]] = True
-            if int(used.sum()) < CODES:
-                number = np.cumsum(used)
-                points = np.where(used[:-1], number[:-1], 0) + 1
-                points = np.where(points >= 0xD800, points + 0x800, points)
-                text = points[index].astype("<u4").tobytes().decode("utf-32-le")
-                phrases = {text[s : s + WINDOW]: o for s, o in zip(starts.tolist(), owner.tolist(), strict=True)}
-                spans = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
-                hit = covered([text[a:b] for a, b in spans], batch.column("doc_id").to_pylist(), phrases)
-                gone = np.concatenate(hit) if hit else np.zeros(0, bool)
-            else:  # one text with over a million different repeated words: its windows are looked up by hash
-                gone = np.zeros(len(index), bool)
-                ids = batch.column("doc_id").to_numpy()
-                at = np.flatnonzero(fits)
-                at = at[owners[np.searchsorted(keys, whole[at])] < ids[row[at]]]
-                for k in range(WINDOW):
-                    gone[at + k] = True
+            number = np.where(used, np.cumsum(used), 0)[index]
+            hit = covered(number, ends, batch.column("doc_id").to_pylist(), starts, owner) if len(starts) else []
+            gone = np.concatenate(hit) if hit else np.zeros(len(index), bool)
             kept_words = flat.filter(pa.array(~gone)).to_pylist()
             upto = np.concatenate([[0], np.cumsum(~gone)])[ends].tolist()
             kept = [" ".join(kept_words[a:b]) for a, b in zip(upto[:-1], upto[1:], strict=True)]
