@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from causeway.llm.common import keep
 
-SAMPLES = 24
+SAMPLES = 16
 LEAST_ID = -(1 << 63)
 
 def _uniform(bits: str) -> str:
@@ -40,25 +40,25 @@ def with_terms(rows: DataFrame, text: str, keys: list[str]) -> DataFrame:
     return out.select(*keys, F.col("_term.h").alias("h"), F.col("_term.tf").alias("tf"))
 
 def samples(terms: DataFrame, keys: list[str], carried: list[str], n: int = SAMPLES) -> DataFrame:
-    """`sig`, the samples of each group of terms as an array; `carried` are bigint columns that are alike in a group."""
-    drawn = terms.withColumn("lw", F.expr("ln(cast(tf as double))"))
-    cols = []
-    for j in range(n):
-
-        cols += [F.expr(f"xxhash64(h, {3 * j}L)").alias(f"a{j}"), F.expr(f"xxhash64(h, {3 * j + 1}L)").alias(f"b{j}"),
-                 F.expr(_uniform(f"xxhash64(h, {3 * j + 2}L) & 4294967295L")).alias(f"u{j}")]
-    drawn = drawn.select(*keys, *carried, "h", "lw", *cols)
+    """`sig`, the samples of each group of terms as an array; `carried` are bigint columns that are alike in a group.
+
+    Pairs of term and sample are rows, so that the generated code stays short enough to be compiled.
+    """
     gamma = lambda x: f"-ln({_uniform(f'{x} & 4294967295L')} * {_uniform(f'shiftrightunsigned({x}, 32)')})"
-    drawn = drawn.select(*keys, *carried, "h", "lw", *[F.expr(gamma(f"a{j}")).alias(f"r{j}") for j in range(n)],
-                         *[F.expr(gamma(f"b{j}")).alias(f"c{j}") for j in range(n)], *[f"u{j}" for j in range(n)])
-    drawn = drawn.select(*keys, *carried, "h", *[f"r{j}" for j in range(n)], *[f"c{j}" for j in range(n)], *[f"u{j}" for j in range(n)],
-                         *[F.expr(f"floor(lw / r{j} + u{j})").alias(f"t{j}") for j in range(n)])
-    order = lambda j: (f"cast(least(greatest((ln(c{j}) - r{j} * (t{j} - u{j} + 1D) + 96D) * 16777216D, 0D), 2147483647D) as bigint)"
-                       f" * 4294967296L + (xxhash64(h, t{j}, {j}L) & 4294967295L)")
-    least = drawn.select(*keys, *carried, *[F.expr(order(j)).alias(f"s{j}") for j in range(n)])
-    grouped = least.groupBy(*keys).agg(*[F.max(c).alias(c) for c in carried], *[F.min(f"s{j}").alias(f"s{j}") for j in range(n)])
-    low = [F.expr(f"s{j} & 4294967295L") for j in range(n)]
-    return grouped.select(*keys, *carried, F.when(F.col("s0").isNotNull(), F.array(*low)).otherwise(F.expr("array()").cast("array<bigint>")).alias("sig"))
+    drawn = terms.select(*keys, *carried, "h", F.expr("ln(cast(tf as double))").alias("lw"),
+                         F.explode(F.array(*[F.lit(j).cast("long") for j in range(n)])).alias("j"))
+    drawn = drawn.select(*keys, *carried, "h", "lw", "j", F.expr("xxhash64(h, j)").alias("a"), F.expr("xxhash64(h, j, 1L)").alias("b"),
+                         F.expr(_uniform("xxhash64(h, j, 2L) & 4294967295L")).alias("u"))
+    drawn = drawn.select(*keys, *carried, "h", "lw", "j", F.expr(gamma("a")).alias("r"), F.expr(gamma("b")).alias("c"), "u")
+    drawn = drawn.select(*keys, *carried, "h", "j", "r", "c", "u", F.expr("floor(lw / r + u)").alias("t"))
+    order = ("cast(least(greatest((ln(c) - r * (t - u + 1D) + 96D) * 16777216D, 0D), 2147483647D) as bigint)"
+             " * 4294967296L + (xxhash64(h, t, j) & 4294967295L)")
+    least = drawn.select(*keys, "j", *carried, F.expr(order).alias("s"))
+    each = least.groupBy(*keys, "j").agg(*[F.max(c).alias(c) for c in carried], F.min("s").alias("s"))
+    grouped = each.groupBy(*keys).agg(*[F.max(c).alias(c) for c in carried],
+                                      F.sort_array(F.collect_list(F.when(F.col("s").isNotNull(), F.struct("j", "s")))).alias("_all"))
+    return grouped.select(*keys, *carried, F.expr("transform(_all, x -> x.s & 4294967295L)").alias("sig"))
+
 
 def likeness(a: str, b: str) -> Column:
     both = F.expr(f"size(filter(zip_with({a}, {b}, (x, y) -> x = y), e -> e)) / cast(size({a}) as double)")
