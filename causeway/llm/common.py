@@ -125,19 +125,24 @@ def keys_with_documents(keys: np.ndarray, rows: np.ndarray, doc_ids: np.ndarray)
     keys, ids = keys[order], ids[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     ends = np.concatenate([first, [len(keys)]])
-    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(signed(keys[first]), pa.int64()), lists], names=["key", "docs"])
+    more = np.diff(ends) - 1  # documents beyond the first; mostly none
+    rest = np.ones(len(ids), bool)
+    rest[first] = False
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(more)]), pa.int32()), pa.array(ids[rest], pa.int64()),
+                                     mask=pa.array(more == 0))
+    return pa.RecordBatch.from_arrays([pa.array(signed(keys[first]), pa.int64()), pa.array(ids[first], pa.int64()), lists],
+                                      names=["key", "doc", "others"])
 
 
-KEYS = "key long, docs array<long>"
+KEYS = "key long, doc long, others array<long>"
 
 
 def shared_keys(keyed: DataFrame) -> DataFrame:
-    """Rows of KEYS whose key belongs to two documents at least, with `owner`, the smallest of them.
+    """`key, owner, docs` of the rows of KEYS whose key two documents have at least; the owner is the smallest of all.
 
     One shuffle of the keys; a hot key has one row per batch there, and the sorted window spills.
     """
     over = Window.partitionBy("key")
-    first, last = F.col("docs")[0], F.element_at("docs", -1)
-    return (keyed.withColumn("owner", F.min(first).over(over)).withColumn("_last", F.max(last).over(over))
-            .where("owner < _last").drop("_last"))
+    last = F.coalesce(F.element_at("others", -1), "doc")
+    return (keyed.withColumn("owner", F.min("doc").over(over)).withColumn("_last", F.max(last).over(over))
+            .where("owner < _last").select("key", "owner", F.concat(F.array("doc"), F.coalesce("others", F.expr("array()").cast("array<bigint>"))).alias("docs")))

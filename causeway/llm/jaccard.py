@@ -61,7 +61,7 @@ def at_least(n):
 
 
 def slack(n: int) -> int:
-    return max(1, n // 16)
+    return max(1, n // 32)
 
 
 def _screen_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,13 +256,13 @@ def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def _trees(sets: DataFrame) -> DataFrame:
-    """`doc_id, root` for sets with a cluster; a cluster over CHUNK_TOKENS is dealt to chunks by hash."""
-    sizes = sets.groupBy("cluster").agg(F.expr(f"sum(size(shingles)) div {CHUNK_TOKENS} + 1").alias("chunks"))
-    dealt = sets.join(sizes, "cluster").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), "chunks"))
-    sorted_ = dealt.select("cluster", "chunk", "doc_id", "shingles").repartition("cluster", "chunk") \
+def _trees(sets: DataFrame, placed: DataFrame) -> DataFrame:
+    """`doc_id, root` for sets `placed` (doc_id, n, cluster); a cluster over CHUNK_TOKENS is dealt to chunks by hash."""
+    sizes = placed.groupBy("cluster").agg(F.expr(f"sum(n) div {CHUNK_TOKENS} + 1").alias("chunks"))
+    dealt = placed.join(sizes, "cluster").select("doc_id", "cluster", F.pmod(F.xxhash64("doc_id"), "chunks").alias("chunk")).distinct()
+    sorted_ = sets.select("doc_id", "shingles").join(dealt, "doc_id").repartition("cluster", "chunk") \
         .sortWithinPartitions("cluster", "chunk", "doc_id")
-    return sorted_.mapInArrow(_tree_rows, "doc_id long, root long")
+    return sorted_.select("cluster", "chunk", "doc_id", "shingles").mapInArrow(_tree_rows, "doc_id long, root long")
 
 
 def _across(sets: DataFrame, rows: DataFrame, comps: DataFrame) -> DataFrame:
@@ -292,12 +292,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     with_hits = rows.join(hits, "doc_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
     every = keep(with_hits.mapInArrow(_set_rows, SETS), "sets")
 
-    marks = every.where("n > 0 and doc_id is not null").groupBy("mark").agg(
-        F.min("doc_id").alias("rep"), F.min(F.when(F.col("shingles").isNotNull(), F.col("doc_id"))).alias("holder"))
-    held = every.where("shingles is not null and doc_id is not null").select("mark", F.col("doc_id").alias("holder"), "shingles")
-    sets = keep(held.join(marks, ["mark", "holder"]).select(F.col("rep").alias("doc_id"), "mark", "shingles").dropDuplicates(["mark"])
-                .drop("mark"), "active")
-    total = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    # The sets left; of identical ones each task has sent one.
+    sets = every.where("shingles is not null and doc_id is not null").select("doc_id", "n", "shingles")
+    total = sets.agg(F.sum("n")).first()[0] or 0
     counted = (sets.select("shingles").mapInArrow(_local_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
                .where(F.col("n") >= max(4, -(-total // HINTS))))
     hints = counted.toArrow()  # at most HINTS rows: their counts add up to `total` at most
@@ -306,16 +303,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     shared = keep(shared_keys(sets.mapInArrow(_prefix_rows(frequent), KEYS))
                   .select("key", "owner", F.explode("docs").alias("doc_id")), "prefixes")
     clusters = components(shared.select(F.col("owner").alias("a"), F.col("doc_id").alias("b")).where("a != b").distinct())
-    clustered = sets.join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
-    roots = keep(_trees(clustered), "roots")
-    weights = clustered.groupBy("cluster").agg(F.sum(F.size("shingles")).alias("w")).where(F.col("w") >= CHUNK_TOKENS)
-    large = keep(clustered.select("doc_id", "cluster").join(weights, "cluster").select("doc_id", "cluster"), "large")
+    light = sets.select("doc_id", "n").join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
+    roots = keep(_trees(sets, light), "roots")
+    weights = light.groupBy("cluster").agg(F.sum("n").alias("w")).where(F.col("w") >= CHUNK_TOKENS)
+    large = keep(light.select("doc_id", "cluster").distinct().join(weights, "cluster").select("doc_id", "cluster"), "large")
     found = roots.select("doc_id", F.col("root").alias("component"))
     if not large.isEmpty():
         inner = roots.join(large, "doc_id")
-        leaders = sets.join(inner.select(F.col("root").alias("doc_id"), "cluster").distinct(), "doc_id")
+        leaders = light.join(inner.select(F.col("root").alias("doc_id")).distinct(), "doc_id", "left_semi")
         edges = inner.select(F.col("doc_id").alias("a"), F.col("root").alias("b")).unionByName(
-            _trees(leaders).select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
+            _trees(sets, leaders).select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
         edges = keep(edges.where("a != b"), "links")
         known = components(edges)
         comps = keep(large.select("doc_id").join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -324,9 +321,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         merged = components(edges.unionByName(across))
         found = found.join(large.select("doc_id"), "doc_id", "left_anti").unionByName(
             merged.select(F.col("node").alias("doc_id"), "component"))
-    # Identical sets, and rows that share an id, belong together.
-    named = every.where("doc_id is not null").join(marks.select("mark", "rep"), "mark", "left").join(
-        found.select(F.col("doc_id").alias("rep"), "component"), "rep", "left")
-    labels = named.select("doc_id", F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("c"))
+    # Identical sets belong together, whichever of them was compared.
+    labelled = every.select("doc_id", "n", "mark").where("doc_id is not null").join(found, "doc_id", "left")
+    marks = labelled.where("n > 0").groupBy("mark").agg(F.min("component").alias("root"), F.min("doc_id").alias("least"))
+    tops = marks.where("root is not null").groupBy("root").agg(F.min("least").alias("top"))
+    marks = marks.join(tops, "root", "left").select("mark", F.coalesce("top", "least").alias("c"))
+    labels = labelled.join(marks, "mark", "left").select("doc_id", F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("c"))
     per_id = labels.groupBy("doc_id").agg(F.min("c").alias("component_id"))
     return every.select("doc_id", F.col("n").alias("n_shingles")).join(per_id, "doc_id", "left").select("doc_id", "n_shingles", "component_id")
