@@ -173,7 +173,7 @@ class PairIndexBpe:
             parts.append(found)
             plain += [x for x in found if x not in self.special]
         split = self.split(plain)
-        unknown = list({p for s in split for p in s} - self.pieces.keys())
+        unknown = list({p for s in split for p in s if p not in self.pieces})
         if len(self.pieces) + len(unknown) > CACHE_CHUNKS:
             self.pieces = {}
             unknown = list({p for s in split for p in s})
@@ -188,7 +188,7 @@ class PairIndexBpe:
 
     def known(self, chunks: list[str]) -> dict[str, tuple[bytes, str | None]]:
         """Ids and decoded text of all these chunks (None where there is no id)."""
-        missing = list(set(chunks) - self.chunks.keys())
+        missing = list({c for c in chunks if c not in self.chunks})
         if len(self.chunks) + len(missing) > CACHE_CHUNKS:
             self.chunks = {}
             missing = list(set(chunks))

@@ -41,7 +41,7 @@ class ChunkCounter:
         known = self.known
         if len(known) > CACHE_CHUNKS:
             self.known = known = {}
-        for c in set(chunks) - known.keys():
+        for c in {c for c in chunks if c not in known}:
             known[c] = len(self.encoding.encode(c, allowed_special={SPECIAL}))
         return [known[c] for c in chunks]
 
