@@ -53,7 +53,7 @@ def samples(terms: DataFrame, keys: list[str], carried: list[str], n: int = SAMP
     drawn = drawn.select(*keys, *carried, "h", "j", "r", "c", "u", F.expr("floor(lw / r + u)").alias("t"))
     order = ("cast(least(greatest((ln(c) - r * (t - u + 1D) + 96D) * 16777216D, 0D), 2147483647D) as bigint)"
              " * 4294967296L + (xxhash64(h, t, j) & 4294967295L)")
-    least = drawn.select(*keys, "j", *carried, F.expr(order).alias("s"))
+    least = drawn.select(*keys, "j", *carried, F.expr(f"case when h is not null then {order} end").alias("s"))
     each = least.groupBy(*keys, "j").agg(*[F.max(c).alias(c) for c in carried], F.min("s").alias("s"))
     grouped = each.groupBy(*keys).agg(*[F.max(c).alias(c) for c in carried],
                                       F.sort_array(F.collect_list(F.when(F.col("s").isNotNull(), F.struct("j", "s")))).alias("_all"))
