@@ -31,10 +31,10 @@ def network_evidence(df: DataFrame, scope=(), columns: list[str] | None = None,
     return rows.select(*scope, F.explode(found).alias("e")).select(*scope, "e.kind", "e.value").distinct()
 
 
-def evidence_summary(evidence: DataFrame, scope=(), shown: int = 30) -> DataFrame:
-    """Per kind the number of distinct values and the first ones in text order."""
+def evidence_summary(evidence: DataFrame, scope=(), shown: int | None = 30) -> DataFrame:
+    """Per kind the number of distinct values and the first ones in text order; all of them for `None`."""
     counts = evidence.groupBy(*scope, "kind").agg(F.count(F.lit(1)).alias("distinct_values"))
-    first = top_k(evidence, [*scope, "kind"], [F.col("value").asc()], shown, "_r")
+    first = evidence if shown is None else top_k(evidence, [*scope, "kind"], [F.col("value").asc()], shown, "_r")
     lists = first.groupBy(*scope, "kind").agg(F.sort_array(F.collect_list("value")).alias("shown_values"))
     return counts.join(lists, [*scope, "kind"])
 

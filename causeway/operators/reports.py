@@ -51,10 +51,12 @@ def export_enriched(df: DataFrame) -> DataFrame:
 def write_enriched(df: DataFrame, path: str, fmt: str = "parquet", rebalance: bool = True) -> None:
     """Write by day, so that later reads of a time range skip the other days.
 
+    Parquet keeps the tag lists, so that every operator runs on the table read back; CSV has them as `a|b`.
+
     Rows are brought together by day first, large days in several parts, so that few and well-sized
     files come out; leave that away where the input is already ordered by time.
     """
-    out = export_enriched(df).withColumn("event_date", F.to_date(S.EVENT_TIME))
+    out = (export_enriched(df) if fmt == "csv" else df).withColumn("event_date", F.to_date(S.EVENT_TIME))
     out = out.hint("rebalance", "event_date") if rebalance else out
     writer = out.write.partitionBy("event_date")
     (writer.option("header", True).csv(path) if fmt == "csv" else writer.parquet(path))
@@ -105,9 +107,8 @@ def incident_summary(df: DataFrame, roles: Roles | None = None, scope=(), flow_k
                      report_path: str | None = None) -> DataFrame:
     """One nested record per incident.
 
-    Lists that can grow without bound (evidence, hosts) are held as counts and the entries a report
-    shows; the whole lists are the tables of `network_evidence` and `recovery_timeline`. Pass an
-    enriched table that has been written, since it is read once per part.
+    Evidence and host lists are whole. Pass an enriched table that has been written, since it is read
+    once per part.
     """
     from causeway.sources.files import table_fingerprint
 
@@ -120,12 +121,10 @@ def incident_summary(df: DataFrame, roles: Roles | None = None, scope=(), flow_k
     gaps = series.log_gaps(df, scope).groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct(
         "gap_rank", "gap_from", "gap_to", "gap_minutes", "gap_factor"))).alias("log_gaps"))
     columns = [c for c in S.display_columns(df) if c != roles.event_id]
-    downs = top_k(impact.recovery_timeline(df, roles, scope), scope,
-                  [F.col("first_error_us").asc(), F.col(host).asc()], 20, "_r")
-    downs = downs.groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct(
-        "_r", F.col(host).cast("string").alias("host"), format_ts(F.col("first_error_us")).alias("first_error"),
+    downs = impact.recovery_timeline(df, roles, scope).groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct(
+        "first_error_us", F.col(host).cast("string").alias("host"), format_ts(F.col("first_error_us")).alias("first_error"),
         format_ts(F.col("first_recovery_us")).alias("first_recovery"), "downtime", "errors"))).alias("recovery_timeline"))
-    found = evidence.evidence_summary(evidence.network_evidence(df, scope), scope)
+    found = evidence.evidence_summary(evidence.network_evidence(df, scope), scope, shown=None)
     found = found.groupBy(*scope).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "distinct_values")))).alias("evidence_counts"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "shown_values")))).alias("network_evidence"))

@@ -88,7 +88,7 @@ def resolve_roles(columns, **overrides: str) -> Roles:
     return replace(roles, **overrides)
 
 
-_DERIVED = {EVENT_TIME, MICROS, LEVEL, COMBINED, LOWERED, IS_ERROR, IS_WARNING, IS_RECOVERY, IS_ANOMALY, TAGS}
+_DERIVED = {EVENT_TIME, MICROS, LEVEL, COMBINED, LOWERED, IS_ERROR, IS_WARNING, IS_RECOVERY, IS_ANOMALY, TAGS, "event_date"}
 
 
 def is_derived(column: str) -> bool:

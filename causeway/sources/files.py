@@ -67,35 +67,64 @@ def read_csv(spark: SparkSession, path, encoding: str = "utf-8", infer: bool = T
     reader = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
               .option("encoding", SPARK_ENCODING[encoding]))
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", infer)
-    return reader.csv(path)
+    return with_event_id(reader.csv(path))
+
+
+def with_event_id(df: DataFrame) -> DataFrame:
+    """Rows of files with an `event_id` that sorts by file, split and place in the split, unless they have one.
+
+    The id is the same in every read that splits the files alike.
+    """
+    if "event_id" in df.columns:
+        return df
+    place = F.lpad(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).cast("string"), 10, "0")
+    block = F.lpad(F.col("_metadata.file_block_start").cast("string"), 15, "0")
+    return df.select(F.concat_ws(":", F.col("_metadata.file_path"), block, place).alias("event_id"), "*")
 
 
 def read_raw(spark: SparkSession, path, encoding: str = "utf-8") -> DataFrame:
-    return assemble_records(read_lines(spark, path, encoding), "file", "block", "seq", "line")
+    """The records of raw logs, with an `event_id` made of the file and the record's number."""
+    records = assemble_records(read_lines(spark, path, encoding), "file", "block", "seq", "line")
+    number = F.lpad(F.col("record_no").cast("string"), 15, "0")
+    return records.select(F.concat_ws(":", "source", number).alias("event_id"), "*")
 
 
 def route_files(spark: SparkSession, path, requested: str = "utf-8") -> DataFrame:
-    """(file, format, encoding, multi_line) of every file.
+    """(file, format, encoding, multi_line, header) of every file; the header is the first line of a CSV file.
 
     A record that goes on over a line break leaves an odd number of quotes on its first line.
     """
     lines = read_lines(spark, path)
-    formats = sniff_format(lines, "file", ["block", "seq"], "line").select("file", "format")
+    formats = sniff_format(lines, "file", ["block", "seq"], "line").select(
+        "file", "format", F.when(F.col("format") == "csv", F.col("first_line")).alias("header"))
     quotes = F.char_length("line") - F.char_length(F.replace("line", F.lit('"'), F.lit("")))
     spanning = lines.groupBy("file").agg(F.max(quotes % 2 == 1).alias("multi_line"))
     return formats.join(detect_encoding(spark, path, requested), "file").join(spanning, "file")
 
 
-def load_logs(spark: SparkSession, path, requested: str = "utf-8") -> dict[tuple[str, str, bool], DataFrame]:
-    """One table per (format, encoding, multi_line) that occurs. Only file names come to the driver,
-    as they do for any read of a list of files."""
-    routed: dict[tuple[str, str, bool], list[str]] = {}
+def load_logs(spark: SparkSession, path, requested: str = "utf-8", infer: bool = True) -> dict[tuple[str, str, bool, str | None], DataFrame]:
+    """One table per (format, encoding, multi_line, header) that occurs; `load_events` makes one of them.
+
+    Only file names come to the driver, as they do for any read of a list of files.
+    """
+    routed: dict[tuple[str, str, bool, str | None], list[str]] = {}
     for r in route_files(spark, path, requested).collect():
         spanning = r.format == "csv" and r.multi_line
-        routed.setdefault((r.format, r.encoding, spanning), []).append(r.file)
-    return {(fmt, enc, spanning): read_raw(spark, files, enc) if fmt == "raw"
-            else read_csv(spark, files, enc, multi_line=spanning)
-            for (fmt, enc, spanning), files in routed.items()}
+        routed.setdefault((r.format, r.encoding, spanning, r.header), []).append(r.file)
+    return {(fmt, enc, spanning, header): read_raw(spark, files, enc) if fmt == "raw"
+            else read_csv(spark, files, enc, infer=infer, multi_line=spanning)
+            for (fmt, enc, spanning, header), files in routed.items()}
+
+
+def load_events(spark: SparkSession, path, requested: str = "utf-8") -> DataFrame:
+    """All log files as one table of text columns, matched by name; columns that a file lacks are null."""
+    tables = list(load_logs(spark, path, requested, infer=False).values())
+    if not tables:
+        raise ValueError(f"no log file at {path}")
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
 
 
 def file_fingerprints(spark: SparkSession, path) -> DataFrame:

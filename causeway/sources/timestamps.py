@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 
 # The formats that are tried, in order of preference.
 FORMATS = {
-    "iso_fraction_zone": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS[XXX][XX]",
-    "iso_zone": "yyyy-MM-dd'T'HH:mm:ss[XXX][XX]",
-    "iso_fraction": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-    "iso": "yyyy-MM-dd'T'HH:mm:ss",
-    "sql_fraction": "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    "sql_comma_fraction": "yyyy-MM-dd HH:mm:ss,SSSSSS",
-    "sql": "yyyy-MM-dd HH:mm:ss",
-    "access_log": "dd/MMM/yyyy:HH:mm:ss Z",
-    "syslog": "yyyy MMM d HH:mm:ss",
-    "us": "MM/dd/yyyy HH:mm:ss",
-    "day_first": "dd-MM-yyyy HH:mm:ss",
+    "iso_fraction_zone": "yyyy-M-d'T'H:m:s.SSSSSS[XXX][XX]",
+    "iso_zone": "yyyy-M-d'T'H:m:s[XXX][XX]",
+    "iso_fraction": "yyyy-M-d'T'H:m:s.SSSSSS",
+    "iso": "yyyy-M-d'T'H:m:s",
+    "sql_fraction": "yyyy-M-d H:m:s.SSSSSS",
+    "sql_comma_fraction": "yyyy-M-d H:m:s,SSSSSS",
+    "sql": "yyyy-M-d H:m:s",
+    "access_log": "d/MMM/yyyy:H:m:s Z",
+    "syslog": "yyyy MMM d H:m:s",
+    "us": "M/d/yyyy H:m:s",
+    "day_first": "d-M-yyyy H:m:s",
 }
 # What a text of each format looks like. Only texts of the right shape are parsed: a failed attempt
 # costs far more than a look at the shape.
