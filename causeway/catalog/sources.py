@@ -26,7 +26,7 @@ def _(spark, sf_dir):
     df = table(spark, sf_dir, "documents")
     path = shared_dir(spark, "csv-documents")
     df.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
-    return files.read_csv(spark, path, schema=df.schema)
+    return files.read_csv(spark, path, schema=df.schema).drop("event_id")
 
 
 # One header line per event (none for some views), two more lines after every exception.
@@ -138,4 +138,5 @@ def _(spark, sf_dir):
     path = shared_dir(spark, "enriched")
     reports.write_enriched(enriched(spark, sf_dir), path)
     flags = [S.LEVEL, S.IS_ERROR, S.IS_WARNING, S.IS_RECOVERY, S.IS_ANOMALY, *[S.FLAG_PREFIX + t for t in TAGS], S.TAGS]
-    return unzoned(spark.read.parquet(path).select("event_id", "timestamp", "host", "message", *flags))
+    # The written table keeps the tags as lists; only the comparison joins them.
+    return unzoned(reports.export_enriched(spark.read.parquet(path)).select("event_id", "timestamp", "host", "message", *flags))

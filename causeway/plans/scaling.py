@@ -10,7 +10,6 @@ range first.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -146,15 +145,13 @@ def exact_quantile(counts: DataFrame, scope, value: str, weight: str, quarters:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder below the one the cluster names in spark.checkpoint.dir.
 
-    A machine-local folder is used only where none is named and the master itself is local.
+    Where none is named, as in tests, the warehouse folder takes its place if the master itself is local.
     """
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not context.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="causeway-"))
-        root = context.getCheckpointDir()
+        root = spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
