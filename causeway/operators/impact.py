@@ -117,8 +117,10 @@ def tag_cooccurrence(df: DataFrame, scope=(), rules: RuleSet = DEFAULT_RULES, li
 
 
 def duplicate_count(df: DataFrame, columns: list[str] | None = None, scope=()) -> DataFrame:
-    """Rows beyond the first of each group of equal rows; by default over the display columns."""
-    columns = S.display_columns(df) if columns is None else columns
+    """Rows beyond the first of each group of equal rows; by default over the display columns but the event id."""
+    if columns is None:
+        event_id = resolve_roles(df).event_id
+        columns = [c for c in S.display_columns(df) if c != event_id]
     groups = with_scope(df, scope).groupBy(*dict.fromkeys([*scope, *columns])).agg(F.count(F.lit(1)).alias("_n"))
     return groups.groupBy(*scope).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicate_count"))
 

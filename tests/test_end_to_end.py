@@ -50,3 +50,7 @@ def test_lists_of_the_summary_are_whole(spark, events):
 def test_times_without_leading_zeros(spark, text, want):
     df = enrich(spark.createDataFrame([(1, text, "h", "ERROR", "x")], "event_id long, timestamp string, host string, log_level string, message string"))
     assert df.selectExpr("cast(_timestamp_parsed as string) as t").first().t == want
+
+
+def test_duplicates_do_not_look_at_the_event_id(spark, events):
+    assert impact.duplicate_count(events([(1, "h", "ERROR", "x"), (1, "h", "ERROR", "x"), (2, "h", "ERROR", "x")])).first().duplicate_count == 1
