@@ -37,6 +37,22 @@ def keep(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_by(df: DataFrame, purpose: str, key: str) -> DataFrame:
+    """As `keep`, in buckets of `key`: joins on it then move the other side alone.
+
+    The table's data lie below spark.checkpoint.dir as well; its name in the catalog is given back at once.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    name = f"{purpose}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.write.format("parquet").option("compression", "zstd").option("path", f"{root.rstrip('/')}/llm/{name}")
+     .bucketBy(buckets, key).saveAsTable(name))
+    kept = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return kept
+
+
 def held_out(doc_id: str | Column, folds: int, fold: int = 2) -> Column:
     """Whether a document belongs to the fold that no model learns from."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id), F.lit(folds)) == fold,

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import (KEYS, U, keep, keys_with_documents, run_hashes, shared_keys, signed, slices,
+from causeway.llm.common import (KEYS, U, keep, keep_by, keys_with_documents, run_hashes, shared_keys, signed, slices,
                                  word_hashes, words)
 from causeway.llm.components import components
 
@@ -266,14 +266,24 @@ def _trees(sets: DataFrame, placed: DataFrame) -> DataFrame:
 
 
 def _across(sets: DataFrame, rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """Links `a, b` between different components: every candidate pair of a shared first shingle is compared."""
+    """Links `a, b` between different components: every candidate pair that can reach the bound is compared.
+
+    Let c be the number of shingles that the first ones of both sets share, and r the number of a set's other
+    shingles. Of the two, the set whose first shingles end earlier shares at most c + r with the other.
+    """
     placed = rows.join(comps, "doc_id")
     per = placed.groupBy("key", "component").count()
     main = per.groupBy("key").agg(F.max(F.struct("count", F.negative("component").alias("c"))).alias("top"), F.count("*").alias("k"))
     mixed = placed.join(main.where("k > 1").select("key", F.negative(F.col("top.c")).alias("main")), "key")
-    odd = mixed.where("component != main").select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca"))
-    pairs = odd.join(mixed.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb")), "key").where("ca != cb")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda c: [F.col(x).alias(f"{y}{c}") for x, y in (("doc_id", ""), ("component", "c"), ("n", "n"))]
+    odd = mixed.where("component != main").select("key", *side("a"))
+    # Per key a pair comes once: a member of the main component is always on the right.
+    pairs = odd.join(mixed.select("key", "main", *side("b")), "key").where(
+        "ca != cb and (cb = main or a < b) and 4 * least(na, nb) >= 3 * greatest(na, nb)")
+    shared = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("na", "nb").alias("low"),
+                           F.greatest("na", "nb").alias("high")).agg(F.count("*").alias("c"))
+    # ceil(3n/4) - 1 shingles are not among the first ones.
+    pairs = shared.where("7 * (c + (3 * high + 3) div 4 - 1) >= 3 * (low + high)").select("a", "b").distinct()
     of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}"))
     met = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("o", F.size(F.array_intersect("sa", "sb")))
     return met.where(4 * F.col("o") >= 3 * (F.size("sa") + F.size("sb") - F.col("o"))).select("a", "b")
@@ -290,7 +300,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     screened = shared_keys(rows.where("doc_id is not null").mapInArrow(_screen_rows, KEYS))
     hits = screened.select(F.explode("docs").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("hits"))
     with_hits = rows.join(hits, "doc_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
-    every = keep(with_hits.mapInArrow(_set_rows, SETS), "sets")
+    every = keep_by(with_hits.mapInArrow(_set_rows, SETS), "sets", "doc_id")
 
     # The sets left; of identical ones each task has sent one.
     sets = every.where("shingles is not null and doc_id is not null").select("doc_id", "n", "shingles")
@@ -306,20 +316,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     light = sets.select("doc_id", "n").join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
     roots = keep(_trees(sets, light), "roots")
     weights = light.groupBy("cluster").agg(F.sum("n").alias("w")).where(F.col("w") >= CHUNK_TOKENS)
-    large = keep(light.select("doc_id", "cluster").distinct().join(weights, "cluster").select("doc_id", "cluster"), "large")
+    large = keep(light.select("doc_id", "n", "cluster").distinct().join(weights, "cluster").select("doc_id", "n"), "large")
+    members = large.select("doc_id").distinct()
     found = roots.select("doc_id", F.col("root").alias("component"))
     if not large.isEmpty():
-        inner = roots.join(large, "doc_id")
+        inner = roots.join(members, "doc_id")
         leaders = light.join(inner.select(F.col("root").alias("doc_id")).distinct(), "doc_id", "left_semi")
         edges = inner.select(F.col("doc_id").alias("a"), F.col("root").alias("b")).unionByName(
             _trees(sets, leaders).select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
         edges = keep(edges.where("a != b"), "links")
         known = components(edges)
-        comps = keep(large.select("doc_id").join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-                     .select("doc_id", F.coalesce("component", "doc_id").alias("component")), "components")
-        across = _across(sets, shared.join(large.select("doc_id"), "doc_id", "left_semi"), comps)
+        comps = keep(large.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+                     .select("doc_id", "n", F.coalesce("component", "doc_id").alias("component")), "components")
+        across = _across(sets, shared.join(members, "doc_id", "left_semi"), comps)
         merged = components(edges.unionByName(across))
-        found = found.join(large.select("doc_id"), "doc_id", "left_anti").unionByName(
+        found = found.join(members, "doc_id", "left_anti").unionByName(
             merged.select(F.col("node").alias("doc_id"), "component"))
     # Identical sets belong together, whichever of them was compared.
     labelled = every.select("doc_id", "n", "mark").where("doc_id is not null").join(found, "doc_id", "left")
