@@ -16,7 +16,7 @@ from causeway.streaming import streams
 
 def stream(spark, sf_dir):
     prepare(spark)
-    return view_of(streams.read_table_stream(spark, sf_dir, "events.parquet"))
+    return view_of(streams.read_table_stream(spark, f"{sf_dir}/events.parquet"))
 
 
 def run(df, name: str):

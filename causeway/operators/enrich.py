@@ -12,25 +12,27 @@ from causeway.plans.once import compute_once
 from causeway.plans.scaling import top_k
 from causeway.rules import DEFAULT_RULES, RuleSet
 from causeway.schema import Roles, resolve_roles
-from causeway.sources.timestamps import parse_timestamps
+from causeway.sources.timestamps import TimeFormat, parse_timestamps
 
 
-def normalize_time(df: DataFrame, roles: Roles | None = None, year: int = 1970) -> DataFrame:
-    """Add the event time and its microseconds; a text or number column is voted on first."""
+def normalize_time(df: DataFrame, roles: Roles | None = None, year: int = 1970,
+                   time_format: TimeFormat | None = None) -> DataFrame:
+    """Add the event time and its microseconds; a text or number column is voted on first, unless its format is given."""
     (source,) = (roles or resolve_roles(df)).need("timestamp")
     field = df.schema[source].dataType
     df = df.withColumn(S.EVENT_TIME, F.col(f"`{source}`"))
     if not isinstance(field, (TimestampType, TimestampNTZType)):
-        df = parse_timestamps(df, S.EVENT_TIME, year)
+        df = parse_timestamps(df, S.EVENT_TIME, year, formats=time_format and {S.EVENT_TIME: time_format})
     return (df.withColumn(S.EVENT_TIME, F.col(S.EVENT_TIME).cast("timestamp"))
             .withColumn(S.MICROS, F.unix_micros(S.EVENT_TIME)))
 
 
-def enrich_levels(df: DataFrame, roles: Roles | None = None, year: int = 1970) -> DataFrame:
+def enrich_levels(df: DataFrame, roles: Roles | None = None, year: int = 1970,
+                  time_format: TimeFormat | None = None) -> DataFrame:
     """Time, level and level flags: enough for operators that look at errors and warnings only."""
     roles = roles or resolve_roles(df)
     if roles.timestamp and S.MICROS not in df.columns:
-        df = normalize_time(df, roles, year)
+        df = normalize_time(df, roles, year, time_format)
     df = compute_once(df, {S.LEVEL: levels.find_level(roles.level, S.text_columns(df))})
     word = F.col(S.LEVEL)
     return df.withColumns({S.LEVEL: levels.canonical_level(word), S.IS_ERROR: levels.is_error(word),
@@ -47,14 +49,15 @@ def with_tags(df: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
     return df.selectExpr(f"* EXCEPT ({S.LOWERED})", f"{listed} AS {S.TAGS}")
 
 
-def enrich(df: DataFrame, roles: Roles | None = None, rules: RuleSet = DEFAULT_RULES, year: int = 1970) -> DataFrame:
+def enrich(df: DataFrame, roles: Roles | None = None, rules: RuleSet = DEFAULT_RULES, year: int = 1970,
+           time_format: TimeFormat | None = None) -> DataFrame:
     """The whole normalisation: time, level, combined text, flags, tags.
 
     Write the result (`write_enriched`) and run the operators on the written table: they then read
     only the columns they need and push their filters into the scan.
     """
     texts = S.text_columns(df)
-    df = enrich_levels(df, roles, year)
+    df = enrich_levels(df, roles, year, time_format)
     df = with_tags(compute_once(df, {S.COMBINED: tags.combine_text([*texts, S.LEVEL])}), rules)
     flags = " OR ".join([S.IS_ERROR, *[f"`{S.FLAG_PREFIX}{t}`" for t in rules.tags]])
     return df.selectExpr("*", f"({flags}) AS {S.IS_ANOMALY}")

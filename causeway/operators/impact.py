@@ -227,12 +227,8 @@ def detect_flow_key(df: DataFrame, hint: str | None = None) -> str | None:
         for c in sorted(counts, key=lambda name: name != candidate):
             if c.lower() == candidate and 1 < counts[c][1] < counts[c][0] * 0.9:
                 return c
-    # An estimate rules out columns of clearly more than 500 values, so only the others are counted.
     texts = [c for c in S.text_columns(df) if not c.startswith("_")]
-    if not texts:
-        return None
-    estimate = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(texts)]).first()
-    counts = _profile(df, [c for i, c in enumerate(texts) if estimate[f"d{i}"] <= 1000])
+    counts = _profile(df, texts)
     return next((c for c in texts if c in counts and 1 < counts[c][1] <= 500), None)
 
 

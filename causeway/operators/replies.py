@@ -13,15 +13,15 @@ from causeway.rules import REPLY_KEYS, REPLY_SECTIONS
 
 
 def _salvage(text: str) -> tuple[str, object] | None:
-    """The widest piece from the first brace to some later closing brace that is JSON."""
+    """The object that begins at the first brace, found in one scan; an object can end at one place only."""
     start = text.find("{")
-    stop = text.rfind("}") if start >= 0 else -1
-    while stop > start:
-        try:
-            return text[start:stop + 1], json.loads(text[start:stop + 1])
-        except ValueError:
-            stop = text.rfind("}", start, stop)
-    return None
+    if start < 0:
+        return None
+    try:
+        value, stop = json.JSONDecoder().raw_decode(text, start)
+    except ValueError:
+        return None
+    return text[start:stop], value
 
 
 _REPAIRED = T.StructType([
@@ -50,8 +50,8 @@ def _repair(texts: pd.Series) -> pd.DataFrame:
 def audit_replies(df: DataFrame, text: str) -> DataFrame:
     """Status, reason, missing keys and the usable JSON text of every reply.
 
-    Plain objects are recognised natively. Only the other replies go to Python, which cuts them back
-    from the right until they parse.
+    Plain objects are recognised natively. Only the other replies go to Python, which looks for the
+    object in them.
     """
     c = F.col(text)
     # Strict JSON with nothing around it: as the only element of an array it must still parse.

@@ -77,7 +77,7 @@ def top_k(df: DataFrame, scope, order: list[Column], k: int, rank: str) -> DataF
         return df.orderBy(*order).limit(k).withColumn(rank, F.row_number().over(Window.orderBy(*order)))
     if k > GROUP_LIMIT:
         part = "_part"
-        df = df.withColumn(part, F.pmod(F.xxhash64(*df.columns[:4]), F.lit(SALTS)))
+        df = df.withColumn(part, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t and "variant" not in t]), F.lit(SALTS)))
         local = Window.partitionBy(*scope, part).orderBy(*order)
         df = df.withColumn(rank, F.row_number().over(local)).where(F.col(rank) <= k).drop(rank, part)
     ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*scope).orderBy(*order)))

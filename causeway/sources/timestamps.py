@@ -38,6 +38,8 @@ SHAPES = {
     "us": rf"^\d{{1,2}}/\d{{1,2}}/\d{{4}} {_CLOCK}$",
     "day_first": rf"^\d{{1,2}}-\d{{1,2}}-\d{{4}} {_CLOCK}$",
 }
+# Between these the median of a column of numbers must lie.
+EPOCH_RANGES = {"seconds": (1e9, 2e9), "millis": (1e12, 2e12)}
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
@@ -68,43 +70,62 @@ def parse_column(c: Column, fmt: TimeFormat) -> Column:
     return _by_format(c.cast("string"), fmt.kind, fmt.year)
 
 
+def _median_inside(row, kind: str, i: int) -> bool:
+    """Whether the median lies between the bounds, told from how many numbers lie below and above them."""
+    n, below, above = row[f"numbers_{i}"], row[f"{kind}_below_{i}"], row[f"{kind}_above_{i}"]
+    if 2 * below < n and 2 * above < n:
+        return True
+    if 2 * below != n and 2 * above != n:
+        return False
+    # A bound parts the two middle numbers; the median is their mean.
+    pair = ("low", "up") if 2 * below == n else ("down", "high")
+    first, second = (row[f"{kind}_{x}_{i}"] for x in pair)
+    if first is None or second is None:
+        return False
+    low, high = EPOCH_RANGES[kind]
+    return low < (first + second) / 2 < high
+
+
 def choose_formats(df: DataFrame, columns: list[str], year: int = 1970) -> dict[str, TimeFormat]:
     """One pass over the table gives all votes; only the counts come to the driver."""
     votes = []
     for i, name in enumerate(columns):
         c = F.col(f"`{name}`")
         number = _number(c)
-        votes += [F.count(c).alias(f"filled_{i}"), F.count(number).alias(f"numbers_{i}"),
-                  F.count(F.lit(1)).alias(f"rows_{i}"),
-                  F.approx_percentile(number, F.lit(0.5), F.lit(1000)).alias(f"median_{i}")]
+        votes += [F.count(c).alias(f"filled_{i}"), F.count(number).alias(f"numbers_{i}"), F.count(F.lit(1)).alias(f"rows_{i}")]
+        for kind, (low, high) in EPOCH_RANGES.items():
+            votes += [F.count_if(number <= low).alias(f"{kind}_below_{i}"), F.count_if(number >= high).alias(f"{kind}_above_{i}"),
+                      F.max(F.when(number <= low, number)).alias(f"{kind}_low_{i}"), F.min(F.when(number > low, number)).alias(f"{kind}_up_{i}"),
+                      F.max(F.when(number < high, number)).alias(f"{kind}_down_{i}"), F.min(F.when(number >= high, number)).alias(f"{kind}_high_{i}")]
         text = c.cast("string")
         votes += [F.count(_by_format(text, f, year)).alias(f"{f}_{i}") for f in FORMATS]
     row = df.agg(*votes).first()
     out = {}
     for i, name in enumerate(columns):
-        median = row[f"median_{i}"] or 0
         if row[f"rows_{i}"] and row[f"numbers_{i}"] > 0.8 * row[f"rows_{i}"]:
-            if 1e9 < median < 2e9:
-                out[name] = TimeFormat("seconds")
-                continue
-            if 1e12 < median < 2e12:
-                out[name] = TimeFormat("millis")
+            unit = next((kind for kind in EPOCH_RANGES if _median_inside(row, kind, i)), None)
+            if unit:
+                out[name] = TimeFormat(unit)
                 continue
         best = max(FORMATS, key=lambda f: row[f"{f}_{i}"])
         out[name] = TimeFormat(best if row[f"{best}_{i}"] else "inferred", year)
     return out
 
 
-def parse_timestamps(df: DataFrame, columns, year: int = 1970, per_row: bool = False) -> DataFrame:
+def parse_timestamps(df: DataFrame, columns, year: int = 1970, per_row: bool = False,
+                     formats: dict[str, TimeFormat] | None = None) -> DataFrame:
     """Replace text or number columns by timestamps.
 
     The format is chosen once per column, so rows written in another format become null; with
-    `per_row` each row takes the first format that fits instead.
+    `per_row` each row takes the first format that fits instead. `formats`, as `choose_formats` gives
+    them, spare the vote; a stream needs them, as it cannot be counted beforehand.
     """
     columns = [columns] if isinstance(columns, str) else list(columns)
     if per_row:
         return df.withColumns({
             n: F.coalesce(*[_by_format(F.col(f"`{n}`").cast("string"), f, year) for f in FORMATS],
                           F.col(f"`{n}`").try_cast("timestamp")) for n in columns})
-    chosen = choose_formats(df, columns, year)
+    if formats is None and df.isStreaming:
+        raise ValueError(f"a stream needs `formats` for its text times {columns}: take choose_formats of a table like it")
+    chosen = choose_formats(df, columns, year) if formats is None else formats
     return df.withColumns({n: parse_column(F.col(f"`{n}`"), chosen[n]) for n in columns})

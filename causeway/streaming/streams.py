@@ -20,12 +20,15 @@ from causeway.operators import correlate, series
 from causeway.operators.enrich import enrich
 from causeway.rules import DEFAULT_RULES, RuleSet
 from causeway.schema import Roles, resolve_roles
+from causeway.sources.timestamps import TimeFormat
 
 
-def read_table_stream(spark: SparkSession, folder: str, file_glob: str = "*.parquet") -> DataFrame:
-    """A stream over the parquet files of a folder."""
-    schema = spark.read.option("pathGlobFilter", file_glob).parquet(folder).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", file_glob).parquet(folder)
+def read_table_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A stream over a parquet table, which may be one file or a folder of parts.
+
+    Spark streams folders only, but takes any file that a pattern names.
+    """
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
@@ -36,9 +39,10 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def enrich_stream(stream: DataFrame, roles: Roles | None = None, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
-    """Stateless, so it is the batch enrichment."""
-    return enrich(stream, roles, rules)
+def enrich_stream(stream: DataFrame, roles: Roles | None = None, rules: RuleSet = DEFAULT_RULES,
+                  time_format: TimeFormat | None = None) -> DataFrame:
+    """Stateless, so it is the batch enrichment; text times need their format, chosen on a table beforehand."""
+    return enrich(stream, roles, rules, time_format=time_format)
 
 
 def density_stream(enriched: DataFrame, scope=(), seconds: int = 60, delay: str = "10 minutes") -> DataFrame:
@@ -66,7 +70,9 @@ def burst_alerts(density: DataFrame, baseline: DataFrame, scope=()) -> DataFrame
     if scope:
         joined = density.join(baseline, list(scope))
     else:
-        row = baseline.first()  # one row by construction
+        row = baseline.first()  # one row by construction, none without events
+        if row is None:
+            return density.where(F.lit(False))
         joined = density.withColumns({"mean": F.lit(row["mean"]), "sigma": F.lit(row["sigma"])})
     hot = joined.where((F.col("sigma") > 0) & (F.col("events") > F.col("mean") + 2 * F.col("sigma")))
     return hot.drop("mean", "sigma")

@@ -104,3 +104,15 @@ def test_other_formats_become_null_unless_read_per_row(spark):
     df = spark.createDataFrame(rows, "n long, t string")
     assert parse_timestamps(df, "t").where("t is null").count() == 1
     assert parse_timestamps(df, "t", per_row=True).where("t is null").count() == 0
+
+
+@pytest.mark.parametrize("numbers, kind", [
+    ([5.0, 5.0, 1.5e9, 1.6e9, 1.7e9], "seconds"),
+    ([5.0, 1.5e9], "inferred"),  # the mean of the middle two is below the range
+    ([0.9e9, 1.9e9], "seconds"),  # here it is inside
+    ([1.5e9, 9e9], "inferred"),
+    ([1.5e12, 1.6e12, 3e12], "millis"),
+])
+def test_epoch_unit_by_exact_median(spark, numbers, kind):
+    df = spark.createDataFrame([(x,) for x in numbers], "t double")
+    assert choose_formats(df, ["t"])["t"].kind == kind

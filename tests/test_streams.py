@@ -68,3 +68,26 @@ def test_duplicates_over_batches(spark, parts):
     rows = streams.deduplicate_stream(normalize_time(stream_of(spark, parts)), ["host", "message"], "10 days")
     got = streams.run_to_table(rows.select("host", "message"), shared_dir(spark, "test-dup"), shared_dir(spark, "test-c4"))
     assert got.count() == 9 == got.distinct().count()
+
+
+def test_text_times_need_a_format(spark, tmp_path):
+    from causeway.sources.timestamps import choose_formats
+
+    path = str(tmp_path / "log.parquet")
+    spark.createDataFrame([("1", "1/5/2024 03:04:05", "a", "ERROR", "timeout"), ("2", "1/5/2024 13:04:06", "b", "INFO", "up")],
+                          "event_id string, timestamp string, host string, log_level string, message string").write.parquet(path)
+    stream = streams.read_table_stream(spark, path)  # a folder of parts
+    with pytest.raises(ValueError, match="formats"):
+        streams.enrich_stream(stream)
+    chosen = choose_formats(spark.read.parquet(path), ["timestamp"])["timestamp"]
+    found = streams.run_to_table(streams.enrich_stream(stream, time_format=chosen).select("event_id", S.MICROS),
+                                 shared_dir(spark, "test-text"), shared_dir(spark, "test-c9"))
+    want = enrich(spark.read.parquet(path)).select("event_id", S.MICROS)
+    assert sorted(found.collect()) == sorted(want.collect())
+    assert all(r[1] for r in found.collect())
+
+
+def test_no_baseline_no_alerts(spark, events):
+    df = events([(0, "a", "INFO", "x")])
+    density = streams.density_stream(df, (), 60)
+    assert streams.burst_alerts(density, streams.burst_baseline(df.where("false"))).count() == 0
