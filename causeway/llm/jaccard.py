@@ -15,7 +15,8 @@ are one node; the result is exact for the 64-bit shingle hashes.
    partial overlap, and a subtree is cut off as soon as the overlap so far and the shingles left in both
    cannot reach the bound.
 4. Clusters of several chunks. Their chunks' components first meet by one member each; then every
-   candidate pair of members of different components is compared, so that no link is lost. Pairs within
+   candidate pair of members of different components that can still reach the bound is compared, so that no
+   link is lost. Pairs within
    a component are never made, and a large group of near copies costs a number of pairs in proportion to
    the members outside its largest component.
 """
