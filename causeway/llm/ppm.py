@@ -1,21 +1,22 @@
 """Scores of texts under a byte model: prediction by partial matching with symbol exclusion.
 
-The model is a trie of byte contexts up to `ORDER` bytes, given as one table of counts per order. A text
-is scored as its words, A-Z lower-cased, with one space between, and one end byte. A byte is looked up in
-its longest known context; if it is not among the bytes seen there, the escape is paid and the next
-shorter context is asked, without the bytes that the longer one has already excluded; last comes an even
-share of the bytes never seen. The escape estimate is method C: one count for each distinct byte of a
-context, plus the counts of the bytes that were pruned there.
-
-Counts are taken over all training documents: each task adds up its own, then they are summed by key.
-The trie keeps what makes up at least a 2^-`SHARE_BITS` part of all training bytes, so each order has at
-most 2^SHARE_BITS entries whatever the size of the corpus; that is the bound of what is broadcast. Kept
-counts are nested (a context's bytes are kept in its suffix too), so the excluded mass of every escape
-is known beforehand and a byte costs one look-up; only bytes unseen in the longest context walk down.
+The model is all byte contexts of the training documents up to `ORDER` bytes, with the counts of the bytes
+that follow. A text is scored as its words, A-Z lower-cased, with one space between, and one end byte. A
+byte is looked up in its longest known context; if it is not among the bytes seen there, the escape is
+paid and the next shorter context is asked, without the bytes that the longer one has already excluded;
+last comes an even share of the bytes never seen. The escape estimate is method C: one count for each
+distinct byte of a context.
+
+Nothing is pruned, and the model stays in Spark. The probability of a byte depends on the gram of its
+context and itself alone, so each bucket of documents sends each of its grams once, with how often its
+training texts have it (0 where only others do), and gets back the logarithm. The summed grams are cut to
+ever shorter ones, a table per order; from order 0 upwards each table takes from the shorter grams what
+an escape leads to. A gram has at most 256 extensions by one byte, so no key of these joins and windows
+is hot, however often its text occurs.
 
 The unigram base of the same texts needs the count of every word of every document. Documents are
 dealt to buckets of about `BUCKET_BYTES`; a bucket sends each of its words once, not once per document,
-gets back the word's total and adds up its documents. Words are known by 64-bit hashes.
+gets back the word's total and adds up its documents. Words are known by 64-bit hashes; grams are whole.
 
 Null and empty texts are scored as the end alone. Repeated rows count as often as they occur, in
 training too. Without training text every byte has the probability 1/256. The sum of one bucket and
@@ -36,9 +37,10 @@ from causeway.llm.common import U, held_out, keep, signed, slices, word_hashes,
 from causeway.llm.features import raw_bytes
 
 ORDER = 5
-SHARE_BITS = 21
+ALL_BITS = 62  # no share of that size drops a gram
 BUCKET_BYTES = 12 << 20
 END, SPACE = 10, 32
+WORD, GRAM, OWN_WORD = 0, 1, 2  # kinds of keys; an own word is counted by its first bucket
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 FOLD[9:14] = SPACE
@@ -147,7 +149,6 @@ class PpmModel:
             self.levels.append(Level(keys, np.log10(counts), contexts, first, after))
             below = {"keys": keys, "counts": counts, "contexts": contexts, "whole": whole, "d": d, "kept": kept}
         self.floor = -np.log10(max(256 - len(self.levels[0].keys), 1))
-        self.table()
 
     @staticmethod
     def short(contexts: np.ndarray, order: int) -> np.ndarray:
@@ -182,46 +183,79 @@ class PpmModel:
         out[open_] += self.floor
         return out
 
-    def table(self) -> None:
-        """The entries of the longest contexts with their results, grouped by a hash for quick look-up."""
-        keys = self.levels[ORDER].keys
+
+class Slots:
+    """Values of distinct keys, grouped by a hash for quick look-up."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.bits = max(4, int(np.ceil(np.log2(max(len(keys), 1)))) + 1)
         slot = self.slot(keys)
         order = np.argsort(slot, kind="stable")
-        self.slot_keys = np.append(keys[order], -1)
-        self.slot_values = np.append(self.walk(keys)[order], 0.0)
-        self.slot_starts = np.searchsorted(slot[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
-        self.deepest = int(np.diff(self.slot_starts).max()) if len(keys) else 0
+        self.keys, self.values = np.append(keys[order], -1), np.append(values[order], 0.0)
+        self.starts = np.searchsorted(slot[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
+        self.deepest = int(np.diff(self.starts).max()) if len(keys) else 0
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(U) * U(0x9E3779B97F4A7C15)) >> U(64 - self.bits)).astype(np.int64)
 
-    def scores(self, texts: pa.Array) -> np.ndarray:
-        data, ends = symbols(texts)
-        keys = grams(data, ends)
-        out = np.empty(len(keys))
-        slot = self.slot(keys)
-        at, stop = self.slot_starts[slot], self.slot_starts[slot + 1]
-        left = np.arange(len(keys))
-        missed = []
+    def __getitem__(self, wanted: np.ndarray) -> np.ndarray:
+        out = np.full(len(wanted), np.nan)
+        slot = self.slot(wanted)
+        at, stop = self.starts[slot], self.starts[slot + 1]
+        left = np.arange(len(wanted))
         for _ in range(self.deepest):
-            hit = (self.slot_keys[at] == keys[left]) & (at < stop)
-            out[left[hit]] = self.slot_values[at[hit]]
+            hit = (self.keys[at] == wanted[left]) & (at < stop)
+            out[left[hit]] = self.values[at[hit]]
             on = ~hit & (at + 1 < stop)
-            missed.append(left[~hit & ~on])
             left, at, stop = left[on], at[on] + 1, stop[on]
-        rest = np.concatenate([*missed, left])
-        if len(rest):
-            distinct, inverse = np.unique(keys[rest], return_inverse=True)
-            out[rest] = self.walk(distinct)[inverse]
-        upto = np.concatenate([[0.0], np.cumsum(out)]) if len(out) < 1000 else None
-        if upto is not None:
-            return upto[ends[1:]] - upto[ends[:-1]]
-        return np.add.reduceat(out, ends[:-1])  # no text is without bytes: each has its END
-
-
-def train(docs: DataFrame, share_bits: int = SHARE_BITS) -> PpmModel:
-    """The model of the column `text`; counts over all rows, pruned by their share of all bytes."""
+        return out
+
+
+def text_scores(texts: pa.Array, logs: Slots) -> np.ndarray:
+    data, ends = symbols(texts)
+    out = logs[grams(data, ends)]
+    upto = np.concatenate([[0.0], np.cumsum(out)]) if len(out) < 1000 else None
+    if upto is not None:
+        return upto[ends[1:]] - upto[ends[:-1]]
+    return np.add.reduceat(out, ends[:-1])  # no text is without bytes: each has its END
+
+
+def gram_logs(counted: DataFrame) -> DataFrame:
+    """`key, value`: the log10 probability of the last byte of each gram of `key, n`, where n may be 0.
+
+    p is what a gram costs where its context is asked first, u what it costs once its context has escaped.
+    """
+    tables = [keep(counted.groupBy("key").agg(F.sum("n").alias("n")), "grams")]
+    for order in range(ORDER - 1, -1, -1):
+        short = F.expr(f"key & {(1 << (8 * (order + 1))) - 1}L")
+        tables.insert(0, keep(tables[0].groupBy(short.alias("key")).agg(F.sum("n").alias("n")), "grams"))
+    # Of order 0, at most 256 rows, all share the empty context.
+    whole, d = tables[0].agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    floor = -float(np.log10(max(256 - d, 1)))
+    known = tables[0].withColumns({"whole": F.lit(whole).cast("long"), "d": F.lit(d).cast("long"), "u": F.lit(floor), "below": F.lit(floor)})
+    first = F.expr("case when whole = 0 then below when n > 0 then log10(n) - log10(whole + d) else log10(d) - log10(whole + d) + u end")
+    known = known.withColumn("p", first)
+    for order in range(1, ORDER + 1):
+        shorter = known.select(F.col("key").alias("short"), *[F.col(c).alias(f"{c}1") for c in ("n", "whole", "d", "p", "u")])
+        joined = (tables[order].withColumn("short", F.expr(f"key & {(1 << (8 * order)) - 1}L")).join(shorter, "short")
+                  .withColumn("context", F.shiftright("key", 8)))
+        same = Window.partitionBy("context")
+        seen = F.col("n") > 0
+        facts = joined.withColumns({"whole": F.sum("n").over(same), "d": F.sum(F.when(seen, 1).otherwise(0)).over(same),
+                                    "gone": F.sum(F.when(seen, F.col("n1")).otherwise(0)).over(same)})
+        # Of the shorter context, the counts of the bytes left and how many there are; without any, all go further down.
+        facts = facts.withColumn("others", F.expr("d1 - d")).withColumn("rest", F.expr("whole1 - gone + others"))
+        facts = facts.withColumn("u", F.expr("case when others <= 0 then u1 when n1 > 0 then log10(n1) - log10(rest)"
+                                             " else log10(others) - log10(rest) + u1 end")).withColumn("below", F.col("p1"))
+        known = facts.select("key", "n", "whole", "d", "u", first.alias("p"))
+    return keep(known.select("key", F.col("p").alias("value")), "gram_logs")
+
+
+def train(docs: DataFrame, share_bits: int = ALL_BITS) -> PpmModel:
+    """The model of the column `text` in one piece, for few texts and for comparison; `score` does not use it.
+
+    Drops what makes up less than a 2^-`share_bits` part of all bytes.
+    """
     counted = keep(count_grams(docs), "grams")
     whole = counted.agg(F.sum("n")).first()[0] or 0
     least = max(1, whole >> share_bits)
@@ -229,7 +263,6 @@ def train(docs: DataFrame, share_bits: int = SHARE_BITS) -> PpmModel:
         F.struct(F.lit(2 * k + kind).alias("kind"), F.expr(f"shiftright(gram, {8 * kind}) & {(1 << (8 * (k + 1 - kind))) - 1}L").alias("key"))
         for k in range(ORDER + 1) for kind in (0, 1)])).alias("x"))
     summed = rows.groupBy("x.kind", "x.key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    # Entries and contexts of ORDER + 1 orders, at most 2^share_bits of each kind.
     found = summed.toArrow()
     kind, key, n = (found[c].to_numpy() for c in ("kind", "key", "n"))
     tables = []
@@ -242,33 +275,47 @@ def train(docs: DataFrame, share_bits: int = SHARE_BITS) -> PpmModel:
 
 def score(docs: DataFrame, training: str = "training") -> DataFrame:
     """Model and base score of every row of `docs` (doc_id, text and the boolean `training`)."""
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.col(training).alias("training"))
-    model = spark.sparkContext.broadcast(train(rows.where("training")))
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = n_bytes // BUCKET_BYTES + 1
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
 
-    def word_counts(key, group):
+    def counts(key, group):
         learn = np.asarray(group["training"].combine_chunks().to_numpy(zero_copy_only=False), np.int64)
-        keys, counts = np.zeros(0, U), np.zeros(0, np.int64)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2
+
+        def add(kind: int, keys: np.ndarray, n: np.ndarray) -> None:
+            keys, at = np.unique(np.concatenate([found[kind][0], keys]), return_inverse=True)
+            found[kind] = keys, np.bincount(at, np.concatenate([found[kind][1], n]), minlength=len(keys)).astype(np.int64)
+
         for batch in slices(group.append_column("_learn", pa.array(learn)).to_batches()):
+            use = batch.column("_learn").to_numpy()
             flat, ends = words(batch.column("text"), lower=True)
-            use = np.repeat(batch.column("_learn").to_numpy(), np.diff(ends))
-            keys, at = np.unique(np.concatenate([keys, word_hashes(flat)]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, use]), minlength=len(keys)).astype(np.int64)
-        return pa.table({"bucket": pa.array(np.full(len(keys), key[0].as_py()), pa.int32()), "word": signed(keys), "n": counts})
-
-    per_bucket = dealt.groupBy("bucket").applyInArrow(word_counts, "bucket int, word long, n long")
-    same = Window.partitionBy("word")
-    totals = per_bucket.select("bucket", "word", F.sum("n").over(same).alias("n"),
-                               (F.min("bucket").over(same) == F.col("bucket")).alias("owner"))
+            add(WORD, signed(word_hashes(flat)), np.repeat(use, np.diff(ends)))
+            data, ends = symbols(batch.column("text"))
+            each, learned = grams(data, ends), np.repeat(use, np.diff(ends)) > 0
+            new, n = np.unique(each[learned], return_counts=True)
+            others = np.unique(each[~learned])
+            add(GRAM, np.concatenate([new, others]), np.concatenate([n, np.zeros(len(others), np.int64)]))
+        keys, n = (np.concatenate(x) for x in zip(*found, strict=True))
+        kind = np.repeat(np.array([WORD, GRAM], np.int8), [len(x) for x, _ in found])
+        return pa.table({"bucket": pa.array(np.full(len(keys), key[0].as_py()), pa.int32()), "kind": kind, "key": keys, "n": n})
+
+    per_bucket = keep(dealt.groupBy("bucket").applyInArrow(counts, "bucket int, kind byte, key long, n long"), "counts")
+    same = Window.partitionBy("key")
+    word_totals = per_bucket.where(F.col("kind") == WORD).select(
+        "bucket", F.when(F.min("bucket").over(same) == F.col("bucket"), OWN_WORD).otherwise(WORD).cast("byte").alias("kind"), "key",
+        F.sum("n").over(same).cast("double").alias("value"))
+    bucket_grams = per_bucket.where(F.col("kind") == GRAM)
+    totals = word_totals.unionByName(bucket_grams.select("bucket", "kind", "key").join(gram_logs(bucket_grams), "key"))
 
     def work(key, group, known):
-        order = np.argsort(known["word"].to_numpy(), kind="stable")
-        vocabulary = known["word"].to_numpy()[order]
-        total = known["n"].to_numpy()[order]
+        kind, keys, value = (known[c].to_numpy() for c in ("kind", "key", "value"))
+        logs_of = Slots(keys[kind == GRAM], value[kind == GRAM])
+        order = np.flatnonzero(kind != GRAM)
+        order = order[np.argsort(keys[order], kind="stable")]
+        vocabulary, total = keys[order], value[order]
         logs = np.log10(total + 1.0)
         kinds = ["doc_id", "training", "n_tokens", "n_known", "logs", "score", "own_tokens", "own_words"]
         out: list[list] = [[] for _ in kinds]
@@ -282,11 +329,11 @@ def score(docs: DataFrame, training: str = "training") -> DataFrame:
             use = batch.column("training").to_numpy(zero_copy_only=False)
             learned += int((n + 1)[use].sum())
             for c, v in zip(out, (batch.column("doc_id").to_pylist(), use.tolist(), (n + 1).tolist(), (seen[ends[1:]] - seen[ends[:-1]]).tolist(),
-                                  (values[ends[1:]] - values[ends[:-1]]).tolist(), model.value.scores(batch.column("text")).tolist()),
+                                  (values[ends[1:]] - values[ends[:-1]]).tolist(), text_scores(batch.column("text"), logs_of).tolist()),
                             strict=False):
                 c += v
         rows = len(out[0])
-        own = known["owner"].to_numpy(zero_copy_only=False)[order] & (total > 0)
+        own = (kind[order] == OWN_WORD) & (total > 0)
         out[6], out[7] = [0] * rows, [0] * rows
         for c, v in zip(out, (None, None, 0, 0, 0.0, 0.0, learned, int(own.sum())), strict=True):
             c.append(v)

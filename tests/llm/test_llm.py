@@ -233,3 +233,49 @@ def test_pipeline_keeps_clean_rows_and_shapes(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns, name
         assert 0 < out.count() <= docs.count()
+
+
+def ppm_by_hand(learned, text):
+    """The log10 probability of a text under all contexts of up to 5 bytes of (text, times), byte by byte."""
+    bytes_of = lambda t: b"\n" * ppm.ORDER + " ".join(WORD.findall(fold(t))).encode() + b"\n"
+    seen = {}
+    for t, times in learned:
+        b = bytes_of(t)
+        for at in range(ppm.ORDER, len(b)):
+            for k in range(ppm.ORDER + 1):
+                after = seen.setdefault(b[at - k : at], Counter())
+                after[b[at]] += times
+    out, b = 0.0, bytes_of(text)
+    for at in range(ppm.ORDER, len(b)):
+        gone = set()
+        for k in range(ppm.ORDER, -1, -1):
+            left = {s: n for s, n in seen.get(b[at - k : at], {}).items() if s not in gone}
+            if not left:
+                continue
+            whole = sum(left.values()) + len(left)
+            if b[at] in left:
+                out += math.log10(left[b[at]] / whole)
+                break
+            out += math.log10(len(left) / whole)
+            gone |= set(left)
+        else:
+            out -= math.log10(256 - len(gone))
+    return out
+
+
+def test_ppm_scores_by_hand(spark, odd):
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    learned = [(t, 1) for i, t, _ in ROWS if not held(i)]
+    want = Counter((i, round(ppm_by_hand(learned, t), 4)) for i, t, _ in ROWS)
+    assert any(held(i) for i, _, _ in ROWS)
+    assert Counter((r.doc_id, round(r.score, 4)) for r in ppm.score_documents(odd).collect()) == want
+
+
+def test_ppm_keeps_rare_contexts_of_a_large_corpus(spark):
+    common, rare, asked = " ".join(f"{w} {k}" for k, w in enumerate(BASE * 200)), "quartz zephyr vexing jumps", "quartz zephyr jumping"
+    times = (9 << 20) // len(common) + 1
+    docs = spark.range(times).select(F.col("id").alias("doc_id"), F.lit(common).alias("text"), F.lit(True).alias("training"))
+    docs = docs.union(spark.createDataFrame([(-1, rare, True), (-2, asked, False)], docs.schema))
+    want = {i: ppm_by_hand([(common, times), (rare, 1)], t) for i, t in ((-1, rare), (-2, asked))}
+    got = {r.doc_id: r.score for r in ppm.score(docs).where("doc_id < 0").collect()}
+    assert got == pytest.approx(want, abs=1e-6)
