@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from causeway.llm.common import keep
 
-SAMPLES = 16
+SAMPLES = 24
 LEAST_ID = -(1 << 63)
 
 def _uniform(bits: str) -> str:

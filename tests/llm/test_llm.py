@@ -279,3 +279,8 @@ def test_ppm_keeps_rare_contexts_of_a_large_corpus(spark):
     want = {i: ppm_by_hand([(common, times), (rare, 1)], t) for i, t in ((-1, rare), (-2, asked))}
     got = {r.doc_id: r.score for r in ppm.score(docs).where("doc_id < 0").collect()}
     assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_fingerprints_take_24_samples(odd):
+    rows = [r for r in fingerprints.fingerprints_with_edits(odd).collect() if r.fingerprint]
+    assert rows and all(len(r.fingerprint) == 24 * 8 for r in rows)
