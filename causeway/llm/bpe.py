@@ -31,6 +31,8 @@ from causeway.llm.common import filled, slices, words
 CACHE_CHUNKS = 400_000
 SLICE = 8 << 20
 NO_RANK = 1 << 30
+# White space beyond ASCII, and what some versions of Unicode count as such.
+WIDE_SPACE = regex.compile(r"[\s\x1C-\x1F\u180E\u200B\uFEFF]")
 
 
 class PairIndexBpe:
@@ -134,6 +136,9 @@ class PairIndexBpe:
         upto = np.concatenate([[0], np.cumsum(alive)])[ends] * 4
         return [raw[a:b] for a, b in zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True)]
 
+    def pieces_of(self, chunk: str) -> list[str]:
+        return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))]
+
     def split(self, chunks: list[str]) -> list[list[str]]:
         """The pieces of each chunk without white space and special tokens, by the file's own rules."""
         out: list = [None] * len(chunks)
@@ -141,18 +146,17 @@ class PairIndexBpe:
         for i, c in enumerate(chunks):
             if c.isascii() and c.isalpha():
                 out[i] = [c.lower()]
+            elif not c.isascii() and WIDE_SPACE.search(c):  # becomes a space, so that parts could not be told from chunks
+                out[i] = self.pieces_of(c)
             else:
                 rest.append(i)
         if rest:
             # One call for all: normal forms and pieces do not reach over a line break, which becomes a space.
             norm = self.library.normalizer.normalize_str("\n".join([chunks[i] for i in rest]))
             parts = norm.split(" ")
-            if len(parts) != len(rest):  # a chunk with white space beyond ASCII
-                parts = [self.library.normalizer.normalize_str(chunks[i]) for i in rest]
-                norm = None
-            if norm is None:
-                for i, part in zip(rest, parts, strict=True):
-                    out[i] = [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(part)]
+            if len(parts) != len(rest):  # a file whose normaliser makes spaces of its own
+                for i in rest:
+                    out[i] = self.pieces_of(chunks[i])
             else:
                 ends = np.cumsum([len(p) + 1 for p in parts]).tolist()
                 k, found = 0, []

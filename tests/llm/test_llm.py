@@ -284,3 +284,12 @@ def test_ppm_keeps_rare_contexts_of_a_large_corpus(spark):
 def test_fingerprints_take_24_samples(odd):
     rows = [r for r in fingerprints.fingerprints_with_edits(odd).collect() if r.fingerprint]
     assert rows and all(len(r.fingerprint) == 24 * 8 for r in rows)
+
+
+def test_bpe_white_space_beyond_ascii_stays_in_its_chunk():
+    """A chunk that is such white space alone and one that holds it: as many parts as chunks."""
+    library = Tokenizer.from_file(path := P.path("word_bpe_49k.json"))
+    for space in "\u0085        　":
+        chunks = ["1a", space, f"b2{space}c3", "d4"]
+        got = [np.frombuffer(raw, "<u4").tolist() for raw in bpe.PairIndexBpe(path).encode_chunks(chunks)]
+        assert got == [library.encode(c, add_special_tokens=False).ids for c in chunks]
