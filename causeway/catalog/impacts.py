@@ -104,6 +104,14 @@ def _(spark, sf_dir):
     return impact.duplicate_count(log_view(spark, sf_dir), DUP_COLUMNS, HOST)
 
 
+WHOLE_DUP_COLUMNS = [*DUP_COLUMNS, "source", "timestamp"]
+
+
+@query("duplicate_count_whole", f"WITH {LV} SELECT host, count(*) - count(DISTINCT ({', '.join(WHOLE_DUP_COLUMNS)})) AS duplicate_count FROM lv GROUP BY host")
+def _(spark, sf_dir):
+    return impact.duplicate_count(log_view(spark, sf_dir), WHOLE_DUP_COLUMNS, HOST)
+
+
 @query("recovery_timeline", f"""{with_en}, h AS (SELECT host, count(*) FILTER (is_error) AS errors, min(us) FILTER (is_error) AS fe, min(us) FILTER (is_recovery) AS fr
     FROM en GROUP BY host) SELECT host, errors, make_timestamp(fe) AS first_error, make_timestamp(fr) AS first_recovery, fr - fe AS downtime_us,
     coalesce({duration_sql('(fr - fe)')}, 'N/D') AS downtime FROM h WHERE errors > 0""")

@@ -127,6 +127,14 @@ def _(spark, sf_dir):
     return files.table_fingerprint(log_view(spark, sf_dir), PRINT_COLUMNS, ["host"])
 
 
+WHOLE_PRINT_COLUMNS = [*PRINT_COLUMNS, "timestamp", "source"]
+
+
+@query("source_fingerprint_whole", f"WITH {LV} {print_sql('lv', WHOLE_PRINT_COLUMNS, ['host'])}")
+def _(spark, sf_dir):
+    return files.table_fingerprint(log_view(spark, sf_dir), WHOLE_PRINT_COLUMNS, ["host"])
+
+
 @query("source_fingerprint_global", print_sql("documents", ["doc_id", "text", "lang", "source", "n_chars"], []))
 def _(spark, sf_dir):
     return files.table_fingerprint(table(spark, sf_dir, "documents"), ["doc_id", "text", "lang", "source", "n_chars"])

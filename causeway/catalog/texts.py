@@ -38,6 +38,16 @@ def _(spark, sf_dir):
     return evidence.network_evidence(table(spark, sf_dir, "pages"), columns=["url"])
 
 
+@query("network_evidence_documents_whole", evidence_sql("documents", ["text", "lang", "source"]))
+def _(spark, sf_dir):
+    return evidence.network_evidence(table(spark, sf_dir, "documents"))
+
+
+@query("network_evidence_pages_whole", evidence_sql("pages", ["url", "html"]))
+def _(spark, sf_dir):
+    return evidence.network_evidence(table(spark, sf_dir, "pages"), columns=["url", "html"])
+
+
 @query("evidence_summary", f"""WITH {LV}, e AS ({evidence_sql('lv', TEXT_COLUMNS, 'host, ')}),
     r AS (SELECT *, row_number() OVER (PARTITION BY host, kind ORDER BY value) AS k, count(*) OVER (PARTITION BY host, kind) AS n FROM e)
     SELECT host, kind, n AS distinct_values, string_agg(value, '|' ORDER BY value) AS shown_values FROM r WHERE k <= 30 GROUP BY host, kind, n""")
