@@ -63,6 +63,17 @@ def _(spark, sf_dir):
     return run(streams.recovery_stream(spark.readStream.schema(seconds.schema).parquet(path)), "stream-recovery")
 
 
+@query("stream_recovery_episodes", f"""WITH {EN}, e AS (SELECT DISTINCT host, us AS fe FROM en WHERE is_error),
+    r AS (SELECT DISTINCT host, us AS fr FROM en WHERE is_recovery), n AS (SELECT e.host, fe, fr FROM e ASOF JOIN r ON e.host = r.host AND e.fe < r.fr)
+    SELECT host, min(fe) AS first_error_us, fr AS first_recovery_us, fr - min(fe) AS mttr_us FROM n
+    WHERE (fr // 1000000 + 1) * 1000000 <= (SELECT max(us) // 1000 * 1000 - 600000000 FROM en WHERE is_error OR is_recovery) GROUP BY host, fr""")
+def _(spark, sf_dir):
+    seconds = streams.episode_seconds(streams.enrich_stream(stream(spark, sf_dir)), "host")
+    path = shared_dir(spark, "stream-episodes")
+    streams.run_to_table(seconds, path, shared_dir(spark, "stream-episodes-checkpoint"))
+    return run(streams.episode_stream(spark.readStream.schema(seconds.schema).parquet(path)), "stream-recovery-episodes")
+
+
 @query("stream_deduplicate", f"WITH {LV} SELECT DISTINCT {', '.join(DUP_COLUMNS)} FROM lv")
 def _(spark, sf_dir):
     rows = normalize_time(stream(spark, sf_dir))

@@ -128,6 +128,42 @@ def recovery_stream(seconds: DataFrame) -> DataFrame:
     return seconds.groupBy("host").applyInPandasWithState(follow, out, _OPEN, "append", GroupStateTimeout.NoTimeout)
 
 
+def episode_seconds(enriched: DataFrame, host: str, delay: str = "10 minutes") -> DataFrame:
+    """Times of errors and of recoveries per host and second, each once, given when the second is closed."""
+    rows = enriched.where(F.col(S.IS_ERROR) | F.col(S.IS_RECOVERY)).withWatermark(S.EVENT_TIME, delay)
+    # At most one entry per microsecond of the second in either list.
+    seconds = rows.groupBy(F.col(host).alias("host"), F.window(S.EVENT_TIME, "1 second")).agg(
+        F.collect_set(F.when(F.col(S.IS_ERROR), F.col(S.MICROS))).alias("errors"),
+        F.collect_set(F.when(F.col(S.IS_RECOVERY), F.col(S.MICROS))).alias("recoveries"))
+    return seconds.select("host", F.unix_micros("window.start").alias("second_us"), "errors", "recoveries")
+
+
+def episode_stream(seconds: DataFrame) -> DataFrame:
+    """Every episode of a host: its first error and the first recovery after it, given once.
+
+    An error at or after that recovery opens the next episode. Takes a stream over the table
+    `episode_seconds` is written to; the state is the open error.
+    """
+    def follow(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        opened = state.get[0] if state.exists else None
+        found = []
+        seconds_of_host = pd.concat(list(batches)).sort_values("second_us")
+        for errors, recoveries in zip(seconds_of_host["errors"], seconds_of_host["recoveries"]):
+            # Of equal times the recovery goes first: it ends earlier errors only.
+            for at, is_error in sorted([(int(t), True) for t in errors] + [(int(t), False) for t in recoveries]):
+                if is_error and opened is None:
+                    opened = at
+                elif not is_error and opened is not None:
+                    found.append((key[0], opened, at, at - opened))
+                    opened = None
+        state.update((opened,))
+        yield pd.DataFrame(found, columns=["host", "first_error_us", "first_recovery_us", "mttr_us"])
+
+    out = T.StructType([T.StructField("host", T.StringType()), *_EPISODE.fields])
+    state = T.StructType([T.StructField("first_error_us", T.LongType())])
+    return seconds.groupBy("host").applyInPandasWithState(follow, out, state, "append", GroupStateTimeout.NoTimeout)
+
+
 def deduplicate_stream(stream: DataFrame, columns: list[str], delay: str = "10 minutes") -> DataFrame:
     """Rows equal in `columns` are given once within the delay."""
     return stream.withWatermark(S.EVENT_TIME, delay).dropDuplicatesWithinWatermark(columns)

@@ -91,3 +91,18 @@ def test_no_baseline_no_alerts(spark, events):
     df = events([(0, "a", "INFO", "x")])
     density = streams.density_stream(df, (), 60)
     assert streams.burst_alerts(density, streams.burst_baseline(df.where("false"))).count() == 0
+
+
+def test_every_recovery_episode_is_given(spark, events, tmp_path):
+    rows = [(0, "h", "ERROR", "x"), (0.25, "h", "INFO", "service recovered"), (0.5, "h", "ERROR", "x"), (7, "h", "ERROR", "x"),
+            (9, "h", "INFO", "service recovered"), (10, "h", "INFO", "service recovered"), (20, "h", "ERROR", "x"),
+            (21, "h", "INFO", "service recovered"), (90_000, "h", "ERROR", "x")]
+    path, seen = str(tmp_path / "seconds"), str(tmp_path / "events")
+    events(rows).write.parquet(seen)
+    seconds = streams.episode_seconds(streams.read_table_stream(spark, seen), "host")
+    streams.run_to_table(seconds, path, str(tmp_path / "c1"))
+    found = streams.run_to_table(streams.episode_stream(spark.readStream.schema(seconds.schema).parquet(path)),
+                                 str(tmp_path / "found"), str(tmp_path / "c2")).collect()
+    start = min(r.first_error_us for r in found)
+    assert {(r.first_error_us - start, r.first_recovery_us - start) for r in found} == {
+        (0, 250_000), (500_000, 9_000_000), (20_000_000, 21_000_000)}
