@@ -26,7 +26,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causeway.llm.common import (KEYS, U, Lists, keep, keys_with_documents, run_hashes, shared_keys, signed, slices,
@@ -185,8 +185,14 @@ def _cut_rows(with_text: bool):
     return run
 
 
+def words_sha256(text: str) -> Column:
+    """`whole_sha256` of a text: the digest of its words with one space between."""
+    return F.expr(f"sha2(array_join(filter(split(coalesce({text}, ''), '[\\\\x20\\\\x09-\\\\x0D]+'), x -> x != ''), ' '), 256)")
+
+
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """`doc_id, n_words, n_removed, kept_sha256` of every row; with `with_text` also `kept`, the words left, where any were removed.
+    """`doc_id, n_words, n_removed, kept_sha256` of every row; with `with_text` also `kept`, the words left, where any were removed,
+    and `whole_sha256`, the digest of all words, which tells texts of one id apart.
 
     Null and empty texts have no words. Rows that repeat an id never remove each other's words; repeated
     rows give repeated results. A row without an id keeps everything and removes nothing.
@@ -213,5 +219,5 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     changed = cut.dropDuplicates(["doc_id", "sequence"]).unionByName(gone).withColumn("changed", F.lit(True))
     out = every.select("doc_id", "n_words", "whole_sha256", "sequence").join(changed, ["doc_id", "sequence"], "left")
     removed = F.when(F.col("changed").isNull(), F.lit(0)).otherwise(F.coalesce("n_removed", "n_words")).cast("long")
-    result = out.select("doc_id", "n_words", removed.alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"), "kept")
-    return result if with_text else result.drop("kept")
+    result = out.select("doc_id", "n_words", removed.alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"), "kept", "whole_sha256")
+    return result if with_text else result.drop("kept", "whole_sha256")

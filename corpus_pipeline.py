@@ -42,9 +42,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document that loses words keeps the others, joined by one space; one that loses all of them goes.
     `n_chars` follows the text.
     """
-    changed = (substrings.remove_repeats(docs, with_text=True).where("n_removed > 0").select("doc_id", F.col("kept").alias("_kept"))
-               .dropDuplicates(["doc_id"]))
-    joined = docs.join(changed, "doc_id", "left").where("_kept is null or _kept != ''")
+    changed = (substrings.remove_repeats(docs, with_text=True).where("n_removed > 0")
+               .select("doc_id", F.col("whole_sha256").alias("_whole"), F.col("kept").alias("_kept")).dropDuplicates(["doc_id", "_whole"]))
+    # Rows that share an id but not their words are told apart by the digest of the words.
+    joined = (docs.withColumn("_whole", substrings.words_sha256("text")).join(changed, ["doc_id", "_whole"], "left")
+              .where("_kept is null or _kept != ''"))
     text = F.coalesce("_kept", "text")
     new = {"text": text, "n_chars": F.when(F.col("_kept").isNotNull(), F.length("_kept")).otherwise(F.col("n_chars")).cast("long")}
     return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])

@@ -293,3 +293,14 @@ def test_bpe_white_space_beyond_ascii_stays_in_its_chunk():
         chunks = ["1a", space, f"b2{space}c3", "d4"]
         got = [np.frombuffer(raw, "<u4").tolist() for raw in bpe.PairIndexBpe(path).encode_chunks(chunks)]
         assert got == [library.encode(c, add_special_tokens=False).ids for c in chunks]
+
+
+def test_pipeline_cuts_each_text_of_an_id_for_itself(spark):
+    import corpus_pipeline
+
+    passage, other = " ".join(BASE), "quite another text of the same id"
+    rows = [(1, passage), (2, f"intro  {passage}\toutro"), (2, other), (3, passage), (3, other), (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.cut_repeats(spark, docs, SF).collect())
+    # The short texts have no window of 13 words; the two of id 3 stay though its copy of the passage goes.
+    assert got == Counter([(1, passage, len(passage)), (2, "intro outro", 11), (2, other, len(other)), (3, other, len(other)), (3, None, 0)])
