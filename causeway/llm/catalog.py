@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from causeway.llm import bpe, fingerprints, jaccard, mtree, packing, ppm, quality, substrings, token_counts, toxicity
+from causeway.llm import bpe, fingerprints, jaccard, lexical, mtree, packing, ppm, quality, substrings, token_counts, toxicity
 from causeway.llm.common import table
 
 QUERIES = {}
@@ -107,6 +107,25 @@ def op10_top_k(spark, sf_dir):
     return mtree.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+@query("op13_lexical_search", r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+total AS (SELECT count(*)::BIGINT AS n_docs, sum(len(t))::BIGINT AS l FROM d WHERE len(t) > 0),
+i AS (SELECT row_number() OVER () AS i, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+wanted AS (SELECT DISTINCT i, item_id, unnest(t) AS term FROM i),
+word AS (SELECT r, doc_id, len(t)::BIGINT AS n, unnest(t) AS term FROM d),
+tf AS (SELECT r, doc_id, n, term, count(*)::BIGINT AS tf FROM word WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+df AS (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY term),
+gain AS (SELECT tf.*, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // l))) AS gain
+         FROM tf JOIN df USING (term), total),
+s AS (SELECT i, item_id, r, doc_id, sum(gain)::BIGINT AS score FROM wanted JOIN gain USING (term) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50""")
+def op13_lexical_search(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
 
 
