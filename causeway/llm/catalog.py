@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from causeway.llm import bpe, fingerprints, jaccard, lexical, mtree, packing, ppm, quality, substrings, token_counts, toxicity
+from causeway.llm import bpe, fingerprints, jaccard, lexical, mtree, packing, ppm, quality, substrings, token_counts, toxicity, warc
 from causeway.llm.common import table
 
 QUERIES = {}
@@ -107,6 +107,15 @@ def op10_top_k(spark, sf_dir):
     return mtree.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+@query("op12_warc", """
+WITH d AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to FROM f""")
+def op12_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 @query("op13_lexical_search", r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),

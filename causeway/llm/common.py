@@ -16,6 +16,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from causeway.plans.scaling import shared_dir
+
 U = np.uint64
 SLICE_BYTES = 4 << 20
 
@@ -27,12 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def keep(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table that is read more than once below spark.checkpoint.dir and read it back.
 
-    Lost executors then cost a re-read, not a recomputation. Where the session names no folder, as in
-    tests, the warehouse folder takes its place. The cluster clears the folder as it clears checkpoints.
+    Lost executors then cost a re-read, not a recomputation. Where the session names no folder, the warehouse
+    folder takes its place if the master itself is local, as in tests; on a cluster that is an error. The cluster
+    clears the folder as it clears checkpoints.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{root.rstrip('/')}/llm/{purpose}-{uuid.uuid4().hex}"
+    path = shared_dir(spark, f"llm/{purpose}")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -43,10 +45,9 @@ def keep_by(df: DataFrame, purpose: str, key: str) -> DataFrame:
     The table's data lie below spark.checkpoint.dir as well; its name in the catalog is given back at once.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     name = f"{purpose}_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (df.write.format("parquet").option("compression", "zstd").option("path", f"{root.rstrip('/')}/llm/{name}")
+    (df.write.format("parquet").option("compression", "zstd").option("path", shared_dir(spark, f"llm/{name}"))
      .bucketBy(buckets, key).saveAsTable(name))
     kept = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
