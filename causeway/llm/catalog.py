@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from causeway.llm import bpe, fingerprints, jaccard, lexical, mtree, packing, ppm, quality, substrings, token_counts, toxicity, warc
+from causeway.llm import bpe, fingerprints, jaccard, lexical, mtree, packing, ppm, quality, substrings, token_counts, toxicity, warc, whitening
 from causeway.llm.common import table
 
 QUERIES = {}
@@ -107,6 +107,11 @@ def op10_top_k(spark, sf_dir):
     return mtree.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+@query("op11_whitening")
+def op11_whitening(spark, sf_dir):
+    return whitening.whiten(whitening.whole_numbers(table(spark, sf_dir, "embeddings")), components=32)
+
+
 @query("op12_warc", """
 WITH d AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
