@@ -80,16 +80,12 @@ def _(spark, sf_dir):
     return run(streams.deduplicate_stream(rows, DUP_COLUMNS, "60 days").select(*DUP_COLUMNS), "stream-duplicates")
 
 
-_BY_DAY = cross_sql(300, 10, ["day"]).replace("er AS (SELECT * FROM en WHERE is_error)",
-                                              "er AS (SELECT *, strftime(\"timestamp\", '%Y-%m-%d') AS day FROM en WHERE is_error)")
-
-
-@query("stream_cross_host", f"""SELECT * FROM ({_BY_DAY}) WHERE day < (WITH {EN} SELECT strftime(make_timestamp(max(us) - 900000000), '%Y-%m-%d') FROM en WHERE is_error)""")
+# A day is closed when the newest error is ten minutes and the window behind its end.
+@query("stream_cross_host", f"""SELECT * FROM ({cross_sql(300, 10, [], by_day=True)})
+    WHERE day < (WITH {EN} SELECT strftime(make_timestamp(max(us) - 900000000), '%Y-%m-%d') FROM en WHERE is_error)""")
 def _(spark, sf_dir):
     rows = enrich_levels(stream(spark, sf_dir))
     path = streams.cross_host_by_day(rows, shared_dir(spark, "stream-cross-host"), window_seconds=300)
     found = spark.read.option("basePath", path).parquet(f"{path}/batch_id=*")
     return found.select(F.col("day").cast("string").alias("day"), "group_rank", "seed_event_id", "start",
                         F.array_join("hosts", "|").alias("hosts"), F.array_join("levels", "|").alias("levels"), "trigger")
-
-

@@ -116,11 +116,13 @@ def _(spark, sf_dir):
     return chain.select("host", "position", "event_id", "marker", "gap_before_us", F.array_join(S.TAGS, "|").alias("tags"))
 
 
-def cross_sql(seconds: int, limit: int, scope: list[str]) -> str:
-    """Brute force over all pairs of errors."""
+def cross_sql(seconds: int, limit: int, scope: list[str], by_day: bool = False) -> str:
+    """Brute force over all pairs of errors; with `by_day` seeds are ranked by their day, pairs know no days."""
     w = seconds * 1_000_000
     keys = "".join(f"{c}, " for c in scope)
-    part = f"PARTITION BY {', '.join(scope)} " if scope else ""
+    ranked = [*scope, "strftime(make_timestamp(sus), '%Y-%m-%d')"] if by_day else scope
+    part = f"PARTITION BY {', '.join(ranked)} " if ranked else ""
+    day = "strftime(make_timestamp(sus), '%Y-%m-%d') AS day, " if by_day else ""
     same = "".join(f" AND a.{c} = b.{c}" for c in scope)
     return f"""WITH {EN}, er AS (SELECT * FROM en WHERE is_error),
     pr AS (SELECT {''.join(f'a.{c}, ' for c in scope)}a.event_id AS sid, a.us AS sus, a.host AS sh, a.lvl AS sl, a.message AS sm, b.us, b.event_id AS id, b.host AS h, b.lvl AS l
@@ -132,13 +134,14 @@ def cross_sql(seconds: int, limit: int, scope: list[str]) -> str:
     ho AS (SELECT sid, list(h ORDER BY first_pos) AS hs FROM hh GROUP BY sid),
     ll AS (SELECT pr.sid, l, min((us, id)) AS first_pos FROM pr WHERE l <> sl GROUP BY pr.sid, l),
     lo AS (SELECT sid, list(l ORDER BY first_pos) AS ls FROM ll GROUP BY sid)
-    SELECT {keys}CAST(rn AS INTEGER) AS group_rank, sid AS seed_event_id, {iso_sql('sus')} AS "start", sh || '|' || array_to_string(hs, '|') AS hosts,
+    SELECT {keys}{day}CAST(rn AS INTEGER) AS group_rank, sid AS seed_event_id, {iso_sql('sus')} AS "start", sh || '|' || array_to_string(hs, '|') AS hosts,
         sl || coalesce('|' || array_to_string(ls, '|'), '') AS levels, substr(sm, 1, 80) AS "trigger" FROM s2 JOIN ho USING (sid) LEFT JOIN lo USING (sid) WHERE rn <= {limit}"""
 
 
 def cross(df, **params):
     out = correlate.cross_host_cascade(df, **params)
-    return out.select(*params.get("scope", []), "group_rank", "seed_event_id", "start", F.array_join("hosts", "|").alias("hosts"),
+    day = ["day"] if params.get("by_day") else []
+    return out.select(*params.get("scope", []), *day, "group_rank", "seed_event_id", "start", F.array_join("hosts", "|").alias("hosts"),
                       F.array_join("levels", "|").alias("levels"), "trigger")
 
 
@@ -157,6 +160,11 @@ def _(spark, sf_dir):
     return cross(leveled(spark, sf_dir), window_seconds=300, scope=["sourcetype"])
 
 
+@query("cross_host_cascade_by_day", cross_sql(300, 10, [], by_day=True))
+def _(spark, sf_dir):
+    return cross(leveled(spark, sf_dir), window_seconds=300, by_day=True)
+
+
 SOURCES = """so AS (SELECT host, source, min((us, event_id)) AS first_pos FROM en GROUP BY host, source),
     s3 AS (SELECT host, list(source) AS sources FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY first_pos) AS k FROM so) WHERE k <= 3 GROUP BY host)"""
 SEVERITY_SQL = "CASE e.lvl " + " ".join(f"WHEN '{n}' THEN {r}" for n, r in DRILLDOWN_SEVERITY.items()) + " ELSE 1 END"

@@ -10,7 +10,7 @@ from causeway import schema as S
 from causeway.functions import levels
 from causeway.functions.text import clip
 from causeway.functions.times import MINUTE, as_time, floor_div, format_ts, micros
-from causeway.plans.scaling import attach, salted_join, top_k, with_scope
+from causeway.plans.scaling import HEAVY_KEYS, attach, salted_join, top_k, with_scope
 from causeway.rules import DEFAULT_RULES, RuleSet
 from causeway.schema import Roles, resolve_roles
 
@@ -25,9 +25,12 @@ def _first_two(firsts: DataFrame, keys, host: str, order, prefix: str) -> DataFr
 
 
 def cross_host_cascade(df: DataFrame, roles: Roles | None = None, scope=(), window_seconds: float = 2.0,
-                       limit: int = 10) -> DataFrame:
+                       limit: int = 10, by_day: bool = False) -> DataFrame:
     """Errors followed by errors on other hosts within the window; the first `limit` per scope.
 
+    With `by_day` it is the first `limit` of every UTC day, in column `day`; the day is that of the seed,
+    its followers may fall on the next one.
+
     One row per (scope, millisecond): the lowest event that has followers. Whether an event has any
     is decided without pairing events: of each bucket as wide as the window, the last and the first
     errors of the two leading hosts tell whether another host follows in the same bucket or in the
@@ -65,24 +68,27 @@ def cross_host_cascade(df: DataFrame, roles: Roles | None = None, scope=(), wind
         other("next").getField("us") <= F.col("us") + width, F.lit(False))
     seeds = rows.where(follows).groupBy(*scope, floor_div(F.col("us"), 1000).alias("_ms")).agg(
         F.min(F.struct("us", "id", "error_host", "error_level", "bucket")).alias("seed"))
-    seeds = top_k(seeds, scope, [F.col("_ms").asc()], limit, "group_rank")
+    ranked = scope
+    if by_day:
+        seeds, ranked = seeds.withColumn("day", F.date_format(F.timestamp_millis("_ms"), "yyyy-MM-dd")), [*scope, "day"]
+    seeds = top_k(seeds, ranked, [F.col("_ms").asc()], limit, "group_rank")
     seeds = seeds.withColumn("bucket", F.explode(F.array("seed.bucket", F.col("seed.bucket") + 1)))
     pairs = salted_join(moments, seeds, at, F.col("id")).where(
         (F.col("us") <= F.col("seed.us") + width) & (F.col("error_host") != F.col("seed.error_host"))
         & (place > F.struct("seed.us", "seed.id")))
-    found = pairs.groupBy(*scope, "group_rank", "seed", "error_host", "error_level").agg(F.min(place).alias("at"))
-    groups = found.groupBy(*scope, "group_rank", "seed").agg(
+    found = pairs.groupBy(*ranked, "group_rank", "seed", "error_host", "error_level").agg(F.min(place).alias("at"))
+    groups = found.groupBy(*ranked, "group_rank", "seed").agg(
         F.array_sort(F.collect_list(F.struct("at", "error_host", "error_level"))).alias("m"))
     hosts = F.array_distinct(F.concat(F.array("seed.error_host"), F.col("m.error_host")))
     names = F.array_distinct(F.concat(F.array("seed.error_level"), F.col("m.error_level")))
-    out = groups.select(*scope, "group_rank", F.col("seed.id").alias("seed_event_id"), format_ts(F.col("seed.us")).alias("start"),
+    out = groups.select(*ranked, "group_rank", F.col("seed.id").alias("seed_event_id"), format_ts(F.col("seed.us")).alias("start"),
                         as_time(F.col("seed.us")).alias("seed_ts"), hosts.alias("hosts"), names.alias("levels"))
     if roles.message is None:
         return out.withColumn("trigger", F.lit(""))
     texts = df.where(F.col(S.IS_ERROR)).select(
         F.col(event_id).alias("seed_event_id"), clip(F.coalesce(F.col(roles.message), F.lit("")), 80).alias("trigger"))
-    # Without scope columns there are at most `limit` seeds.
-    return texts.join(out if scope else F.broadcast(out), "seed_event_id")
+    # Without scope columns and days there are at most `limit` seeds.
+    return texts.join(F.broadcast(out) if not ranked and limit <= HEAVY_KEYS else out, "seed_event_id")
 
 
 def first_sources(df: DataFrame, roles: Roles, scope=(), k: int = 3) -> DataFrame:

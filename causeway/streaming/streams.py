@@ -7,6 +7,7 @@ it, so late rows within the delay are counted and state is bounded by the delay.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import date, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -171,13 +172,16 @@ def deduplicate_stream(stream: DataFrame, columns: list[str], delay: str = "10 m
 
 def cross_host_by_day(enriched: DataFrame, folder: str, roles: Roles | None = None, window_seconds: float = 2.0,
                       delay_seconds: float = 600.0, limit: int = 10) -> str:
-    """Cross-host cascades of each closed day; gives the folder of the result.
+    """The first `limit` cross-host cascades of each closed UTC day; gives the folder of the result.
 
     Every micro-batch adds its errors to a table partitioned by day and notes the days it saw. A day
-    is closed when the newest error lies further behind it than delay and window; it is then worked
-    off once by the batch operator, which pairs no events. A repeated micro-batch overwrites what its
-    first run wrote.
+    is closed when the newest error lies further behind its end than delay and window. It is then worked
+    off once by the batch operator, which pairs no events, together with the first window of the day
+    after it, where the followers of its last errors lie; seeds are those of the day alone. A repeated
+    micro-batch overwrites what its first run wrote.
     """
+    if window_seconds > 86_400:
+        raise ValueError("the window may not be longer than a day")
     roles = roles or resolve_roles(enriched)
     event_id, host, message = roles.need("event_id", "cross_host", "message")
     errors = enriched.where(F.col(S.IS_ERROR)).select(event_id, host, message, S.MICROS, S.LEVEL, S.IS_ERROR)
@@ -200,10 +204,13 @@ def cross_host_by_day(enriched: DataFrame, folder: str, roles: Roles | None = No
         names = [r.day for r in due.where(F.col("day") < limit_day.scalar()).collect()]
         if not names:
             return
+        after = [str(date.fromisoformat(n) + timedelta(days=1)) for n in names]
         # The names of the days prune the partitions that are read.
         schema = T.StructType([*errors.schema.fields, T.StructField("batch_id", T.LongType()), T.StructField("day", T.StringType())])
-        rows = spark.read.schema(schema).parquet(kept).where(F.col("day").isin(names) & (F.col("batch_id") <= batch_id))
-        found = correlate.cross_host_cascade(rows, roles, ["day"], window_seconds, limit)
+        rows = spark.read.schema(schema).parquet(kept).where(F.col("day").isin([*names, *after]) & (F.col("batch_id") <= batch_id))
+        begun = F.pmod(F.col(S.MICROS), F.lit(micros(86_400))) <= micros(window_seconds)
+        rows = rows.where(F.col("day").isin(names) | begun).drop("day")
+        found = correlate.cross_host_cascade(rows, roles, (), window_seconds, limit, by_day=True).where(F.col("day").isin(names))
         found.write.mode("overwrite").partitionBy("day").parquet(f"{result}/{part}")
         spark.createDataFrame([(n,) for n in names], "day string").write.mode("overwrite").parquet(f"{finished}/{part}")
 

@@ -54,14 +54,32 @@ def test_cross_host_days_are_given_once(spark, parts):
     path = streams.cross_host_by_day(enrich_levels(stream_of(spark, parts)), shared_dir(spark, "test-cross"),
                                      window_seconds=300, delay_seconds=60)
     got = spark.read.option("basePath", path).parquet(f"{path}/batch_id=*")
-    df = enrich_levels(spark.read.parquet(parts)).withColumn("day", F.date_format(S.EVENT_TIME, "yyyy-MM-dd"))
-    want = correlate.cross_host_cascade(df, scope=["day"], window_seconds=300)
+    df = enrich_levels(spark.read.parquet(parts))
+    want = correlate.cross_host_cascade(df, window_seconds=300, by_day=True)
     days = {str(r.day) for r in got.select("day").distinct().collect()}
     assert len(days) == 3  # the last of the four calendar days is still open
     assert {(str(r.day), r.group_rank, r.seed_event_id, tuple(r.hosts)) for r in got.collect()} == {
         (r.day, r.group_rank, r.seed_event_id, tuple(r.hosts)) for r in want.collect() if r.day in days}
 
 
+def test_cascades_go_on_over_midnight(spark, events, tmp_path):
+    """A seed of 23:59:59 has a follower of 00:00:01, which comes in a later micro-batch."""
+    midnight = 16 * 3600
+    rows = [(10, "a", "ERROR", "x"), (midnight - 1, "a", "ERROR", "last of the day"), (midnight + 1, "b", "CRITICAL", "first of the next"),
+            (midnight + 2, "c", "ERROR", "too late"), (midnight + 90_000, "a", "ERROR", "x"), (midnight + 90_001, "c", "ERROR", "x"),
+            (midnight + 200_000, "a", "ERROR", "x")]
+    df, folder = events(rows).select(COLUMNS), str(tmp_path / "in")
+    for i in range(0, len(rows), 2):
+        df.where(F.col("event_id").isin(i, i + 1)).coalesce(1).write.mode("append").parquet(folder)
+    path = streams.cross_host_by_day(enrich_levels(stream_of(spark, folder)), str(tmp_path / "out"), window_seconds=2, delay_seconds=60)
+    got = spark.read.option("basePath", path).parquet(f"{path}/batch_id=*").orderBy("day", "group_rank").collect()
+    assert [(str(r.day), r.seed_event_id, r.hosts, r.levels, r.trigger) for r in got] == [
+        ("2024-03-15", 1, ["a", "b"], ["ERROR", "CRITICAL"], "last of the day"), ("2024-03-16", 2, ["b", "c"], ["CRITICAL", "ERROR"], "first of the next"),
+        ("2024-03-17", 4, ["a", "c"], ["ERROR"], "x")]
+    with pytest.raises(ValueError, match="day"):
+        streams.cross_host_by_day(enrich_levels(stream_of(spark, folder)), str(tmp_path / "no"), window_seconds=100_000)
+
+
 def test_duplicates_over_batches(spark, parts):
     from causeway.operators.enrich import normalize_time
 
