@@ -75,7 +75,7 @@ RECORDS = f"""SELECT file AS source, CASE WHEN rec > 0 THEN {_g(1)} END AS "time
 @query("raw_log_assemble", f"WITH {RAW} {RECORDS}")
 def _(spark, sf_dir):
     lines = raw_lines(spark, sf_dir).withColumn("block", F.call_function("div", F.col("line_no"), F.lit(4096)))
-    return rawlog.assemble_records(lines, "file", "block", "line_no", "line").drop("record_no")
+    return rawlog.assemble_records(lines, "file", "block", "line_no", "line").drop("record_no", "part")
 
 
 @query("raw_log_source", f"WITH {RAW}, rc AS ({RECORDS}) SELECT \"timestamp\", log_level, logger, thread, message, \"_raw\" FROM rc")

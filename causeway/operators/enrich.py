@@ -12,6 +12,7 @@ from causeway.plans.once import compute_once
 from causeway.plans.scaling import top_k
 from causeway.rules import DEFAULT_RULES, RuleSet
 from causeway.schema import Roles, resolve_roles
+from causeway.sources.ids import with_event_id
 from causeway.sources.timestamps import TimeFormat, parse_timestamps
 
 
@@ -53,10 +54,18 @@ def enrich(df: DataFrame, roles: Roles | None = None, rules: RuleSet = DEFAULT_R
            time_format: TimeFormat | None = None) -> DataFrame:
     """The whole normalisation: time, level, combined text, flags, tags.
 
+    A table without an `event_id` gets one from its contents, which takes a shuffle; streams need their own.
+    A table that brings time, level, flags and tags already keeps them and gets what else is missing.
     Write the result (`write_enriched`) and run the operators on the written table: they then read
     only the columns they need and push their filters into the scan.
     """
+    if roles is None and not df.isStreaming:
+        df = with_event_id(df)
     texts = S.text_columns(df)
+    if {S.EVENT_TIME, S.LEVEL, S.IS_ERROR, S.IS_WARNING, S.IS_RECOVERY, S.IS_ANOMALY, S.TAGS} <= set(df.columns):
+        missing = {S.MICROS: F.unix_micros(F.col(S.EVENT_TIME).cast("timestamp")), S.COMBINED: F.expr(tags.combine_text([*texts, S.LEVEL])),
+                   **{S.FLAG_PREFIX + t: F.array_contains(S.TAGS, t) for t in rules.tags}}
+        return df.withColumns({c: value for c, value in missing.items() if c not in df.columns})
     df = enrich_levels(df, roles, year, time_format)
     df = with_tags(compute_once(df, {S.COMBINED: tags.combine_text([*texts, S.LEVEL])}), rules)
     flags = " OR ".join([S.IS_ERROR, *[f"`{S.FLAG_PREFIX}{t}`" for t in rules.tags]])

@@ -105,6 +105,6 @@ def display_columns(df: DataFrame) -> list[str]:
 
 
 def text_columns(df: DataFrame) -> list[str]:
-    """String columns of the data: the only ones regular expressions are run on."""
+    """String columns of the data but the event id: the only ones regular expressions are run on."""
     return [f.name for f in df.schema.fields
-            if isinstance(f.dataType, StringType) and not is_derived(f.name)]
+            if isinstance(f.dataType, StringType) and not is_derived(f.name) and f.name != "event_id"]

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from causeway.sources import segments
 from causeway.sources.rawlog import assemble_records, sniff_format
 
 # Names Spark's readers know the encodings by.
@@ -12,12 +17,14 @@ SPARK_ENCODING = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "latin-1": "ISO-8859-1
                   "ascii": "US-ASCII"}
 
 
-def read_lines(spark: SparkSession, path, encoding: str = "utf-8") -> DataFrame:
+def read_lines(spark: SparkSession, path, encoding: str = "utf-8", separator: str | None = None) -> DataFrame:
     """(file, block, seq, line): every line of every file with its place in the file.
 
     A block is the split Spark reads in one task, known by its offset; `seq` grows within it.
     """
     reader = spark.read.option("encoding", SPARK_ENCODING[encoding])
+    if separator is not None:
+        reader = reader.option("lineSep", separator)
     raw = reader.text(path if isinstance(path, list) else [path])
     return raw.select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
@@ -58,35 +65,84 @@ def detect_encoding(spark: SparkSession, path, requested: str = "utf-8") -> Data
 
 
 def read_csv(spark: SparkSession, path, encoding: str = "utf-8", infer: bool = True, schema=None,
-             multi_line: bool = True) -> DataFrame:
-    """CSV files with a header. Pass a schema at scale.
-
-    With `multi_line` quoted values may hold line breaks, but a file is then read by one task;
-    `route_files` tells which files need it, so that the others can be split.
+             multi_line: bool = True, header: str | None = None) -> DataFrame:
+    """CSV files with a header. Pass a schema at scale: types are inferred by one task per file, and
+    without a schema or `header`, the files' first line, names are looked up in a pass of their own.
+
+    With `multi_line` quoted values may hold line breaks. Files are split all the same: a first pass
+    counts the quotes of every split, so that each task knows whether its split begins inside quotes. Quotes
+    then have to be paired, as in RFC 4180; lines end with a line feed, a carriage return before it is
+    dropped at the end of a record and kept inside quotes. Rows get an `event_id`, unless they have one.
     """
     reader = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
               .option("encoding", SPARK_ENCODING[encoding]))
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", infer)
-    return with_event_id(reader.csv(path))
+    if not multi_line:
+        reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", infer)
+        return with_row_id(reader.csv(path))
+    records = csv_records(spark, path, encoding)
+    if schema is None:
+        if header is None or header.count('"') % 2:
+            header = (records.where(F.col("part") == segments.HEADER).select(F.min_by("text", "file")).first() or [None])[0] or ""
+        names = _column_names(header)
+        found = reader.option("inferSchema", True).csv(path).schema.fields if infer else []
+        kinds = [f.dataType for f in found] if len(found) == len(names) else [StringType()] * len(names)
+        schema = StructType([StructField(n, k) for n, k in zip(names, kinds)])
+    kind = schema if isinstance(schema, str) else schema.toDDL()
+    row = F.from_csv(F.regexp_replace("text", "\r$", ""), kind, {"escape": '"', "multiLine": "true"})
+    rows = records.where(F.col("part") != segments.HEADER).select(_row_id(F.col("file"), F.col("record_no")).alias("event_id"), row.alias("row"))
+    names = rows.schema["row"].dataType.names
+    return rows.select("row.*") if "event_id" in names else rows.select("event_id", "row.*")
+
+
+def _column_names(header: str) -> list[str]:
+    """Names of a header record; empty ones are named by their place, repeated ones get it as ending."""
+    names = next(csv.reader(io.StringIO(header.rstrip("\r"), newline="")), [])
+    named = [n or f"_c{i}" for i, n in enumerate(names)]
+    return [f"{n}{i}" if named.count(n) > 1 else n for i, n in enumerate(named)]
+
+
+def csv_records(spark: SparkSession, path, encoding: str = "utf-8") -> DataFrame:
+    """`file, record_no, part, text` of the records of CSV files; the number is that of the record's first line,
+    the part of the header is segments.HEADER."""
+    lines = read_lines(spark, path, encoding, "\n")
+    quotes = F.char_length("line") - F.char_length(F.replace("line", F.lit('"'), F.lit("")))
+    lines = lines.withColumn("mark", quotes)
+    splits = lines.groupBy("file", "block").agg(
+        F.sum("mark").alias("_quotes"), F.count("*").alias("_lines"), F.count_if(F.col("line").rlike(r"\S")).alias("_filled"))
+    earlier = segments.before(splits, {"_quotes": "quotes", "_lines": "lines", "_filled": "records"})
+    # One row per split, of all of which the driver keeps a list itself.
+    placed = lines.join(F.broadcast(earlier), ["file", "block"])
+    return segments.records(placed.withColumn("odd", F.col("quotes") % 2 == 1), quoted=True)
+
+
+def _row_id(file: Column, number: Column) -> Column:
+    return F.concat_ws(":", file, F.lpad(number.cast("string"), 15, "0"))
 
 
-def with_event_id(df: DataFrame) -> DataFrame:
-    """Rows of files with an `event_id` that sorts by file, split and place in the split, unless they have one.
+def with_row_id(df: DataFrame) -> DataFrame:
+    """Rows of files with an `event_id` of the file and the row's number in it, unless they have one.
 
-    The id is the same in every read that splits the files alike.
+    The number counts the rows of the file, however it is split and however splits are packed into tasks:
+    rows are numbered within their task, and the first number of each split, and the rows of the splits
+    before it, come from a pass over the same scan.
     """
     if "event_id" in df.columns:
         return df
-    place = F.lpad(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).cast("string"), 10, "0")
-    block = F.lpad(F.col("_metadata.file_block_start").cast("string"), 15, "0")
-    return df.select(F.concat_ws(":", F.col("_metadata.file_path"), block, place).alias("event_id"), "*")
+    at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), at.alias("_at"))
+    splits = rows.groupBy(F.col("_file").alias("file"), F.col("_block").alias("block")).agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    earlier = segments.before(splits, {"_rows": "rows"}).join(splits.select("file", "block", "_first"), ["file", "block"])
+    keyed = earlier.select(F.col("file").alias("_file"), F.col("block").alias("_block"), "_first", F.col("rows").alias("_rows"))
+    # One row per split, of all of which the driver keeps a list itself.
+    placed = rows.join(F.broadcast(keyed), ["_file", "_block"])
+    return placed.select(_row_id(F.col("_file"), F.col("_rows") + F.col("_at") - F.col("_first") + 1).alias("event_id"), *[F.col(f"`{c}`") for c in df.columns])
 
 
 def read_raw(spark: SparkSession, path, encoding: str = "utf-8") -> DataFrame:
-    """The records of raw logs, with an `event_id` made of the file and the record's number."""
-    records = assemble_records(read_lines(spark, path, encoding), "file", "block", "seq", "line")
-    number = F.lpad(F.col("record_no").cast("string"), 15, "0")
-    return records.select(F.concat_ws(":", "source", number).alias("event_id"), "*")
+    """The records of raw logs, with an `event_id` made of the file, the record's number and, before the first, the part."""
+    records = assemble_records(read_lines(spark, path, encoding), "file", "block", "seq", "line", in_order=True)
+    part = F.when(F.col("part") > 0, F.lpad(F.col("part").cast("string"), 10, "0"))
+    return records.select(F.concat_ws(":", _row_id(F.col("source"), F.col("record_no")), part).alias("event_id"), "*")
 
 
 def route_files(spark: SparkSession, path, requested: str = "utf-8") -> DataFrame:
@@ -112,7 +168,7 @@ def load_logs(spark: SparkSession, path, requested: str = "utf-8", infer: bool =
         spanning = r.format == "csv" and r.multi_line
         routed.setdefault((r.format, r.encoding, spanning, r.header), []).append(r.file)
     return {(fmt, enc, spanning, header): read_raw(spark, files, enc) if fmt == "raw"
-            else read_csv(spark, files, enc, infer=infer, multi_line=spanning)
+            else read_csv(spark, files, enc, infer=infer, multi_line=spanning, header=header)
             for (fmt, enc, spanning, header), files in routed.items()}
 
 

@@ -1,7 +1,9 @@
 """From files as they come to the results: readers, enrichment, the written table, the operators."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from causeway import schema as S
 from causeway.operators import correlate, impact, incident, reports
 from causeway.operators.enrich import enrich
 from causeway.sources import files
@@ -54,3 +56,38 @@ def test_times_without_leading_zeros(spark, text, want):
 
 def test_duplicates_do_not_look_at_the_event_id(spark, events):
     assert impact.duplicate_count(events([(1, "h", "ERROR", "x"), (1, "h", "ERROR", "x"), (2, "h", "ERROR", "x")])).first().duplicate_count == 1
+
+
+def test_a_table_without_ids_goes_through(spark):
+    """Two enriched rows as another tool hands them over: no id, own columns of time, level and flags."""
+    flags = [S.IS_ERROR, S.IS_WARNING, S.IS_ANOMALY, S.IS_RECOVERY]
+    rows = [("2024-03-15T09:00:00Z", "web01", "ok login 10.0.0.5", "INFO", False, False, False, False, []),
+            ("2024-03-15T09:00:10Z", "db01", "connection timeout to 10.0.0.9:5432", "ERROR", True, False, True, False, ["timeout"])]
+    df = spark.createDataFrame(rows, f"_time string, host string, message string, _log_level string, {', '.join(f + ' boolean' for f in flags)}, _anomaly_tags array<string>")
+    events = enrich(df.withColumn("_timestamp_parsed", F.to_timestamp("_time")))
+    row, summary = incident.incident(events).first(), reports.incident_summary(events).first()
+    assert (row.root_host, row.total_events, summary.total_events, summary.error_events) == ("db01", 2, 2, 1)
+    assert [r.event_id.split(":")[1] for r in events.collect()] == ["000000000001"] * 2
+
+
+def test_ids_from_contents_do_not_depend_on_the_packing(spark, monkeypatch):
+    from causeway.sources import ids
+
+    monkeypatch.setattr(ids, "CHUNK", 4)
+    rows = [("a", None, [None, "x"], {"k": 1})] * 11 + [(None, "a", ["x", None], {"k": 1})] * 3 + [("b", "c", None, None), ("a", None, ["x", None], {"k": 2})]
+    df = spark.createDataFrame(rows, "s string, t string, l array<string>, m map<string, int>")
+
+    def found(parts):
+        return sorted((r.event_id, str(r.s), str(r.t), str(r.l), str(r.m)) for r in ids.with_event_id(df.repartition(parts)).collect())
+
+    one = found(1)
+    assert one == found(7) and len({r[0] for r in one}) == len(rows) == 16
+    assert sorted({r[0].split(":")[1] for r in one if r[1:3] == ("a", "None") and "None, 'x'" in r[3]}) == [f"{i:012d}" for i in range(1, 12)]
+    assert ids.with_event_id(df.where("false")).count() == 0
+
+
+def test_an_id_is_no_text(spark):
+    """Ids of rows of files hold the file's path; its words are none of the events'."""
+    row = ("file:/var/log/timeout/error.csv:000000000000002", "2024-03-15 09:00:00", "INFO", "all well")
+    df = enrich(spark.createDataFrame([row], "event_id string, timestamp string, log_level string, message string"))
+    assert df.first()["_anomaly_tags"] == []

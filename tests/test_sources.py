@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,92 @@ def test_raw_file_read_in_many_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+@pytest.fixture()
+def small_splits(spark):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def quoted_csv(rng, rows):
+    """Rows of text with line breaks, quotes, commas, blank lines inside quotes and out, two kinds of line ends."""
+    pieces = ["a", "bc", ",", "\n", "\r\n", '""', "\n\n", " ", "é", "longer words here"]
+    out = ['\n\r\nid,"first\nname",text\n']
+    for i in range(rows):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(12)))
+        out.append(f'{i},"{text}",plain{i}{rng.choice(["", "x" * 90])}' + rng.choice(["\n", "\r\n"]))
+        out.append(rng.choice(["", "", "\n", "  \r\n"]))
+    return "".join(out)
+
+
+def test_quoted_line_breaks_are_read_in_many_splits(spark, tmp_path, small_splits):
+    import random
+    for i in range(3):
+        (tmp_path / f"f{i}.csv").write_bytes(quoted_csv(random.Random(i), 40).encode())
+    schema = "id long, name string, text string"
+    assert files.read_lines(spark, str(tmp_path), "utf-8", "\n").select("file", "block").distinct().count() > 60
+    got = files.read_csv(spark, str(tmp_path), schema=schema)
+    want = spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(schema).csv(str(tmp_path)).where("id is not null")
+    want = want.withColumn("text", F.regexp_replace("text", "\r$", ""))  # one reader per file leaves it there
+    assert sorted((tuple(r)[1:] for r in got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and want.count() == 120
+    assert files.read_csv(spark, str(tmp_path), infer=False).columns == ["event_id", "id", "first\nname", "text"]
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_ids_do_not_depend_on_splits_or_their_packing(spark, tmp_path, multi_line):
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_text("host,message\n" + "".join(f"h{i},m{n}\n" for n in range(30 + 20 * i)))
+
+    def ids(split, cost):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+        try:
+            rows = files.read_csv(spark, str(tmp_path), schema="host string, message string", multi_line=multi_line).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert len({r.event_id for r in rows}) == len(rows) == 150
+        return sorted(map(tuple, rows))
+
+    one = ids("128m", "1")
+    assert one == ids("128m", "100m") == ids("64", "1") == ids("200", "1") == ids("1000", "1")
+    assert [r[2] for r in one if r[1] == "h1"] == [f"m{n}" for n in range(50)]  # ids sort as the rows stand in the file
+
+
+def test_raw_text_before_the_first_header_comes_in_parts(spark, tmp_path, small_splits, monkeypatch):
+    from causeway.sources import segments
+    (tmp_path / "app_log").write_text("".join(f"loose {i}\n\n" for i in range(50)) + LOG)
+    whole = files.read_raw(spark, str(tmp_path)).where("record_no = 0").collect()
+    assert [r._raw.count("\n") for r in whole] == [51]
+    text, cut = whole[0]._raw, segments._cut(False)
+    lines = text.split("\n")
+    monkeypatch.setattr(segments, "LOOSE_LINES", 8)
+    for width in (3, 8, 20, 100):
+        batches = [pa.RecordBatch.from_pydict({
+            "file": ["f"] * len(part), "block": [at] * len(part), "line": part, "mark": pa.array([0] * len(part), pa.int32()), "records": [0] * len(part),
+            "lines": [at] * len(part), "odd": [False] * len(part)}) for at in range(0, len(lines), width) if (part := lines[at : at + width])]
+        found: dict[int, list[str]] = {}
+        for b in cut(iter(batches)):
+            for row in b.to_pylist():
+                assert (row["record_no"], row["inner"]) == (0, False)
+                found.setdefault(row["part"], []).append(row["text"])
+        assert ["\n".join(found[k]) for k in sorted(found)] == ["\n".join(lines[i : i + 8]) for i in range(0, len(lines), 8)]
+
+
+def test_a_table_of_lines_is_dealt_out_once(spark):
+    """One exchange carries the lines, whatever reads them; reading files takes none."""
+    lines = [("f", i // 2, i, t) for i, t in enumerate(LOG.split("\n"))]
+    df = spark.createDataFrame(lines, "file string, block long, seq long, line string")
+    got = rawlog.assemble_records(df, "file", "block", "seq", "line")
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    wide = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "REPARTITION_BY_COL" in x and "Reused" not in x]
+    assert len(wide) == 1 and "ReusedExchange" in plan
+
+
 def test_files_are_routed_by_content(spark, tmp_path):
     (tmp_path / "raw.txt").write_text("\n\n2026-04-26 00:00:00,030 INFO x\n")
     (tmp_path / "plain.csv").write_text("host,message\na,b\n")
