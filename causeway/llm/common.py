@@ -73,6 +73,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             start = stop
 
 
+def kept_rows(docs: DataFrame, wanted) -> DataFrame:
+    """The rows of `docs`, all columns as they are, for whose texts `wanted` is true: decided row by row, without a join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            yield batch.filter(pa.array(wanted(filled(batch.column("text")))))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def filled(texts: pa.Array) -> pa.Array:
     return pc.fill_null(texts.cast(pa.large_string()), "")
 

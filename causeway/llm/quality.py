@@ -8,8 +8,8 @@ constants, a few kilobytes. A score is the logistic of the difference of the two
 log-densities, with the class shares as prior.
 
 A class without labelled documents leaves the discriminant undefined; then every score is the share of
-label 1 (0.5 without labels). Null and empty texts have the statistics of zero words. Documents with
-several labels count once per label; null labels do not count.
+label 1 (0.5 without labels). Null and empty texts have the statistics of zero words, very long ones those of the
+whole text. Documents with several labels count once per label; null labels do not count.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import held_out, slices
+from causeway.llm.common import held_out, kept_rows, slices
 from causeway.llm.features import STATISTICS, statistics
 
 SHRINK_TO_POOLED = 0.1
@@ -109,9 +109,19 @@ def score(docs: DataFrame, model: Discriminant, threshold: float, out: Column |
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 4) -> DataFrame:
-    """Learn `labels.quality` from the documents outside the held-out fold and score all documents."""
+def learn(docs: DataFrame, labels: DataFrame, folds: int) -> Discriminant:
+    """From the documents outside the held-out fold and `labels.quality`."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label")).where("label in (0, 1)")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = fit(rows.where("doc_id is not null").where(~held_out("doc_id", folds)), known)
-    return score(rows, model, threshold, held_out("doc_id", folds))
+    return fit(rows.where("doc_id is not null").where(~held_out("doc_id", folds)), known)
+
+
+def good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 4) -> DataFrame:
+    """The rows of `docs`, with all columns, whose own text scores at least the threshold."""
+    model = learn(docs, labels, folds)
+    return kept_rows(docs, lambda texts: model.scores(statistics(texts)) >= threshold)
+
+
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 4) -> DataFrame:
+    """Learn `labels.quality` from the documents outside the held-out fold and score all documents."""
+    return score(docs, learn(docs, labels, folds), threshold, held_out("doc_id", folds))

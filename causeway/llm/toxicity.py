@@ -7,7 +7,7 @@ logistic loss; where the second part turns negative, its gradient is turned roun
 classifier from calling every unlabelled toxic word harmless.
 
 P and U are samples of at most `POSITIVES` and `UNLABELLED` documents, the first by a hash of the id; this
-bounds what reaches the driver (word numbers only) at any size. Everything is scored, whole texts included.
+bounds what is learned from at any size. Everything is scored, whole texts included.
 Features are the words (A-Z lower-cased, punctuation around them cut off) and beginnings that stand in at least
 `LEAST_DOCUMENTS` sampled positives, differ between P and U by `LEAST_CONTRAST` standard errors and are
 among the `FEATURES` most telling.
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import held_out, slices, words
+from causeway.llm.common import held_out, keep, kept_rows, slices, words
 
 POSITIVES = 6_000
 UNLABELLED = 12_000
@@ -89,31 +89,20 @@ class PuClassifier:
         return 1 / (1 + np.exp(-np.clip(logits, -700, 700)))
 
 
-Sample = tuple[np.ndarray, np.ndarray, int]  # buckets, counts, number of words of a document
+Sample = tuple[np.ndarray, np.ndarray, int]  # chosen features of a document (sorted), counts, number of its words
 
 
-def train(positive: list[Sample], unlabelled: list[Sample], prior: float, steps: int = 600, batch: int = 256,
+def train(positive: list[Sample], unlabelled: list[Sample], chosen: np.ndarray, prior: float, steps: int = 600, batch: int = 256,
           rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> PuClassifier:
     if not positive or not unlabelled or not 0 < prior < 1:
         edge = min(max(prior, 1e-6), 1 - 1e-6)
         return PuClassifier(prior, np.zeros(0, np.int64), np.zeros(0), float(np.log(edge / (1 - edge))))
-    in_p = np.bincount(np.concatenate([d[0] for d in positive]), minlength=BUCKETS)
-    in_u = np.bincount(np.concatenate([d[0] for d in unlabelled]), minlength=BUCKETS)
-    p, u = (in_p + 0.5) / (len(positive) + 1), (in_u + 0.5) / (len(unlabelled) + 1)
-    # Log-odds over their standard error; U holds positives itself, which only weakens the contrast.
-    z = np.log(p / (1 - p)) - np.log(u / (1 - u))
-    z /= np.sqrt(1 / (in_p + 0.5) + 1 / (len(positive) - in_p + 0.5) + 1 / (in_u + 0.5) + 1 / (len(unlabelled) - in_u + 0.5))
-    enough = np.flatnonzero((in_p >= LEAST_DOCUMENTS) & (z >= LEAST_CONTRAST))
-    chosen = np.sort(enough[np.argsort(-z[enough], kind="stable")[:FEATURES]])
-    number = np.full(BUCKETS, -1, np.int32)
-    number[chosen] = np.arange(len(chosen))
 
     def matrix(docs: list[Sample]) -> np.ndarray:
         x = np.zeros((len(docs), 2 * len(chosen)), np.float32)
         for i, (buckets, counts, n_words) in enumerate(docs):
-            own = number[buckets]
-            hit = own >= 0
-            x[i, own[hit]], x[i, len(chosen) + own[hit]] = values(counts[hit], n_words)
+            own = np.searchsorted(chosen, buckets)
+            x[i, own], x[i, len(chosen) + own] = values(counts, n_words)
         return x
 
     xp, xu = matrix(positive), matrix(unlabelled)
@@ -139,8 +128,28 @@ def train(positive: list[Sample], unlabelled: list[Sample], prior: float, steps:
     return PuClassifier(prior, chosen, w, float(b))
 
 
+def contrasts(counted: DataFrame, n_p: int, n_u: int) -> np.ndarray:
+    """The most telling features, sorted; `counted` has the samples' `positive, buckets`. Counts stay in Spark.
+
+    The log-odds of a feature over their standard error; U holds positives itself, which only weakens the contrast.
+    """
+    each = counted.select("positive", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(
+        F.count_if("positive").alias("in_p"), F.count_if(~F.col("positive")).alias("in_u")).where(F.col("in_p") >= LEAST_DOCUMENTS)
+    share = lambda k, n: (k + 0.5) / (n + 1)
+    odds = lambda x: F.log(x / (1 - x))
+    in_p, in_u = F.col("in_p"), F.col("in_u")
+    error = F.sqrt(1 / (in_p + 0.5) + 1 / (n_p - in_p + 0.5) + 1 / (in_u + 0.5) + 1 / (n_u - in_u + 0.5))
+    z = (odds(share(in_p, n_p)) - odds(share(in_u, n_u))) / error
+    best = each.withColumn("z", z).where(F.col("z") >= LEAST_CONTRAST).orderBy(F.col("z").desc(), "bucket").limit(FEATURES)
+    return np.array(sorted(r["bucket"] for r in best.select("bucket").collect()), np.int64)
+
+
 def fit(docs: DataFrame, labels: DataFrame, folds: int) -> PuClassifier:
-    """Samples, prior and classifier; `docs` and `labels` may hold any rows, the held-out fold is left out here."""
+    """Samples, prior and classifier; `docs` and `labels` may hold any rows, the held-out fold is left out here.
+
+    A sampled id counts once, with the smallest of its texts. Features are counted and chosen in Spark; to the
+    driver come the chosen ones of the samples, at most FEATURES numbers a document.
+    """
     known = labels.where("toxic in (0, 1)").where(~held_out("doc_id", folds))
     counts = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).first()
     prior = (counts["k"] or 0) / counts["n"] if counts["n"] else 0.0
@@ -151,7 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int) -> PuClassifier:
                   .where(~held_out("doc_id", folds)).distinct().orderBy(by_hash, "doc_id").limit(UNLABELLED))
     # At most POSITIVES + UNLABELLED ids: a broadcast of fixed size.
     chosen = positives.withColumn("positive", F.lit(True)).unionByName(unlabelled.withColumn("positive", F.lit(False)))
-    sampled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    sampled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    sampled = sampled.join(F.broadcast(chosen), "doc_id").groupBy("positive", "doc_id").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -161,13 +171,27 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int) -> PuClassifier:
             yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("doc_id"), *lists, pa.array(n_words, pa.int64())],
                                              ["positive", "doc_id", "buckets", "counts", "n_words"])
 
-    found = (sampled.select("positive", "doc_id", F.col("text").cast("string").alias("text"))
-             .mapInArrow(run, "positive boolean, doc_id long, buckets array<int>, counts array<int>, n_words long").toArrow().combine_chunks())
-    order = np.lexsort((found["doc_id"].to_numpy(), found["positive"].to_numpy(zero_copy_only=False)))
+    schema = "positive boolean, doc_id long, buckets array<int>, counts array<int>, n_words long"
+    counted = keep(sampled.mapInArrow(run, schema), "samples")
+    sizes = dict(counted.groupBy("positive").count().collect())
+    told = contrasts(counted, sizes.get(True, 0), sizes.get(False, 0))
+
+    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, counts = batch.column("buckets"), batch.column("counts").flatten()
+            hit = np.isin(lists.flatten().to_numpy(), told)
+            upto = np.concatenate([[0], np.cumsum(hit)])
+            ends = pa.array(upto[lists.offsets.to_numpy() - lists.offsets[0].as_py()], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("positive"), batch.column("doc_id"), pa.ListArray.from_arrays(ends, lists.flatten().filter(pa.array(hit))),
+                 pa.ListArray.from_arrays(ends, counts.filter(pa.array(hit))), batch.column("n_words")], batch.schema.names)
+
+    found = counted.mapInArrow(only, schema).toArrow().combine_chunks()
     flag = found["positive"].to_numpy(zero_copy_only=False)
-    columns = [[np.asarray(x.values) for x in found[c]] for c in ("buckets", "counts")]
+    order = np.lexsort((found["doc_id"].to_numpy(), flag))
+    columns = [[x.values.to_numpy() for x in found[c]] for c in ("buckets", "counts")]
     lists = list(zip(*columns, found["n_words"].to_pylist(), strict=True))
-    return train([lists[i] for i in order if flag[i]], [lists[i] for i in order if not flag[i]], prior)
+    return train([lists[i] for i in order if flag[i]], [lists[i] for i in order if not flag[i]], told, prior)
 
 
 def score(docs: DataFrame, model: PuClassifier, threshold: float, out: Column | None = None) -> DataFrame:
@@ -185,6 +209,12 @@ def score(docs: DataFrame, model: PuClassifier, threshold: float, out: Column |
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def harmless(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 4) -> DataFrame:
+    """The rows of `docs`, with all columns, whose own text scores below the threshold."""
+    model = fit(docs, labels, folds)
+    return kept_rows(docs, lambda texts: model.scores(texts) < threshold)
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 4) -> DataFrame:
     """Learn from the documents outside the held-out fold and score all documents."""
     return score(docs, fit(docs, labels, folds), threshold, held_out("doc_id", folds))
