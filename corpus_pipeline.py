@@ -1,8 +1,8 @@
 """A corpus from raw documents to packed training sequences, in five stages.
 
 Every stage works on all rows that the one before it kept, is written as Parquet and read again. All
-but the last return the columns of `documents`. Rows without an id pass the filters; null texts are empty.
-A table without rows passes all stages as such.
+but the last return the columns of `documents`. The classifiers judge every row by its own text, with an id
+or without; null texts are empty. A row without an id is nobody's copy. A table without rows passes all stages as such.
 """
 
 from __future__ import annotations
@@ -19,15 +19,13 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier rejects go (operator 6)."""
-    scored = toxicity.classify(docs, table(spark, sf_dir, "labels"))
-    return docs.join(scored.where("predicted = 1").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Rows whose own text the toxicity classifier rejects go (operator 6); rows that share an id are judged one by one."""
+    return toxicity.harmless(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go (operator 8)."""
-    scored = quality.classify(docs, table(spark, sf_dir, "labels"))
-    return docs.join(scored.where("predicted = 0").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Rows whose own text the quality classifier rejects go (operator 8); rows that share an id are judged one by one."""
+    return quality.good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,13 +41,15 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     `n_chars` follows the text.
     """
     changed = (substrings.remove_repeats(docs, with_text=True).where("n_removed > 0")
-               .select("doc_id", F.col("whole_sha256").alias("_whole"), F.col("kept").alias("_kept")).dropDuplicates(["doc_id", "_whole"]))
-    # Rows that share an id but not their words are told apart by the digest of the words.
-    joined = (docs.withColumn("_whole", substrings.words_sha256("text")).join(changed, ["doc_id", "_whole"], "left")
-              .where("_kept is null or _kept != ''"))
-    text = F.coalesce("_kept", "text")
-    new = {"text": text, "n_chars": F.when(F.col("_kept").isNotNull(), F.length("_kept")).otherwise(F.col("n_chars")).cast("long")}
-    return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+               .select(F.struct("doc_id", "whole_sha256").alias("key"), "kept").dropDuplicates(["key"]))
+    # Rows that share an id but not their words are told apart by the digest of the words. The row travels as one
+    # column, so names of other columns cannot clash.
+    rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), substrings.words_sha256("text").alias("whole_sha256")).alias("key"),
+                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = rows.join(changed, "key", "left").where("kept is null or kept != ''")
+    new = {"text": F.coalesce("kept", F.col("row.text")),
+           "n_chars": F.when(F.col("kept").isNotNull(), F.length("kept")).otherwise(F.col("row.n_chars")).cast("long")}
+    return joined.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
