@@ -74,6 +74,27 @@ def _(spark, sf_dir):
     return run(streams.episode_stream(spark.readStream.schema(seconds.schema).parquet(path)), "stream-recovery-episodes")
 
 
+# From episode to episode: the next recovery within six hours, else none; then the first error behind either.
+_SIX_HOURS = 21_600_000_000
+
+
+@query("stream_recovery_timeout", f"""WITH RECURSIVE {EN}, e AS (SELECT DISTINCT host, us FROM en WHERE is_error), r AS (SELECT DISTINCT host, us FROM en WHERE is_recovery),
+    w AS (SELECT max(us) // 1000000 * 1000000 AS seen, max(us) // 1000 * 1000 - 600000000 AS mark FROM en WHERE is_error OR is_recovery),
+    f AS (SELECT DISTINCT host, us FROM e WHERE (us // 1000000 + 1) * 1000000 <= (SELECT mark FROM w)), g AS (SELECT * FROM r WHERE (us // 1000000 + 1) * 1000000 <= (SELECT mark FROM w)),
+    t AS (SELECT host, us AS fe, (SELECT min(g.us) FROM g WHERE g.host = f.host AND g.us > f.us) AS nr FROM f),
+    n AS (SELECT host, fe, CASE WHEN nr <= fe + {_SIX_HOURS} THEN nr END AS fr, CASE WHEN nr <= fe + {_SIX_HOURS} THEN nr ELSE fe + {_SIX_HOURS} + 1 END AS upto FROM t),
+    x AS (SELECT n.*, (SELECT min(f.us) FROM f WHERE f.host = n.host AND f.us >= n.upto) AS next FROM n),
+    c AS (SELECT * FROM x WHERE fe = (SELECT min(us) FROM f WHERE f.host = x.host) UNION ALL SELECT x.* FROM c JOIN x ON x.host = c.host AND x.fe = c.next),
+    top AS (SELECT max(us // 1000000 * 1000000) AS s FROM (SELECT us FROM f UNION ALL SELECT us FROM g)), last AS (SELECT host, max(us) AS us FROM (SELECT * FROM f UNION ALL SELECT * FROM g) GROUP BY host)
+    SELECT host, fe AS first_error_us, fr AS first_recovery_us, fr - fe AS mttr_us FROM c JOIN last USING (host), top
+    WHERE fr IS NOT NULL OR last.us > fe + {_SIX_HOURS} OR (fe + {_SIX_HOURS}) // 1000 + 1 <= top.s // 1000""")
+def _(spark, sf_dir):
+    seconds = streams.episode_seconds(streams.enrich_stream(stream(spark, sf_dir)), "host")
+    path = shared_dir(spark, "stream-timeouts")
+    streams.run_to_table(seconds, path, shared_dir(spark, "stream-timeouts-checkpoint"))
+    return run(streams.episode_stream(spark.readStream.schema(seconds.schema).parquet(path), 6 * 3600), "stream-recovery-timeouts")
+
+
 @query("stream_deduplicate", f"WITH {LV} SELECT DISTINCT {', '.join(DUP_COLUMNS)} FROM lv")
 def _(spark, sf_dir):
     rows = normalize_time(stream(spark, sf_dir))

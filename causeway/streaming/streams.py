@@ -7,13 +7,16 @@ it, so late rows within the delay are counted and state is bounded by the delay.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import date, timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from causeway import schema as S
 from causeway.functions.times import micros
@@ -34,12 +37,25 @@ def read_table_stream(spark: SparkSession, path: str) -> DataFrame:
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Work off what there is, write it as parquet and read it back."""
-    query = (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).start(path))
+    with timer_state(stream.sparkSession):
+        query = (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+                 .trigger(availableNow=True).start(path))
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
+@contextmanager
+def timer_state(spark: SparkSession):
+    """State with timers lives in RocksDB; a query keeps the setting that it was started with."""
+    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, store)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def enrich_stream(stream: DataFrame, roles: Roles | None = None, rules: RuleSet = DEFAULT_RULES,
                   time_format: TimeFormat | None = None) -> DataFrame:
     """Stateless, so it is the batch enrichment; text times need their format, chosen on a table beforehand."""
@@ -139,30 +155,80 @@ def episode_seconds(enriched: DataFrame, host: str, delay: str = "10 minutes") -
     return seconds.select("host", F.unix_micros("window.start").alias("second_us"), "errors", "recoveries")
 
 
-def episode_stream(seconds: DataFrame) -> DataFrame:
-    """Every episode of a host: its first error and the first recovery after it, given once.
+class _Episodes(StatefulProcessor):
+    """Per host the open error, and nothing while none is open; a timer closes it when no recovery has come in time."""
 
-    An error at or after that recovery opens the next episode. Takes a stream over the table
-    `episode_seconds` is written to; the state is the open error.
-    """
-    def follow(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened = state.get[0] if state.exists else None
+    def __init__(self, timeout_us: int | None):
+        self.timeout = timeout_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.opened = handle.getValueState("opened", T.StructType([T.StructField("first_error_us", T.LongType())]))
+
+    def _rows(self, host, found) -> pd.DataFrame:
+        rows = [(host, e, r, None if r is None else r - e) for e, r in found]
+        return pd.DataFrame(rows, columns=["host", *_EPISODE.names], dtype=object)
+
+    def _hold(self, opened: int | None, before: int | None) -> None:
+        if opened == before:
+            return
+        if self.timeout is not None and before is not None:
+            self.handle.deleteTimer((before + self.timeout) // 1000 + 1)
+        if opened is None:
+            self.opened.clear()
+            return
+        self.opened.update((opened,))
+        if self.timeout is not None:
+            self.handle.registerTimer((opened + self.timeout) // 1000 + 1)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # Times only, in order; the work goes from episode to episode, not from event to event.
+        parts = [(batch["errors"], batch["recoveries"]) for batch in rows]
+        errors, recoveries = (np.sort(np.concatenate([np.asarray(x, np.int64) for p in parts for x in p[i]] or [np.zeros(0, np.int64)])) for i in (0, 1))
+        before = self.opened.get()[0] if self.opened.exists() else None
+        last = max([*errors[-1:].tolist(), *recoveries[-1:].tolist()], default=None)
+        found, opened = [], before
+        if opened is None and len(errors):
+            opened = int(errors[0])
+        while opened is not None:
+            at = int(np.searchsorted(recoveries, opened, "right"))
+            end = int(recoveries[at]) if at < len(recoveries) else None
+            if end is not None and (self.timeout is None or end <= opened + self.timeout):
+                found.append((opened, end))
+                nth = int(np.searchsorted(errors, end, "left"))  # an error at that time opens the next episode
+            elif self.timeout is not None and last > opened + self.timeout:
+                found.append((opened, None))
+                nth = int(np.searchsorted(errors, opened + self.timeout, "right"))
+            else:
+                break
+            opened = int(errors[nth]) if nth < len(errors) else None
+        self._hold(opened, before)
+        yield self._rows(key[0], found)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        opened = self.opened.get()[0] if self.opened.exists() else None
         found = []
-        seconds_of_host = pd.concat(list(batches)).sort_values("second_us")
-        for errors, recoveries in zip(seconds_of_host["errors"], seconds_of_host["recoveries"]):
-            # Of equal times the recovery goes first: it ends earlier errors only.
-            for at, is_error in sorted([(int(t), True) for t in errors] + [(int(t), False) for t in recoveries]):
-                if is_error and opened is None:
-                    opened = at
-                elif not is_error and opened is not None:
-                    found.append((key[0], opened, at, at - opened))
-                    opened = None
-        state.update((opened,))
-        yield pd.DataFrame(found, columns=["host", "first_error_us", "first_recovery_us", "mttr_us"])
+        if opened is not None and (opened + self.timeout) // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs():
+            found.append((opened, None))
+            self.opened.clear()
+        yield self._rows(key[0], found)
+
+    def close(self) -> None:
+        pass
 
+
+def episode_stream(seconds: DataFrame, timeout_seconds: float | None = None) -> DataFrame:
+    """Every episode of a host: its first error and the first recovery after it, given once.
+
+    An error at or after that recovery opens the next episode. Where no recovery comes within the time-out, the
+    episode is given without one, at the latest when the watermark has passed it, and the first error behind
+    the time-out opens the next. Takes a stream over the table `episode_seconds` is written to, whose seconds
+    come in time order. The state is the open error: a host that has recovered or timed out holds none.
+    """
     out = T.StructType([T.StructField("host", T.StringType()), *_EPISODE.fields])
-    state = T.StructType([T.StructField("first_error_us", T.LongType())])
-    return seconds.groupBy("host").applyInPandasWithState(follow, out, state, "append", GroupStateTimeout.NoTimeout)
+    timed = seconds.withColumn("second", F.timestamp_micros("second_us")).withWatermark("second", "0 seconds")
+    timeout = None if timeout_seconds is None else micros(timeout_seconds)
+    return timed.groupBy("host").transformWithStateInPandas(_Episodes(timeout), out, "Append", "EventTime")
 
 
 def deduplicate_stream(stream: DataFrame, columns: list[str], delay: str = "10 minutes") -> DataFrame:

@@ -124,3 +124,59 @@ def test_every_recovery_episode_is_given(spark, events, tmp_path):
     start = min(r.first_error_us for r in found)
     assert {(r.first_error_us - start, r.first_recovery_us - start) for r in found} == {
         (0, 250_000), (500_000, 9_000_000), (20_000_000, 21_000_000)}
+
+
+def episodes_by_hand(events_of_host, timeout, upto):
+    """(first error, recovery or none) one by one; `upto` is how far the host's clock has come."""
+    out, opened = [], None
+    for at, is_error in sorted(events_of_host):
+        if opened is not None and timeout is not None and at > opened + timeout:
+            out.append((opened, None))
+            opened = None
+        if is_error and opened is None:
+            opened = at
+        elif not is_error and opened is not None and at > opened:
+            out.append((opened, at))
+            opened = None
+    if opened is not None and timeout is not None and (opened + timeout) // 1000 + 1 <= upto // 1000:
+        out.append((opened, None))
+    return out
+
+
+@pytest.mark.parametrize("timeout", [None, 100])
+def test_episodes_over_batches_and_their_state(spark, tmp_path, timeout):
+    """Forty hosts over nine micro-batches; of the hosts that have recovered or timed out no state is left."""
+    rng, second = random.Random(8), 1_000_000
+    rows, by_host = [], {f"h{i}": [] for i in range(40)}
+    for at in range(1, 901):
+        for host in rng.sample(sorted(by_host), 3):
+            if host in ("h0", "h1") and at > 300:  # these fall silent with an open error
+                continue
+            times = [(at * second + rng.randrange(second), rng.random() < 0.7 or host in ("h0", "h1")) for _ in range(rng.randrange(1, 4))]
+            by_host[host] += times
+            rows.append((host, at * second, [t for t, e in times if e], [t for t, e in times if not e], (at - 1) // 100))
+    schema = "host string, second_us long, errors array<long>, recoveries array<long>, part int"
+    df, folder = spark.createDataFrame(rows, schema), str(tmp_path / "seconds")
+    for i in range(9):
+        df.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(df.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    with streams.timer_state(spark):
+        query = (streams.episode_stream(stream, timeout).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c"))
+                 .trigger(availableNow=True).start(str(tmp_path / "out")))
+    query.awaitTermination()
+    got = sorted((r.host, r.first_error_us, r.first_recovery_us or -1) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    limit = None if timeout is None else timeout * second
+    want, still_open = [], 0
+    for host, times in by_host.items():
+        found = episodes_by_hand(times, limit, 900 * second)
+        want += [(host, e, -1 if r is None else r) for e, r in found]
+    assert got == sorted(want) and len(query.recentProgress) >= 9
+    if timeout is None:
+        assert all(r[2] > 0 for r in got)
+        return
+    silent = {r[0] for r in got if r[2] == -1}
+    assert {"h0", "h1"} <= silent
+    # Open errors of the last 100 seconds at most, each with its entry in the timers' two tables.
+    recent = sum(1 for times in by_host.values() if max(t for t, _ in times) > (900 - 100) * second)
+    held = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    assert held <= 3 * recent and len(by_host) - recent >= 2
