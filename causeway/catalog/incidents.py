@@ -107,6 +107,22 @@ def _(spark, sf_dir):
     return rows.select("host", "event_id", "message", (F.col(S.MICROS) - F.col("t0")).alias("after_us"))
 
 
+@query("precursors_10_minutes", f"""WITH {root_ctes(['session_id'])} SELECT e.session_id, e.event_id, e.message, r.t0 - e.us AS before_us FROM en e JOIN rt r USING (session_id)
+    WHERE (e.is_anomaly OR e.is_warning) AND e.us >= t0 - 600000000 AND e.us < t0""")
+def _(spark, sf_dir):
+    df = enriched(spark, sf_dir)
+    rows = ops.precursors(df, _root(df, ["session_id"]), scope=["session_id"])
+    return rows.select("session_id", "event_id", "message", (F.col("t0") - F.col(S.MICROS)).alias("before_us"))
+
+
+@query("cascade_5_minutes", f"""WITH {root_ctes(['sourcetype'])} SELECT e.sourcetype, e.event_id, e.message, e.us - r.t0 AS after_us FROM en e JOIN rt r USING (sourcetype)
+    WHERE e.is_error AND e.us > t0 AND e.us <= t0 + 300000000""")
+def _(spark, sf_dir):
+    df = enriched(spark, sf_dir)
+    rows = ops.cascade(df, _root(df, ["sourcetype"]), scope=["sourcetype"])
+    return rows.select("sourcetype", "event_id", "message", (F.col(S.MICROS) - F.col("t0")).alias("after_us"))
+
+
 @query("cascade_count", f"WITH {root_ctes(HOST, SIX_HOURS, SIX_HOURS)} SELECT host, cascade_count, precursor_count FROM af")
 def _(spark, sf_dir):
     df = enriched(spark, sf_dir)
@@ -128,6 +144,24 @@ def _(spark, sf_dir):
     return found.select("host", "mttr_us", format_duration(F.col("mttr_us")).alias("mttr_text"))
 
 
+def _all_errors_sql(scope: list[str]) -> str:
+    keys, group = "".join(f"{c}, " for c in scope), f"GROUP BY {', '.join(scope)}" if scope else ""
+    same = "".join(f"e.{c} = r.{c} AND " for c in scope)
+    return f"""WITH {EN}, e AS (SELECT * FROM en WHERE is_error), r AS (SELECT * FROM en WHERE is_recovery),
+    n AS (SELECT {''.join(f'e.{c}, ' for c in scope)}r.us - e.us AS wait FROM e ASOF LEFT JOIN r ON {same}e.us < r.us)
+    SELECT {keys}count(*) AS errors, count(wait) AS recovered, sum(wait)::DOUBLE / nullif(count(wait), 0) AS mean_mttr_us, max(wait) AS longest_mttr_us FROM n {group}"""
+
+
+@query("mttr_all_errors", _all_errors_sql(HOST))
+def _(spark, sf_dir):
+    return ops.mttr_all_errors(enriched(spark, sf_dir), HOST)
+
+
+@query("mttr_all_errors_global", _all_errors_sql([]))
+def _(spark, sf_dir):
+    return ops.mttr_all_errors(enriched(spark, sf_dir))
+
+
 @query("severity_score", f"WITH {root_ctes(HOST)} SELECT host, severity_score, severity_grade, {PARTS_SQL} FROM fin")
 def _(spark, sf_dir):
     return ops.incident(enriched(spark, sf_dir), scope=HOST).select(

@@ -10,7 +10,7 @@ from causeway import schema as S
 from causeway.functions import levels
 from causeway.functions.text import clip
 from causeway.functions.times import MINUTE, as_time, floor_div, format_ts, micros
-from causeway.plans.scaling import HEAVY_KEYS, attach, salted_join, top_k, with_scope
+from causeway.plans.scaling import HEAVY_KEYS, attach, salted_join, top_k, with_scope, within_range
 from causeway.rules import DEFAULT_RULES, RuleSet
 from causeway.schema import Roles, resolve_roles
 
@@ -101,11 +101,22 @@ def first_sources(df: DataFrame, roles: Roles, scope=(), k: int = 3) -> DataFram
 
 
 def _near_root(df, root, roles, scope, minutes, extra=()):
-    """Events within ± minutes of their scope's root event, both ends included."""
+    """Events within ± minutes of their scope's root event, both ends included.
+
+    What lies outside goes before any shuffle: all root events' span is a filter of the scan, on the day of a
+    written table too, and the ranges of the scopes' hash buckets follow.
+    """
     (event_id,) = roles.need("event_id")
-    facts = root.select(*scope, "root_micros", "root_host", "root_flow", "root_tags", "total_events", *extra)
-    rows = attach(with_scope(df, scope), facts, scope, "r", F.col(event_id), "total_events")
     width = round(minutes * MINUTE)
+    at, low, high = F.col(S.MICROS), F.col("root_micros") - width, F.col("root_micros") + width
+    first, last = root.select(F.min(low)).scalar(), root.select(F.max(high)).scalar()
+    near = with_scope(df, scope).where((at >= first) & (at <= last))
+    if "event_date" in df.columns:
+        day = lambda us: F.to_date(F.timestamp_micros(us))
+        near = near.where((F.col("event_date") >= day(first)) & (F.col("event_date") <= day(last)))
+    facts = root.select(*scope, "root_micros", "root_host", "root_flow", "root_tags", "total_events", *extra)
+    near = within_range(near, root.select(*scope, "root_micros"), scope, at, low, high) if scope else near
+    rows = attach(near, facts, scope, "r", F.col(event_id), "total_events")
     return rows.where(F.col(S.MICROS).between(F.col("r.root_micros") - width, F.col("r.root_micros") + width))
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway import rules as R
 from causeway import schema as S
-from causeway.functions.times import MINUTE, SECOND, format_duration
+from causeway.functions.times import MINUTE, SECOND, floor_div, format_duration
 from causeway.operators.enrich import with_tags
 from causeway.plans.scaling import attach, with_scope
 from causeway.rules import DEFAULT_RULES, RuleSet
@@ -86,6 +86,40 @@ def cascade(df: DataFrame, root: DataFrame, roles: Roles | None = None, scope=()
     return rows.where((F.col(S.MICROS) > F.col("t0")) & (F.col(S.MICROS) <= F.col("t0") + width))
 
 
+def mttr_all_errors(df: DataFrame, scope=()) -> DataFrame:
+    """Time from every error to the next recovery after it: `errors, recovered, mean_mttr_us, longest_mttr_us` per scope.
+
+    A forward as-of search that sees no scope as a whole. Equal times collapse first. Inside a minute, which
+    holds a bounded number of different times, each time takes the next recovery; what a minute leaves open takes
+    the first recovery of a later minute of its day, and then of a later day: one row per minute, and one
+    per day, is carried backwards.
+    """
+    scope = list(scope)
+    rows = with_scope(df, scope).where((F.col(S.IS_ERROR) | F.col(S.IS_RECOVERY)) & F.col(S.MICROS).isNotNull())
+    at = F.col(S.MICROS)
+    moments = rows.groupBy(*scope, S.MICROS).agg(F.count_if(S.IS_ERROR).alias("errors"), F.max(S.IS_RECOVERY).alias("_up"))
+    moments = moments.withColumn("_minute", floor_div(at, MINUTE))
+
+    def following(window, value):
+        return F.min(value).over(window.rowsBetween(1, Window.unboundedFollowing))
+
+    up = F.when(F.col("_up"), at)
+    inside = moments.withColumn("_next", following(Window.partitionBy(*scope, "_minute").orderBy(S.MICROS), up))
+    minutes = moments.groupBy(*scope, "_minute").agg(F.min(up).alias("_first")).withColumn("_day", floor_div(F.col("_minute"), 1440))
+    of_scope = Window.partitionBy(*scope) if scope else Window.partitionBy(F.lit(0))
+    days = minutes.groupBy(*scope, "_day").agg(F.min("_first").alias("_first"))
+    later = days.select(*scope, "_day", following(of_scope.orderBy("_day"), F.col("_first")).alias("_later"))
+    carried = minutes.withColumn("_then", following(Window.partitionBy(*scope, "_day").orderBy("_minute"), F.col("_first")))
+    carried = carried.join(later, [*scope, "_day"]).select(*scope, "_minute", F.coalesce("_then", "_later").alias("_then"))
+    joined = inside.where("errors > 0").join(carried, [*scope, "_minute"])
+    wait = F.coalesce("_next", "_then") - at
+    found = joined.groupBy(*scope).agg(
+        F.sum("errors").alias("errors"), F.coalesce(F.sum(F.when(wait.isNotNull(), F.col("errors"))), F.lit(0)).alias("recovered"),
+        F.sum(wait.cast("decimal(38,0)") * F.col("errors")).alias("_sum"), F.max(wait).alias("longest_mttr_us"))
+    found = found.where("errors is not null")
+    return found.select(*scope, "errors", "recovered", (F.col("_sum").cast("double") / F.col("recovered")).alias("mean_mttr_us"), "longest_mttr_us")
+
+
 def aftermath(df: DataFrame, root: DataFrame, roles: Roles | None = None, scope=(),
               cascade_minutes: float = 5, precursor_minutes: float = 10) -> DataFrame:
     """Cascade size, precursor count and time to recovery of each scope, in one pass."""
@@ -120,23 +154,24 @@ def _case(subject: str, pairs: dict) -> str:
 def with_severity(df: DataFrame) -> DataFrame:
     """Score of four parts of at most 25 points, cut to a whole number, and its grade.
 
-    The parts shown are rounded half up to tenths, in whole-number arithmetic.
+    The parts shown are rounded half up to tenths, in whole-number arithmetic. An incident without events, as an
+    empty table without scope columns is, has score 0, grade `N/A` and no parts.
     """
     hour = 3600 * SECOND
     df = df.selectExpr("*", """least(IF(has_critical, 15, 0) + IF(has_high_severity, 10, 0), 25) AS _weight""")
-    df = df.selectExpr("*", f"""greatest(0, least(100, CAST(floor(
-        least(error_events / total_events, 1.0D) * 25
+    df = df.selectExpr("*", f"""IF(total_events = 0, 0, greatest(0, least(100, CAST(floor(
+        least(try_divide(error_events, total_events), 1.0D) * 25
         + least(cascade_count / greatest(total_events * 0.5D, 1.0D), 1.0D) * 25
-        + IF(mttr_us IS NULL, 15.0D, least(mttr_us / {SECOND} / 3600, 1.0D) * 25) + _weight) AS INT))) AS severity_score""")
+        + IF(mttr_us IS NULL, 15.0D, least(mttr_us / {SECOND} / 3600, 1.0D) * 25) + _weight) AS INT)))) AS severity_score""")
     grades = _case("", {f"severity_score >= {floor}": f"'{grade}'" for grade, floor in R.GRADE_FLOORS.items()})
-    return df.selectExpr(
-        "* EXCEPT (_weight)",
-        "CAST((500 * error_events + total_events) DIV (2 * total_events) / 10 AS DOUBLE) AS part_error_ratio",
-        """CAST(least(IF(total_events >= 2, (1000 * cascade_count + total_events) DIV (2 * total_events),
-            250 * cascade_count), 250) / 10 AS DOUBLE) AS part_cascade_depth""",
-        f"CAST(IF(mttr_us IS NULL, 150, least((500 * mttr_us + {hour}) DIV {2 * hour}, 250)) / 10 AS DOUBLE) AS part_mttr",
-        "CAST(_weight AS DOUBLE) AS part_pattern_weight",
-        f"{grades} ELSE 'P5' END AS severity_grade")
+    parts = {
+        "part_error_ratio": "(500 * error_events + total_events) DIV (2 * greatest(total_events, 1)) / 10",
+        "part_cascade_depth": """least(IF(total_events >= 2, (1000 * cascade_count + total_events) DIV (2 * greatest(total_events, 1)),
+            250 * cascade_count), 250) / 10""",
+        "part_mttr": f"IF(mttr_us IS NULL, 150, least((500 * mttr_us + {hour}) DIV {2 * hour}, 250)) / 10",
+        "part_pattern_weight": "_weight"}
+    shown = [f"IF(total_events > 0, CAST({sql} AS DOUBLE), NULL) AS {name}" for name, sql in parts.items()]
+    return df.selectExpr("* EXCEPT (_weight)", *shown, f"IF(total_events = 0, 'N/A', {grades} ELSE 'P5' END) AS severity_grade")
 
 
 def with_confidence(df: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from causeway.functions.times import floor_div
 
 SALTS = 32
 HEAVY_KEYS = 1000  # rows of the one table that is broadcast by name
+RANGE_BUCKETS = 1 << 18  # rows of the table of ranges that is broadcast
 GROUP_LIMIT = 1000  # Spark cuts row_number() <= k before the shuffle up to this k
 
 
@@ -69,6 +70,20 @@ def attach(rows: DataFrame, facts: DataFrame, scope, name: str, spread: Column |
     return out.where(F.col(name).isNotNull()) if how == "inner" else out
 
 
+def within_range(rows: DataFrame, facts: DataFrame, scope, value: Column, low: Column, high: Column) -> DataFrame:
+    """Rows whose `value` may lie between `low` and `high` of their scope, before anything is shuffled.
+
+    Scopes fall into hash buckets; a bucket keeps the least `low` and the greatest `high` of its scopes. This
+    table of at most `RANGE_BUCKETS` rows of four numbers is broadcast, so all rows are told apart where they are
+    read. Rows let through may still lie outside the range of their own scope, never the other way round.
+    """
+    scope = list(scope)
+    bucket = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in scope]), F.lit(RANGE_BUCKETS)).cast("int") if scope else F.lit(0)
+    ranges = facts.groupBy(bucket.alias("_bucket")).agg(F.min(low).alias("_low"), F.max(high).alias("_high"))
+    near = rows.withColumn("_bucket", bucket).join(F.broadcast(ranges), "_bucket").where(value.between(F.col("_low"), F.col("_high")))
+    return near.drop("_bucket", "_low", "_high")
+
+
 def top_k(df: DataFrame, scope, order: list[Column], k: int, rank: str) -> DataFrame:
     """The first k rows of each scope in a total order, numbered from 1 in column `rank`."""
     scope = list(scope)
