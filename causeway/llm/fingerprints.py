@@ -28,36 +28,49 @@ LEAST_ID = -(1 << 63)
 def _uniform(bits: str) -> str:
     return f"((({bits}) + 0.5D) / 4294967296D)"
 
-def with_terms(rows: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """One row per distinct word of each text with its hash `h` and count `tf`; a text without words has one null row."""
+def with_terms(rows: DataFrame, first: str, second: str, keys: list[str]) -> DataFrame:
+    """One row per distinct word of either text: its hash `h` and its counts `tf0` and `tf1` in the two; without words one null row.
+
+    The lowest bit of a hash says which text the word is from, so the two runs of a word lie side by side.
+    """
+    hashes = lambda text, mark: (f"transform(filter(split({text}, '[\\\\x20\\\\x09-\\\\x0D]+'), x -> x != ''), x -> {mark})")
     hashed = rows.withColumn("_s", F.expr(
-        f"sort_array(transform(filter(split({text}, '[\\\\x20\\\\x09-\\\\x0D]+'), x -> x != ''), x -> xxhash64(x)))")).drop(text)
+        f"sort_array(concat({hashes(first, 'xxhash64(x) & -2L')}, {hashes(second, 'xxhash64(x) | 1L')}))")).drop(first, second)
     runs = hashed.withColumn("_i", F.expr(
         "filter(sequence(0, size(_s)), i -> i < size(_s) and (i = 0 or _s[i] != _s[greatest(i - 1, 0)]))"))
-    terms = runs.withColumn("_terms", F.expr(
-        "transform(_i, (i, p) -> struct(_s[i] as h, coalesce(get(_i, p + 1), size(_s)) - i as tf))"))
+    runs = runs.withColumn("_r", F.expr("transform(_i, (i, p) -> struct(_s[i] as v, coalesce(get(_i, p + 1), size(_s)) - i as n))")).drop("_s", "_i")
+    terms = runs.withColumn("_terms", F.expr("""filter(transform(_r, (x, p) -> case
+        when x.v & 1L = 0 then struct(x.v as h, x.n as tf0, if(get(_r, p + 1).v = x.v + 1, get(_r, p + 1).n, 0) as tf1)
+        when p > 0 and get(_r, p - 1).v = x.v - 1 then null
+        else struct(x.v - 1 as h, 0 as tf0, x.n as tf1) end), x -> x is not null)"""))
     out = terms.select(*keys, F.explode_outer("_terms").alias("_term"))
-    return out.select(*keys, F.col("_term.h").alias("h"), F.col("_term.tf").alias("tf"))
+    return out.select(*keys, F.col("_term.h").alias("h"), F.coalesce("_term.tf0", F.lit(0)).alias("tf0"), F.coalesce("_term.tf1", F.lit(0)).alias("tf1"))
+
 
 def samples(terms: DataFrame, keys: list[str], carried: list[str], n: int = SAMPLES) -> DataFrame:
-    """`sig`, the samples of each group of terms as an array; `carried` are bigint columns that are alike in a group.
+    """`sig0, sig1`, the samples of the two texts of each group of terms; `carried` are bigint columns that are alike in a group.
 
-    Pairs of term and sample are rows, so that the generated code stays short enough to be compiled.
+    Pairs of term and sample are rows, so that the generated code stays short enough to be compiled. What is drawn
+    for a pair serves both texts; only the weights differ.
     """
     gamma = lambda x: f"-ln({_uniform(f'{x} & 4294967295L')} * {_uniform(f'shiftrightunsigned({x}, 32)')})"
-    drawn = terms.select(*keys, *carried, "h", F.expr("ln(cast(tf as double))").alias("lw"),
+    drawn = terms.select(*keys, *carried, "h", *[F.expr(f"case when tf{i} > 0 then ln(cast(tf{i} as double)) end").alias(f"lw{i}") for i in (0, 1)],
                          F.explode(F.array(*[F.lit(j).cast("long") for j in range(n)])).alias("j"))
-    drawn = drawn.select(*keys, *carried, "h", "lw", "j", F.expr("xxhash64(h, j)").alias("a"), F.expr("xxhash64(h, j, 1L)").alias("b"),
+    drawn = drawn.select(*keys, *carried, "h", "lw0", "lw1", "j", F.expr("xxhash64(h, j)").alias("a"), F.expr("xxhash64(h, j, 1L)").alias("b"),
                          F.expr(_uniform("xxhash64(h, j, 2L) & 4294967295L")).alias("u"))
-    drawn = drawn.select(*keys, *carried, "h", "lw", "j", F.expr(gamma("a")).alias("r"), F.expr(gamma("b")).alias("c"), "u")
-    drawn = drawn.select(*keys, *carried, "h", "j", "r", "c", "u", F.expr("floor(lw / r + u)").alias("t"))
-    order = ("cast(least(greatest((ln(c) - r * (t - u + 1D) + 96D) * 16777216D, 0D), 2147483647D) as bigint)"
-             " * 4294967296L + (xxhash64(h, t, j) & 4294967295L)")
-    least = drawn.select(*keys, "j", *carried, F.expr(f"case when h is not null then {order} end").alias("s"))
-    each = least.groupBy(*keys, "j").agg(*[F.max(c).alias(c) for c in carried], F.min("s").alias("s"))
+    drawn = drawn.select(*keys, *carried, "h", "lw0", "lw1", "j", F.expr(gamma("a")).alias("r"), F.expr(f"ln({gamma('b')})").alias("lc"), "u")
+    drawn = drawn.select(*keys, *carried, "h", "j", "r", "lc", "u", *[F.expr(f"floor(lw{i} / r + u)").alias(f"t{i}") for i in (0, 1)])
+
+    def order(t: str) -> Column:
+        return F.expr(f"case when {t} is not null then cast(least(greatest((lc - r * ({t} - u + 1D) + 96D) * 16777216D, 0D), 2147483647D) as bigint)"
+                      f" * 4294967296L + (xxhash64(h, {t}, j) & 4294967295L) end")
+
+    least = drawn.select(*keys, "j", *carried, order("t0").alias("s0"), order("t1").alias("s1"))
+    each = least.groupBy(*keys, "j").agg(*[F.max(c).alias(c) for c in carried], F.min("s0").alias("s0"), F.min("s1").alias("s1"))
     grouped = each.groupBy(*keys).agg(*[F.max(c).alias(c) for c in carried],
-                                      F.sort_array(F.collect_list(F.when(F.col("s").isNotNull(), F.struct("j", "s")))).alias("_all"))
-    return grouped.select(*keys, *carried, F.expr("transform(_all, x -> x.s & 4294967295L)").alias("sig"))
+                                      F.sort_array(F.collect_list(F.struct("j", "s0", "s1"))).alias("_all"))
+    return grouped.select(*keys, *carried, *[
+        F.expr(f"transform(filter(_all, x -> x.s{i} is not null), x -> x.s{i} & 4294967295L)").alias(f"sig{i}") for i in (0, 1)])
 
 
 def likeness(a: str, b: str) -> Column:
@@ -101,15 +114,10 @@ def fingerprints_with_edits(docs: DataFrame) -> DataFrame:
     sha = F.sha2("edited", 256)
     parts = [F.conv(F.substring(sha, 16 * i + 1, 16), 16, -10).cast("long").alias(f"sha{i}") for i in range(4)]
     carried = ["n", "next_k", "next_tie", *[f"sha{i}" for i in range(4)]]
-    both = edited.select("k", "tie", "n", "next_k", "next_tie", *parts,
-                         F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("words")),
-                                           F.struct(F.lit(1).alias("kind"), F.col("edited").alias("words")))).alias("_t"))
-    both = both.select("k", "tie", *carried, F.col("_t.kind").alias("kind"), F.col("_t.words").alias("words"))
-    keys = ["k", "tie", "kind"]
-    sampled = samples(with_terms(both, "words", [*keys, *carried]), keys, carried)
-    found = keep(sampled.groupBy("k", "tie").agg(*[F.max(c).alias(c) for c in carried],
-                                                 F.max(F.when(F.col("kind") == 0, F.col("sig"))).alias("sig"),
-                                                 F.max(F.when(F.col("kind") == 1, F.col("sig"))).alias("edited_sig")), "samples")
+    keys = ["k", "tie"]
+    both = edited.select(*keys, "n", "next_k", "next_tie", *parts, "text", "edited")
+    sampled = samples(with_terms(both, "text", "edited", [*keys, *carried]), keys, carried)
+    found = keep(sampled.withColumnsRenamed({"sig0": "sig", "sig1": "edited_sig"}), "samples")
     following = found.select(F.col("k").alias("next_k"), F.col("tie").alias("next_tie"), F.col("sig").alias("next_sig"))
     hexed = F.lower(F.concat(*[F.lpad(F.hex(f"sha{i}"), 16, "0") for i in range(4)]))
     return found.join(following, ["next_k", "next_tie"]).select(
