@@ -26,7 +26,6 @@ that of the counts never depend on the order of rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,6 @@ from causeway.llm.common import U, held_out, keep, signed, slices, word_hashes,
 from causeway.llm.features import raw_bytes
 
 ORDER = 5
-ALL_BITS = 62  # no share of that size drops a gram
 BUCKET_BYTES = 12 << 20
 END, SPACE = 10, 32
 WORD, GRAM, OWN_WORD = 0, 1, 2  # kinds of keys; an own word is counted by its first bucket
@@ -81,109 +79,6 @@ def grams(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return key
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """`gram, n`: how often each byte follows each context of ORDER bytes in the column `text`."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["gram", "n"])
-
-        for batch in slices(batches):
-            new, n = np.unique(grams(*symbols(batch.column("text"))), return_counts=True)
-            keys, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
-            if len(keys) > 4_000_000:
-                yield out()
-                keys, counts = keys[:0], counts[:0]
-        if len(keys):
-            yield out()
-
-    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class Level:
-    """Of one order: the (context, byte) keys with the log of their counts, and the contexts."""
-
-    keys: np.ndarray
-    logs: np.ndarray
-    contexts: np.ndarray
-    first: np.ndarray  # log of the denominator and of the escape where a byte enters at this context
-    after: np.ndarray  # the same for its suffix, once this context has escaped
-
-
-def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
-
-
-class PpmModel:
-    def __init__(self, entries: list[tuple[np.ndarray, np.ndarray]], totals: list[tuple[np.ndarray, np.ndarray]]):
-        """For each order from 0: sorted (context, byte) keys with counts, sorted contexts with all their counts."""
-        self.levels: list[Level] = []
-        below = None
-        for (keys, counts), (contexts, whole) in zip(entries, totals, strict=True):
-            context = keys >> 8
-            starts = np.searchsorted(contexts, context)
-            d = np.bincount(starts, minlength=len(contexts)).astype(float)
-            kept = np.bincount(starts, counts, minlength=len(contexts))
-            with np.errstate(divide="ignore"):
-                first = np.stack([np.log10(whole + d), np.log10(np.maximum(whole - kept + d, 1e-300)) - np.log10(whole + d)])
-                after = np.zeros((2, len(contexts)))
-                if below is not None:
-                    at, _ = find(below["keys"], self.suffix(keys, len(self.levels)))
-                    gone = np.bincount(starts, below["counts"][at], minlength=len(contexts))
-                    up, _ = find(below["contexts"], self.short(contexts, len(self.levels)))
-                    rest = np.maximum(below["whole"][up] - gone, 0)
-                    others = below["d"][up] - d
-                    unkept = np.maximum(below["whole"][up] - below["kept"][up], 0)
-                    denominator = rest + others
-                    some = denominator > 0
-                    after[0][some] = np.log10(denominator[some])
-                    after[1][some] = np.log10(np.maximum(unkept[some] + others[some], 1e-300)) - after[0][some]
-                    after[1][some & (unkept + others <= 0)] = 0.0
-            self.levels.append(Level(keys, np.log10(counts), contexts, first, after))
-            below = {"keys": keys, "counts": counts, "contexts": contexts, "whole": whole, "d": d, "kept": kept}
-        self.floor = -np.log10(max(256 - len(self.levels[0].keys), 1))
-
-    @staticmethod
-    def short(contexts: np.ndarray, order: int) -> np.ndarray:
-        return contexts & ((1 << (8 * (order - 1))) - 1)
-
-    @staticmethod
-    def suffix(keys: np.ndarray, order: int) -> np.ndarray:
-        return keys & ((1 << (8 * order)) - 1)
-
-    def walk(self, grams: np.ndarray) -> np.ndarray:
-        """The log10 probability of each gram's byte."""
-        out = np.zeros(len(grams))
-        entered, open_ = np.zeros(len(grams), bool), np.ones(len(grams), bool)
-        upper = np.zeros((2, len(grams)))  # denominator and escape at the level to come, for those that have escaped
-        for order in range(ORDER, -1, -1):
-            level = self.levels[order]
-            rows = np.flatnonzero(open_)
-            if not len(rows):
-                break
-            keys = grams[rows] & ((1 << (8 * (order + 1))) - 1)
-            c, known = find(level.contexts, keys >> 8)
-            rows, keys, c = rows[known], keys[known], c[known]
-            e, hit = find(level.keys, keys)
-            inside = entered[rows]
-            denominator = np.where(inside, upper[0][rows], level.first[0][c])
-            escape = np.where(inside, upper[1][rows], level.first[1][c])
-            out[rows] += np.where(hit, (level.logs[e] if len(level.logs) else 0.0) - denominator, escape)
-            open_[rows[hit]] = False
-            on = rows[~hit]
-            entered[on] = True
-            upper[:, on] = level.after[:, c[~hit]]
-        out[open_] += self.floor
-        return out
-
-
 class Slots:
     """Values of distinct keys, grouped by a hash for quick look-up."""
 
@@ -248,29 +143,7 @@ def gram_logs(counted: DataFrame) -> DataFrame:
         facts = facts.withColumn("u", F.expr("case when others <= 0 then u1 when n1 > 0 then log10(n1) - log10(rest)"
                                              " else log10(others) - log10(rest) + u1 end")).withColumn("below", F.col("p1"))
         known = facts.select("key", "n", "whole", "d", "u", first.alias("p"))
-    return keep(known.select("key", F.col("p").alias("value")), "gram_logs")
-
-
-def train(docs: DataFrame, share_bits: int = ALL_BITS) -> PpmModel:
-    """The model of the column `text` in one piece, for few texts and for comparison; `score` does not use it.
-
-    Drops what makes up less than a 2^-`share_bits` part of all bytes.
-    """
-    counted = keep(count_grams(docs), "grams")
-    whole = counted.agg(F.sum("n")).first()[0] or 0
-    least = max(1, whole >> share_bits)
-    rows = counted.select("n", F.explode(F.array(*[
-        F.struct(F.lit(2 * k + kind).alias("kind"), F.expr(f"shiftright(gram, {8 * kind}) & {(1 << (8 * (k + 1 - kind))) - 1}L").alias("key"))
-        for k in range(ORDER + 1) for kind in (0, 1)])).alias("x"))
-    summed = rows.groupBy("x.kind", "x.key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    found = summed.toArrow()
-    kind, key, n = (found[c].to_numpy() for c in ("kind", "key", "n"))
-    tables = []
-    for k in range(2 * (ORDER + 1)):
-        own = np.flatnonzero(kind == k)
-        own = own[np.argsort(key[own])]
-        tables.append((key[own], n[own].astype(float)))
-    return PpmModel(tables[0::2], tables[1::2])
+    return known.select("key", F.col("p").alias("value"))
 
 
 def score(docs: DataFrame, training: str = "training") -> DataFrame:
