@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from causeway.plans.scaling import shared_dir
 
 U = np.uint64
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             stop = max(start + 1, int(np.searchsorted(upto, before + size, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # the worker lives on
 
 
 def kept_rows(docs: DataFrame, wanted) -> DataFrame:
