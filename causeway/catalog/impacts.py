@@ -99,14 +99,10 @@ def _(spark, sf_dir):
 DUP_COLUMNS = ["host", "session_id", "sourcetype", "src_ip", "dst_ip", "log_level", "message"]
 
 
-@query("duplicate_count", f"WITH {LV} SELECT host, count(*) - count(DISTINCT ({', '.join(DUP_COLUMNS)})) AS duplicate_count FROM lv GROUP BY host")
-def _(spark, sf_dir):
-    return impact.duplicate_count(log_view(spark, sf_dir), DUP_COLUMNS, HOST)
-
-
 WHOLE_DUP_COLUMNS = [*DUP_COLUMNS, "source", "timestamp"]
 
 
+@query("duplicate_count", f"WITH {LV} SELECT host, count(*) - count(DISTINCT ({', '.join(WHOLE_DUP_COLUMNS)})) AS duplicate_count FROM lv GROUP BY host")
 @query("duplicate_count_whole", f"WITH {LV} SELECT host, count(*) - count(DISTINCT ({', '.join(WHOLE_DUP_COLUMNS)})) AS duplicate_count FROM lv GROUP BY host")
 def _(spark, sf_dir):
     return impact.duplicate_count(log_view(spark, sf_dir), WHOLE_DUP_COLUMNS, HOST)

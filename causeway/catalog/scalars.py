@@ -201,12 +201,12 @@ def _(spark, sf_dir):
         "page_id", table_cell(F.col("html")).alias("cell"), clip_marked(F.col("html")).alias("clipped"))
 
 
-@query("row_to_text", f"""{with_lv}, p AS (SELECT event_id, concat_ws(' | ', 'event_id=' || event_id, """ + ", ".join(
+@query("row_to_text", f"""{with_lv}, p AS (SELECT event_id, concat_ws(' | ', 'event_id=' || event_id, 'timestamp=' || "timestamp", """ + ", ".join(
     f"CASE WHEN {c} <> '' THEN '{c}=' || {c} END" for c in VIEW_COLUMNS[2:]) + """) AS t FROM lv)
     SELECT event_id, t AS row_text FROM p""")
 def _(spark, sf_dir):
     df = log_view(spark, sf_dir)
-    return df.select("event_id", row_to_text([c for c in df.columns if c != "timestamp"]).alias("row_text"))
+    return df.select("event_id", row_to_text(df.columns).alias("row_text"))
 
 
 _HOST_SQL = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]*)', 1))"

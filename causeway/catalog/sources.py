@@ -122,14 +122,10 @@ def print_sql(source: str, columns, scope) -> str:
         (SELECT {keys}count(*) AS n, {words} FROM (SELECT {keys}md5({line}) AS h FROM {source}) {group}))"""
 
 
-@query("source_fingerprint", f"WITH {LV} {print_sql('lv', PRINT_COLUMNS, ['host'])}")
-def _(spark, sf_dir):
-    return files.table_fingerprint(log_view(spark, sf_dir), PRINT_COLUMNS, ["host"])
-
-
 WHOLE_PRINT_COLUMNS = [*PRINT_COLUMNS, "timestamp", "source"]
 
 
+@query("source_fingerprint", f"WITH {LV} {print_sql('lv', WHOLE_PRINT_COLUMNS, ['host'])}")
 @query("source_fingerprint_whole", f"WITH {LV} {print_sql('lv', WHOLE_PRINT_COLUMNS, ['host'])}")
 def _(spark, sf_dir):
     return files.table_fingerprint(log_view(spark, sf_dir), WHOLE_PRINT_COLUMNS, ["host"])

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from causeway import schema as S
-from causeway.catalog.impacts import DUP_COLUMNS
-from causeway.catalog.logview import EN, LV, prepare, view_of
+from causeway.catalog.impacts import DUP_COLUMNS, WHOLE_DUP_COLUMNS
+from causeway.catalog.logview import EN, LV, prepare, unzoned, view_of
 from causeway.catalog.registry import query
 from causeway.catalog.timing import LEV, cross_sql, leveled
 from causeway.operators.enrich import enrich_levels, normalize_time
@@ -101,6 +101,13 @@ def _(spark, sf_dir):
     return run(streams.deduplicate_stream(rows, DUP_COLUMNS, "60 days").select(*DUP_COLUMNS), "stream-duplicates")
 
 
+@query("stream_deduplicate_whole", f"WITH {LV} SELECT DISTINCT {', '.join(WHOLE_DUP_COLUMNS)} FROM lv")
+def _(spark, sf_dir):
+    """Equal rows have equal times, so ten minutes of delay suffice."""
+    rows = normalize_time(stream(spark, sf_dir))
+    return unzoned(run(streams.deduplicate_stream(rows, WHOLE_DUP_COLUMNS).select(*WHOLE_DUP_COLUMNS), "stream-duplicates-whole"))
+
+
 # A day is closed when the newest error is ten minutes and the window behind its end.
 @query("stream_cross_host", f"""SELECT * FROM ({cross_sql(300, 10, [], by_day=True)})
     WHERE day < (WITH {EN} SELECT strftime(make_timestamp(max(us) - 900000000), '%Y-%m-%d') FROM en WHERE is_error)""")

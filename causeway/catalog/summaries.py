@@ -16,19 +16,19 @@ from causeway.operators import reports
 from causeway.plans.scaling import materialize
 from causeway.rules import CLIP_MARKER, IPV4_PATTERN
 
-_PRINT = print_sql("lv", ["event_id", "host", "session_id", "sourcetype", "source", "src_ip", "dst_ip", "log_level", "message"], HOST)
+_PRINT = print_sql("lv", ["event_id", "timestamp", "host", "session_id", "sourcetype", "source", "src_ip", "dst_ip", "log_level", "message"], HOST)
 
 
 def written(spark, sf_dir):
     """The enriched log view, written once because the summaries read it many times."""
-    return materialize(enriched(spark, sf_dir).drop("timestamp"), "enriched")
+    return materialize(enriched(spark, sf_dir), "enriched")
 
 
 @query("incident_summary", f"""WITH {root_ctes(HOST)}, {SETS}, c AS ({counts('host, sourcetype')}),
     ss AS (SELECT host, CASE max(CASE {EXACT_STATUS} WHEN 'DOWN' THEN 2 WHEN 'DEGRADED' THEN 1 ELSE 0 END) WHEN 2 THEN 'DOWN' WHEN 1 THEN 'DEGRADED' ELSE 'OK' END AS service_impact FROM c GROUP BY host),
     tr AS ({SQL['trend']}), bu AS (SELECT host, count(*) AS burst_count FROM ({burst_sql(3600, HOST)}) GROUP BY host),
     ga AS (SELECT host, count(*) AS gap_count FROM ({gap_sql(HOST)}) GROUP BY host), pr AS ({_PRINT}),
-    du AS (SELECT host, count(*) - count(DISTINCT (session_id, sourcetype, source, src_ip, dst_ip, log_level, message)) AS duplicate_count FROM lv GROUP BY host)
+    du AS (SELECT host, count(*) - count(DISTINCT ("timestamp", session_id, sourcetype, source, src_ip, dst_ip, log_level, message)) AS duplicate_count FROM lv GROUP BY host)
     SELECT host, 'IR-' || incident_id AS incident_id, total_events, error_events, warning_events, anomaly_events, 1 AS host_count, precursor_count, severity_score,
         severity_grade, trend, service_impact, mttr_us / 1000000 AS mttr_seconds, cascade_count, {iso_sql('t0')} AS root_cause_ts, root_level AS root_cause_level,
         root_host AS root_cause_host, array_to_string(root_tags, '|') AS root_cause_tags,
@@ -67,7 +67,7 @@ def _(spark, sf_dir):
     return reports.narrative_facts(written(spark, sf_dir), scope=SERVICE, burst_seconds=3600)
 
 
-_ROW = "concat_ws(' | ', 'event_id=' || event_id, " + ", ".join(f"CASE WHEN {c} <> '' THEN '{c}=' || {c} END" for c in TEXT_COLUMNS) + ")"
+_ROW = "concat_ws(' | ', 'event_id=' || event_id, 'timestamp=' || \"timestamp\", " + ", ".join(f"CASE WHEN {c} <> '' THEN '{c}=' || {c} END" for c in TEXT_COLUMNS) + ")"
 _CLIPPED = f"CASE WHEN length({_ROW}) > 500 THEN substr({_ROW}, 1, 500) || '{CLIP_MARKER}' ELSE {_ROW} END"
 
 
@@ -79,14 +79,14 @@ def _events_ctes(scope: str) -> str:
 
 @query("model_events", f"""WITH {_events_ctes('host')} SELECT host, event_no, {iso_sql('us')} AS ts, lvl AS level, array_to_string(tags, '|') AS tags, raw_text AS raw FROM me""")
 def _(spark, sf_dir):
-    rows = reports.model_events(enriched(spark, sf_dir).drop("timestamp"), scope=HOST, sanitize=False)
+    rows = reports.model_events(enriched(spark, sf_dir), scope=HOST, sanitize=False)
     return rows.withColumn("tags", F.array_join("tags", "|"))
 
 
 @query("model_events_sanitized", f"""WITH {_events_ctes('')}, {pseudonym_ctes('me', 'event_no', 'raw_text')}
     SELECT event_no, {iso_sql('us')} AS ts, lvl AS level, array_to_string(tags, '|') AS tags, t AS raw FROM me JOIN t4 ON event_no = o""")
 def _(spark, sf_dir):
-    rows = reports.model_events(enriched(spark, sf_dir).drop("timestamp"))
+    rows = reports.model_events(enriched(spark, sf_dir))
     return rows.withColumn("tags", F.array_join("tags", "|"))
 
 

@@ -28,21 +28,13 @@ def _(spark, sf_dir):
     return evidence.network_evidence(log_view(spark, sf_dir), ["host"], ignore_case=True)
 
 
-@query("network_evidence_documents", evidence_sql("documents", ["text"]))
-def _(spark, sf_dir):
-    return evidence.network_evidence(table(spark, sf_dir, "documents"), columns=["text"])
-
-
-@query("network_evidence_pages", evidence_sql("pages", ["url"]))
-def _(spark, sf_dir):
-    return evidence.network_evidence(table(spark, sf_dir, "pages"), columns=["url"])
-
-
+@query("network_evidence_documents", evidence_sql("documents", ["text", "lang", "source"]))
 @query("network_evidence_documents_whole", evidence_sql("documents", ["text", "lang", "source"]))
 def _(spark, sf_dir):
     return evidence.network_evidence(table(spark, sf_dir, "documents"))
 
 
+@query("network_evidence_pages", evidence_sql("pages", ["url", "html"]))
 @query("network_evidence_pages_whole", evidence_sql("pages", ["url", "html"]))
 def _(spark, sf_dir):
     return evidence.network_evidence(table(spark, sf_dir, "pages"), columns=["url", "html"])
@@ -72,14 +64,14 @@ def pseudonym_ctes(source: str, order: str, text: str) -> str:
 
 DICTIONARY = " UNION ALL ".join(f"SELECT kind, value, pseudonym FROM m{i}" for i in range(1, len(PSEUDONYM_KINDS) + 1))
 _DOCS = pseudonym_ctes("documents", "doc_id", "text")
-_ROW_TEXT = "concat_ws(' | ', 'event_id=' || event_id, " + ", ".join(
+_ROW_TEXT = "concat_ws(' | ', 'event_id=' || event_id, 'timestamp=' || \"timestamp\", " + ", ".join(
     f"CASE WHEN {c} <> '' THEN '{c}=' || {c} END" for c in TEXT_COLUMNS) + ")"
 _ROWS = f"{LV}, lt AS (SELECT event_id, {_ROW_TEXT} AS txt FROM lv), {pseudonym_ctes('lt', 'event_id', 'txt')}"
 
 
 def row_texts(spark, sf_dir):
     df = log_view(spark, sf_dir)
-    return df.select("event_id", row_to_text([c for c in df.columns if c != "timestamp"], None).alias("txt"))
+    return df.select("event_id", row_to_text(df.columns, None).alias("txt"))
 
 
 @query("pseudonymize", f"WITH {_DOCS} SELECT o AS doc_id, t AS text FROM t4")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from causeway import schema as S
 from causeway.catalog.incidents import HOST, root_ctes
-from causeway.catalog.logview import EN, LV, RANK_SQL, enriched, log_view, quote
+from causeway.catalog.logview import EN, LV, RANK_SQL, enriched, log_view, quote, unzoned
 from causeway.catalog.registry import query
 from causeway.catalog.scalars import iso_sql
 from causeway.operators import correlate, enrich, incident, reports, series
@@ -213,20 +213,20 @@ def _cells(names) -> str:
 
 
 @query("timeline", f"""WITH {EN}, t AS (SELECT *, row_number() OVER (ORDER BY us, event_id) AS rn FROM en WHERE is_anomaly)
-    SELECT CAST(rn AS INTEGER) AS row_no, {iso_sql('us')} AS time_text, event_id, {_cells(['host', *CELLS])} FROM t WHERE rn <= 30""")
+    SELECT CAST(rn AS INTEGER) AS row_no, {iso_sql('us')} AS time_text, event_id, "timestamp", {_cells(['host', *CELLS])} FROM t WHERE rn <= 30""")
 def _(spark, sf_dir):
-    return reports.timeline(enriched(spark, sf_dir)).drop("timestamp")
+    return unzoned(reports.timeline(enriched(spark, sf_dir)))
 
 
 @query("timeline_min_level_per_host", f"""WITH {EN}, t AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY us, event_id) AS rn FROM en WHERE rnk >= 5)
-    SELECT host, CAST(rn AS INTEGER) AS row_no, {iso_sql('us')} AS time_text, event_id, {_cells(CELLS)} FROM t WHERE rn <= 10""")
+    SELECT host, CAST(rn AS INTEGER) AS row_no, {iso_sql('us')} AS time_text, event_id, "timestamp", {_cells(CELLS)} FROM t WHERE rn <= 10""")
 def _(spark, sf_dir):
-    return reports.timeline(leveled(spark, sf_dir), scope=HOST, max_rows=10, min_level="ERROR").drop("timestamp")
+    return unzoned(reports.timeline(leveled(spark, sf_dir), scope=HOST, max_rows=10, min_level="ERROR"))
 
 
 @query("top_raw_errors", f"""WITH {EN}, t AS (SELECT *, {RANK_SQL} AS r, row_number() OVER (PARTITION BY host ORDER BY rnk DESC, us, event_id) AS rn FROM en WHERE is_error)
     SELECT host, CAST(rn AS INTEGER) AS row_no, event_id, {iso_sql('us')} AS time_text, lvl AS level, CAST(r AS INTEGER) AS severity_rank,
-    concat_ws(chr(10), 'event_id: ' || event_id, {', '.join(f"'{c}: ' || substr({c}, 1, 200)" for c in ['host', *CELLS])}) AS extract FROM t WHERE rn <= 5""")
+    concat_ws(chr(10), 'event_id: ' || event_id, 'timestamp: ' || "timestamp", {', '.join(f"'{c}: ' || substr({c}, 1, 200)" for c in ['host', *CELLS])}) AS extract FROM t WHERE rn <= 5""")
 def _(spark, sf_dir):
-    return reports.top_raw_errors(leveled(spark, sf_dir).drop("timestamp"), scope=HOST)
+    return reports.top_raw_errors(leveled(spark, sf_dir), scope=HOST)
 
