@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from causeway.catalog import (  # noqa: F401
-    impacts, incidents, scalars, sources, streams, summaries, texts, timing)
+    chains, impacts, incidents, scalars, sources, streams, summaries, texts, timing)
 from causeway.catalog.registry import QUERIES, SQL
 
 
