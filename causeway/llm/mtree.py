@@ -14,7 +14,8 @@ a time. Each query gives k rows per shard, of which a window keeps the k best.
 
 Vectors that are null, hold null or non-finite components or are empty take no part, nor do null ids.
 Vectors of another length than the query's are not compared with it. Rows that repeat an id count once
-per distinct vector; a query never meets a row of its own id.
+per distinct vector; a query never meets a row of its own id. Components are whole numbers of 64 bits; where an inner
+product that is looked at leaves 64 bits, the search fails with OverflowError. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD_ROWS = 16_384
-PAGE = 64
+PAGE = 512  # points of a leaf: few large pages, as bounds of long vectors seldom cut off small ones
 FAN_OUT = 16
+EXACT = 1 << 53  # whole numbers up to here are exact as doubles
+GREATEST = (1 << 63) - 1
 SLACK = 1e-6  # relative to the largest squared norm
 
 
@@ -38,7 +41,9 @@ class MTree:
 
     def __init__(self, ids: np.ndarray, points: np.ndarray):
         self.ids, self.points = ids, points
-        norms = (points.astype(np.float64) ** 2).sum(axis=1)
+        self.reals = points.astype(np.float64)
+        self.most = max((abs(int(x)) for x in (points.min(), points.max())), default=0) if points.size else 0
+        norms = (self.reals**2).sum(axis=1)
         self.top = float(norms.max()) if len(norms) else 0.0
         self.lifted = np.column_stack([points, np.sqrt(np.maximum(self.top - norms, 0))])
         self.root = self.build(np.arange(len(ids)), None) if len(ids) else None
@@ -68,6 +73,18 @@ class MTree:
         up = np.zeros(len(groups)) if router is None else np.sqrt(((centers - router) ** 2).sum(axis=1))
         return centers, np.array([x for _, _, x in groups]), up, [self.build(g, r) for r, g, _ in groups]
 
+    def products(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Exact inner products: in doubles where they hold every sum, else in 64 bits, else in whole numbers of any size."""
+        reach = len(query) * self.most * max(abs(int(x)) for x in (query.min(), query.max()))
+        if reach < EXACT:
+            return (self.reals[rows] @ query.astype(np.float64)).astype(np.int64)
+        if reach <= GREATEST:
+            return self.points[rows] @ query
+        exact = self.points[rows].astype(object) @ query.astype(object)
+        if len(exact) and max(abs(x) for x in exact) > GREATEST:
+            raise OverflowError("an inner product leaves 64 bits")
+        return exact.astype(np.int64)
+
     def search(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
         """The k best (score, id), the best first; the query's own id is left out."""
         if self.root is None:
@@ -88,7 +105,7 @@ class MTree:
                 if parent >= 0:
                     rows = rows[np.abs(parent - up) <= reach]
                 rows = rows[self.ids[rows] != query_id]
-                scores = self.points[rows] @ query
+                scores = self.products(rows, query)
                 if len(found) == k:
                     good = scores >= found[0][0]
                     rows, scores = rows[good], scores[good]
@@ -159,7 +176,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     asked = queries.select("vec_id", "v").distinct().select(
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(True).alias("is_query"),
         F.col("vec_id").alias("id"), "v")
-    streams = dealt.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "is_query")
+    # Ranges of whole shards: a hash would put several into one partition and none into others.
+    streams = dealt.unionByName(asked).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "is_query")
     found = streams.mapInArrow(_stream(k), "query_id long, vec_id long, score long").distinct()
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -231,6 +231,18 @@ def test_top_k(spark):
     assert mtree.top_k(df.where("false"), df).collect() == []
 
 
+def test_top_k_of_great_numbers(spark):
+    """Products beyond 53 bits stay exact, those beyond 64 bits are refused instead of wrapped."""
+    for scale in (10**3, 10**8, 2 * 10**9):
+        vectors = [(i, [int(scale * np.cos(i * k + k)) for k in range(2)]) for i in range(60)]
+        df = spark.createDataFrame(vectors, "vec_id long, v array<long>")
+        want = {(q, n, i, -s) for q in (0, 50) for n, (s, i) in enumerate(sorted((-sum(a * b for a, b in zip(vectors[q][1], v)), i) for i, v in vectors if i != q)[:5], 1)}
+        assert {tuple(r) for r in mtree.top_k(df, df.where("vec_id % 50 = 0")).collect()} == want
+    wide = spark.createDataFrame([(i, [10**17 + i]) for i in range(9)], "vec_id long, v array<long>")
+    with pytest.raises(Exception, match="64 bits"):
+        mtree.top_k(wide, wide.where("vec_id = 0")).collect()
+
+
 def test_pipeline_keeps_clean_rows_and_shapes(spark):
     import corpus_pipeline
 
