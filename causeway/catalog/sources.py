@@ -10,7 +10,7 @@ from causeway.catalog.registry import query
 from causeway.operators import reports
 from causeway.plans.scaling import shared_dir
 from causeway.rules import RAW_LINE_PATTERN
-from causeway.sources import files, rawlog
+from causeway.sources import custody, files, rawlog
 
 
 @query("csv_source", f"""WITH {LV} SELECT event_id, "timestamp", host, session_id, sourcetype, source, src_ip, dst_ip, log_level, message FROM lv""")
@@ -136,6 +136,21 @@ def _(spark, sf_dir):
     return files.table_fingerprint(table(spark, sf_dir, "documents"), ["doc_id", "text", "lang", "source", "n_chars"])
 
 
+# Small leaves and branches, so that the files here have several of either.
+@query("file_tree_fingerprint", f"""WITH {RAW}, n AS (SELECT file, line, row_number() OVER (PARTITION BY file ORDER BY line_no) - 1 AS i FROM rl),
+    le AS (SELECT file, i // 64 AS leaf, sha256(string_agg(sha256(line), '' ORDER BY i)) AS h FROM n GROUP BY file, leaf),
+    br AS (SELECT file, leaf // 16 AS branch, sha256(string_agg(h, '' ORDER BY leaf)) AS h FROM le GROUP BY file, branch),
+    s AS (SELECT file, sum(strlen(line) + 1)::BIGINT AS n_bytes, count(*) AS n_lines FROM n GROUP BY file)
+    SELECT file AS service, n_bytes, n_lines, sha256(n_bytes || ':' || n_lines || ':' || string_agg(h, '' ORDER BY branch)) AS tree_sha256
+    FROM br JOIN s USING (file) GROUP BY file, n_bytes, n_lines""")
+def _(spark, sf_dir):
+    path = shared_dir(spark, "tree-logs")
+    lines = raw_lines(spark, sf_dir).repartition("file").sortWithinPartitions("file", "line_no")
+    lines.select("file", "line").write.partitionBy("file").text(path)
+    found = custody.tree_fingerprints(spark, path, 64, 16)
+    return found.select(F.regexp_extract("file", "file=([^/]+)/", 1).alias("service"), "n_bytes", "n_lines", "tree_sha256")
+
+
 @query("export_enriched", f"""WITH {EN} SELECT event_id, "timestamp", host, message, lvl AS _log_level, is_error AS _is_error, is_warning AS _is_warning,
     is_recovery AS _is_recovery, is_anomaly AS _is_anomaly, {', '.join(f'f_{t} AS _anomaly_{t}' for t in TAGS)}, array_to_string(tags, '|') AS _anomaly_tags FROM en""")
 def _(spark, sf_dir):

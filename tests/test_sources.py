@@ -203,3 +203,33 @@ def test_other_formats_become_null_unless_read_per_row(spark):
 def test_epoch_unit_by_exact_median(spark, numbers, kind):
     df = spark.createDataFrame([(x,) for x in numbers], "t double")
     assert choose_formats(df, ["t"])["t"].kind == kind
+
+
+def tree_by_hand(data, leaf, branch):
+    import hashlib
+    sha = lambda t: hashlib.sha256(t).hexdigest()
+    lines = data.split(b"\n")
+    level = [sha(x) for x in (lines[:-1] if data.endswith(b"\n") else lines)]
+    n = len(level)
+    for width in (leaf, branch):
+        level = [sha("".join(level[i : i + width]).encode()) for i in range(0, len(level), width)]
+    return sha(f"{len(data)}:{n}:{''.join(level)}".encode())
+
+
+def test_tree_fingerprint_of_bytes_in_any_splits(spark, tmp_path):
+    from causeway.sources import custody
+    files_ = {"a": b"".join(b"line %d\r\n" % i for i in range(300)), "b": b"\xff\xfe\x00 no utf-8\n\n\nlast without end", "c": b"\n"}
+    for name, data in files_.items():
+        (tmp_path / name).write_bytes(data)
+    found = []
+    for split in ("64", "1000", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            found.append({r.file[-1]: (r.n_bytes, r.tree_sha256) for r in custody.tree_fingerprints(spark, str(tmp_path), 7, 3).collect()})
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert found[0] == found[1] == found[2] == {k: (len(d), tree_by_hand(d, 7, 3)) for k, d in files_.items()}
+    (tmp_path / "b").write_bytes(files_["b"] + b"\n")  # the same lines, one byte more
+    assert custody.tree_fingerprints(spark, str(tmp_path / "b"), 7, 3).first().tree_sha256 != found[0]["b"][1]
