@@ -10,7 +10,7 @@ from causeway import schema as S
 from causeway.functions import levels
 from causeway.functions.text import clip
 from causeway.functions.times import MINUTE, as_time, floor_div, format_ts, micros
-from causeway.plans.scaling import HEAVY_KEYS, attach, salted_join, top_k, with_scope, within_range
+from causeway.plans.scaling import HEAVY_KEYS, attach, salted_join, top_k, with_scope, within_keys, within_range
 from causeway.rules import DEFAULT_RULES, RuleSet
 from causeway.schema import Roles, resolve_roles
 
@@ -178,14 +178,18 @@ def isolate_flow(df: DataFrame, flow_key: str, value: str | None = None, scope=(
     key, spread = F.col(f"`{flow_key}`"), resolve_roles(df).event_id or S.MICROS
     if value is not None:
         return df.where(key.cast("string") == str(value))
-    counts = with_scope(df, [*scope, flow_key]).groupBy(*scope, key.alias("_key")).agg(
-        F.count_if(S.IS_ERROR).alias("e"), F.count_if(S.IS_ANOMALY).alias("a"), F.count(F.lit(1)).alias("n"))
+    known = with_scope(df, scope)
+    counts = known.groupBy(*scope, key.alias("_key")).agg(
+        F.count_if(F.col(S.IS_ERROR) & key.isNotNull()).alias("e"), F.count_if(F.col(S.IS_ANOMALY) & key.isNotNull()).alias("a"),
+        F.count(F.lit(1)).alias("n"))
     winner = counts.groupBy(*scope).agg(
         F.max("e").alias("e"), F.max("a").alias("a"), F.sum("n").alias("n"),
         F.min_by("_key", F.struct(-F.col("e"), "_key")).alias("by_errors"),
         F.min_by("_key", F.struct(-F.col("a"), "_key")).alias("by_anomalies"))
     chosen = F.when(F.col("e") > 0, F.col("by_errors")).when(F.col("a") > 0, F.col("by_anomalies"))
-    rows = attach(with_scope(df, scope), winner.select(*scope, chosen.alias("key"), "n"), scope, "w", F.col(spread), "n", "left")
+    facts = winner.select(*scope, chosen.alias("key"), "n")
+    near = within_keys(known, facts, scope, key, F.col("key")) if scope else known  # other flows' rows go before any shuffle
+    rows = attach(near, facts, scope, "w", F.col(spread), "n", "left")
     return rows.where(F.col("w.key").isNull() | (key == F.col("w.key"))).drop("w")
 
 

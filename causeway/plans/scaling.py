@@ -70,6 +70,24 @@ def attach(rows: DataFrame, facts: DataFrame, scope, name: str, spread: Column |
     return out.where(F.col(name).isNotNull()) if how == "inner" else out
 
 
+def _bucket(scope) -> Column:
+    """The hash bucket of a scope; tables of one row per bucket have a fixed size."""
+    return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in scope]), F.lit(RANGE_BUCKETS)).cast("int") if scope else F.lit(0)
+
+
+def within_keys(rows: DataFrame, facts: DataFrame, scope, value: Column, wanted: Column) -> DataFrame:
+    """Rows whose `value` may be the `wanted` one of their scope, before anything is shuffled; a null lets all through.
+
+    A hash bucket of scopes keeps one bit for each of 63 classes of wanted values; as in `within_range` this
+    table is broadcast. `facts` must have a row for every scope.
+    """
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(63)).cast("int"))
+    masks = facts.groupBy(_bucket(scope).alias("_bucket")).agg(
+        F.bit_or(F.when(wanted.isNull(), F.lit(-1).cast("long")).otherwise(bit(wanted))).alias("_mask"))
+    near = rows.withColumn("_bucket", _bucket(scope)).join(F.broadcast(masks), "_bucket")
+    return near.where((F.col("_mask") == -1) | (F.col("_mask").bitwiseAND(bit(value)) != 0)).drop("_bucket", "_mask")
+
+
 def within_range(rows: DataFrame, facts: DataFrame, scope, value: Column, low: Column, high: Column) -> DataFrame:
     """Rows whose `value` may lie between `low` and `high` of their scope, before anything is shuffled.
 
@@ -77,10 +95,8 @@ def within_range(rows: DataFrame, facts: DataFrame, scope, value: Column, low: C
     table of at most `RANGE_BUCKETS` rows of four numbers is broadcast, so all rows are told apart where they are
     read. Rows let through may still lie outside the range of their own scope, never the other way round.
     """
-    scope = list(scope)
-    bucket = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in scope]), F.lit(RANGE_BUCKETS)).cast("int") if scope else F.lit(0)
-    ranges = facts.groupBy(bucket.alias("_bucket")).agg(F.min(low).alias("_low"), F.max(high).alias("_high"))
-    near = rows.withColumn("_bucket", bucket).join(F.broadcast(ranges), "_bucket").where(value.between(F.col("_low"), F.col("_high")))
+    ranges = facts.groupBy(_bucket(scope).alias("_bucket")).agg(F.min(low).alias("_low"), F.max(high).alias("_high"))
+    near = rows.withColumn("_bucket", _bucket(scope)).join(F.broadcast(ranges), "_bucket").where(value.between(F.col("_low"), F.col("_high")))
     return near.drop("_bucket", "_low", "_high")
 
 

@@ -55,6 +55,17 @@ def test_only_rows_near_a_root_event_are_shuffled_whole(spark, spread, tmp_path,
     assert shuffled_rows(rows, "message") <= 2 * near < every / 10
 
 
+def test_other_flows_are_not_shuffled_whole(spark, spread):
+    df = spread.withColumn("flow", F.when(F.col("host") != "d", F.pmod(F.xxhash64("event_id"), F.lit(40)).cast("string")))
+    rows = correlate.isolate_flow(df, "flow", scope=["host"])
+    plain = df.groupBy("host", "flow").agg(F.count_if(S.IS_ERROR).alias("e")).where("flow is not null").groupBy("host").agg(F.min_by("flow", F.struct(-F.col("e"), "flow")).alias("w"))
+    want = df.join(plain, "host", "left").where("flow = w or w is null").select("event_id")
+    assert rows.select("event_id").exceptAll(want).count() == 0 == want.exceptAll(rows.select("event_id")).count()
+    of_d = df.where("host = 'd'").count()
+    assert rows.where("host = 'd'").count() == of_d  # no flow is known there, so everything stays
+    assert shuffled_rows(rows, "message") <= of_d + (df.count() - of_d) / 5
+
+
 def test_ranges_let_all_rows_of_a_scope_through(spark):
     rows = spark.range(2000).select((F.col("id") % 50).alias("s"), (F.col("id") * 7919 % 1000).alias("v"))
     facts = spark.range(50).select(F.col("id").alias("s"), (F.col("id") * 20).alias("at"))
