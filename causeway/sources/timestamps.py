@@ -86,20 +86,35 @@ def _median_inside(row, kind: str, i: int) -> bool:
     return low < (first + second) / 2 < high
 
 
+def _format_number(c: Column, year: int) -> Column:
+    """The place in FORMATS of the one format that a text is written in, if it can be read so; shapes exclude each other."""
+    chain = F
+    for k, name in enumerate(FORMATS):
+        chain = chain.when(c.rlike(SHAPES[name]), F.when(_by_format(c, name, year).isNotNull(), k))
+    return chain
+
+
 def choose_formats(df: DataFrame, columns: list[str], year: int = 1970) -> dict[str, TimeFormat]:
-    """One pass over the table gives all votes; only the counts come to the driver."""
-    votes = []
+    """One pass over the table gives all votes; only the counts come to the driver.
+
+    Each value is looked at once, for its number and its format; what is counted are these.
+    """
+    seen = []
     for i, name in enumerate(columns):
         c = F.col(f"`{name}`")
-        number = _number(c)
-        votes += [F.count(c).alias(f"filled_{i}"), F.count(number).alias(f"numbers_{i}"), F.count(F.lit(1)).alias(f"rows_{i}")]
+        seen += [_number(c).alias(f"n_{i}"), _format_number(c.cast("string"), year).alias(f"f_{i}")]
+    # Unfolding a one-element array keeps the optimizer from copying the expressions into every count.
+    once = df.select(F.inline(F.array(F.struct(*seen))))
+    votes = []
+    for i in range(len(columns)):
+        number, form = F.col(f"n_{i}"), F.col(f"f_{i}")
+        votes += [F.count(number).alias(f"numbers_{i}"), F.count(F.lit(1)).alias(f"rows_{i}")]
         for kind, (low, high) in EPOCH_RANGES.items():
             votes += [F.count_if(number <= low).alias(f"{kind}_below_{i}"), F.count_if(number >= high).alias(f"{kind}_above_{i}"),
                       F.max(F.when(number <= low, number)).alias(f"{kind}_low_{i}"), F.min(F.when(number > low, number)).alias(f"{kind}_up_{i}"),
                       F.max(F.when(number < high, number)).alias(f"{kind}_down_{i}"), F.min(F.when(number >= high, number)).alias(f"{kind}_high_{i}")]
-        text = c.cast("string")
-        votes += [F.count(_by_format(text, f, year)).alias(f"{f}_{i}") for f in FORMATS]
-    row = df.agg(*votes).first()
+        votes += [F.count_if(form == k).alias(f"{f}_{i}") for k, f in enumerate(FORMATS)]
+    row = once.agg(*votes).first()
     out = {}
     for i, name in enumerate(columns):
         if row[f"rows_{i}"] and row[f"numbers_{i}"] > 0.8 * row[f"rows_{i}"]:
