@@ -36,6 +36,7 @@ from causeway.llm.ppm import symbols
 WINDOW = 13
 ANCHOR = 4
 BASE = 48
+AUTOMATON_BYTES = 4 << 20  # text that shares an automaton
 
 
 def windows_and_anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +151,7 @@ CUT = "doc_id long, sequence long, n_removed long, kept_sha256 string, kept stri
 
 def _cut_rows(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=AUTOMATON_BYTES):
             flat, ends = words(batch.column("text"))
             coded = flat.dictionary_encode()
             index = coded.indices.to_numpy().astype(np.int64)
