@@ -26,16 +26,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keep(df: DataFrame, purpose: str) -> DataFrame:
+def keep(df: DataFrame, purpose: str, sorted_numbers: bool = False) -> DataFrame:
     """Write a table that is read more than once below spark.checkpoint.dir and read it back.
 
+    Runs of `sorted_numbers` are stored as their differences.
+
     Lost executors then cost a re-read, not a recomputation. Where the session names no folder, the warehouse
     folder takes its place if the master itself is local, as in tests; on a cluster that is an error. The cluster
     clears the folder as it clears checkpoints.
     """
     spark = df.sparkSession
     path = shared_dir(spark, f"llm/{purpose}")
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.option("parquet.writer.version", "v2") if sorted_numbers else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -36,7 +36,7 @@ from causeway.llm.common import U, held_out, keep, signed, slices, word_hashes,
 from causeway.llm.features import raw_bytes
 
 ORDER = 5
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 16 << 20
 END, SPACE = 10, 32
 WORD, GRAM, OWN_WORD = 0, 1, 2  # kinds of keys; an own word is counted by its first bucket
 FOLD = np.arange(256, dtype=np.uint8)
@@ -143,7 +143,7 @@ def gram_logs(counted: DataFrame) -> DataFrame:
         facts = facts.withColumn("u", F.expr("case when others <= 0 then u1 when n1 > 0 then log10(n1) - log10(rest)"
                                              " else log10(others) - log10(rest) + u1 end")).withColumn("below", F.col("p1"))
         known = facts.select("key", "n", "whole", "d", "u", first.alias("p"))
-    return known.select("key", F.col("p").alias("value"))
+    return keep(known.select("key", F.col("p").alias("value")), "gram_logs")
 
 
 def score(docs: DataFrame, training: str = "training") -> DataFrame:
@@ -175,13 +175,14 @@ def score(docs: DataFrame, training: str = "training") -> DataFrame:
         kind = np.repeat(np.array([WORD, GRAM], np.int8), [len(x) for x, _ in found])
         return pa.table({"bucket": pa.array(np.full(len(keys), key[0].as_py()), pa.int32()), "kind": kind, "key": keys, "n": n})
 
-    per_bucket = keep(dealt.groupBy("bucket").applyInArrow(counts, "bucket int, kind byte, key long, n long"), "counts")
+    per_bucket = keep(dealt.groupBy("bucket").applyInArrow(counts, "bucket int, kind byte, key long, n long"), "counts", sorted_numbers=True)
     same = Window.partitionBy("key")
     word_totals = per_bucket.where(F.col("kind") == WORD).select(
         "bucket", F.when(F.min("bucket").over(same) == F.col("bucket"), OWN_WORD).otherwise(WORD).cast("byte").alias("kind"), "key",
         F.sum("n").over(same).cast("double").alias("value"))
     bucket_grams = per_bucket.where(F.col("kind") == GRAM)
-    totals = word_totals.unionByName(bucket_grams.select("bucket", "kind", "key").join(gram_logs(bucket_grams), "key"))
+    totals = word_totals.unionByName(bucket_grams.select("bucket", "key").join(gram_logs(bucket_grams), "key")
+                                    .select("bucket", F.lit(GRAM).cast("byte").alias("kind"), "key", "value"))
 
     def work(key, group, known):
         kind, keys, value = (known[c].to_numpy() for c in ("kind", "key", "value"))
