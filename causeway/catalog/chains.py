@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from causeway import schema as S
 from causeway.catalog.incidents import HOST, _shown
-from causeway.catalog.logview import log_view, quote, unzoned
+from causeway.catalog.logview import LV, log_view, quote, unzoned
 from causeway.catalog.registry import SQL, query
 from causeway.catalog.sources import RAW, RECORDS, raw_lines
-from causeway.operators import impact, incident
+from causeway.operators import impact, incident, rule_table
 from causeway.operators.enrich import enrich
 from causeway.plans.scaling import materialize, shared_dir
 from causeway.rules import RECOVERY_PATTERN
@@ -49,3 +49,18 @@ def _(spark, sf_dir):
     found = incident.incident(events, scope=["service"])
     return unzoned(found.select("service", "total_events", "error_events", "warning_events", F.timestamp_micros("root_micros").alias("root_ts"),
                                 "root_level", "root_message", "cascade_count", "mttr_us"))
+
+
+# Three hundred rules; of those with the same number one is without a literal.
+_RULES = [(f"r{k:03d}", *rule) for k, rule in enumerate(
+    [(rf"kill process {i}\b", f"process {i}") for i in range(100)] + [(rf"^(view|click) {i}$", f" {i}") for i in range(100)]
+    + [(rf"query time: 0*{i}\b", None if i == 7 else "query time") for i in range(100)])]
+
+
+@query("custom_rules_table", f"""WITH {LV}, ru(tag, pattern) AS (VALUES {", ".join(f"({quote(t)}, {quote(p)})" for t, p, _ in _RULES)}),
+    h AS (SELECT event_id, string_agg(tag, '|' ORDER BY tag) AS tags FROM lv JOIN ru ON regexp_matches(message, pattern, 'i') GROUP BY event_id)
+    SELECT event_id, coalesce(tags, '') AS tags FROM lv LEFT JOIN h USING (event_id)""")
+def _(spark, sf_dir):
+    rules = spark.createDataFrame(_RULES, "tag string, pattern string, literal string")
+    tagged = rule_table.tag_by_rules(log_view(spark, sf_dir).select("event_id", "message"), rules, "message")
+    return tagged.select("event_id", F.array_join("rule_tags", "|").alias("tags"))

@@ -101,3 +101,22 @@ def test_raw_extract_prefers_the_raw_line(events):
     df = events([(0, "a", "ERROR", "x"), (1, "a", "CRITICAL", "y")]).withColumn("_raw", F.lit("r" * 600))
     rows = reports.top_raw_errors(df).orderBy("row_no").collect()
     assert [(r.event_id, len(r.extract)) for r in rows] == [(1, 500), (0, 500)]
+
+
+def test_rule_table_is_every_pattern_tried(spark):
+    import random
+    import re
+
+    from causeway.operators.rule_table import tag_by_rules
+
+    rng = random.Random(2)
+    words = ["Disk", "full", "node7", "ERROR", "x", "é", "timeout", "retry 12"]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(6))) for _ in range(200)] + [None, ""]
+    rules = [(f"t{k}", rf"{a}.*{b}", a.lower()) for k, (a, b) in enumerate((a, b) for a in words for b in words)]
+    rules += [("any", "^$", None), ("t0", "full$", "full"), ("none", "absent", "absent")]
+    df = spark.createDataFrame(list(enumerate(texts)), "n long, body string").withColumn("clash", F.lit("x"))
+    got = {r.n: r.rule_tags for r in tag_by_rules(df, spark.createDataFrame(rules, "tag string, pattern string, literal string"), "body").collect()}
+    for n, t in enumerate(texts):
+        want = [] if t is None else list(dict.fromkeys(tag for tag, p, _ in sorted(rules) if re.search(p, t, re.I)))
+        assert got[n] == want, t
+    assert tag_by_rules(df, spark.createDataFrame([], "tag string, pattern string, literal string"), "body").first().rule_tags == []
