@@ -50,8 +50,8 @@ def _repair(texts: pd.Series) -> pd.DataFrame:
 def audit_replies(df: DataFrame, text: str) -> DataFrame:
     """Status, reason, missing keys and the usable JSON text of every reply.
 
-    Plain objects are recognised natively. Only the other replies go to Python, which looks for the
-    object in them; the table is read once for either kind.
+    Plain objects are recognised natively. Python gets the texts of the other replies alone and looks for the
+    object in them; plain ones pass it as nulls, since splitting the table in two would parse every reply twice.
     """
     c = F.col(text)
     # Strict JSON with nothing around it: as the only element of an array it must still parse.
@@ -59,8 +59,7 @@ def audit_replies(df: DataFrame, text: str) -> DataFrame:
     whole = (listed.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
              & F.json_object_keys(c).isNotNull())
     df = df.withColumn("_whole", F.coalesce(whole, F.lit(False)))
-    broken = ~F.col("_whole") & (F.coalesce(c, F.lit("")) != "")
-    df = df.where(~broken).withColumn("_fix", F.lit(None).cast(_REPAIRED)).unionByName(df.where(broken).withColumn("_fix", _repair(c)))
+    df = df.withColumn("_fix", _repair(F.when(~F.col("_whole") & (c != ""), c)))
     body = F.when(F.col("_whole"), c).otherwise(F.col("_fix.body"))
     keys = F.when(F.col("_whole"), F.json_object_keys(c)).otherwise(F.col("_fix.keys"))
     required = F.array(*[F.lit(k) for k in REPLY_KEYS])
