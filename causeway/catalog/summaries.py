@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from causeway.catalog.impacts import SETS, WITH_STEPS, EXACT_STATUS, counts
+from causeway.catalog.impacts import EXACT_STATUS, LABEL_SQL, SETS, WITH_STEPS, counts
 from causeway.catalog.incidents import HOST, root_ctes
-from causeway.catalog.logview import EN, TEXT_COLUMNS, enriched
+from causeway.catalog.logview import EN, TEXT_COLUMNS, enriched, quote
 from causeway.catalog.registry import SQL, query
 from causeway.catalog.scalars import duration_sql, iso_sql, relative_sql
 from causeway.catalog.sources import print_sql
-from causeway.catalog.texts import pseudonym_ctes
+from causeway.catalog.texts import evidence_sql, pseudonym_ctes
 from causeway.catalog.timing import burst_sql, gap_sql
-from causeway.operators import reports
+from causeway.operators import model_facts, reports
 from causeway.plans.scaling import materialize
-from causeway.rules import CLIP_MARKER, IPV4_PATTERN
+from causeway.rules import CLIP_MARKER, IPV4_PATTERN, VOLATILE_TOKEN_PATTERN
 
 _PRINT = print_sql("lv", ["event_id", "timestamp", "host", "session_id", "sourcetype", "source", "src_ip", "dst_ip", "log_level", "message"], HOST)
 
@@ -100,10 +100,55 @@ _CONTEXT = """total_events long, severity_grade string, raw_error_extracts array
     FROM fin JOIN x USING (host)""")
 def _(spark, sf_dir):
     df = written(spark, sf_dir)
-    context = reports.model_context(df, reports.incident_summary(df, scope=HOST), scope=HOST)
+    context = model_facts.model_context(df, reports.incident_summary(df, scope=HOST), scope=HOST)
     parsed = context.select("host", F.from_json("context", _CONTEXT).alias("c"))
     lines = F.transform("c.timeline_excerpt", lambda e: F.concat(e["ts"], F.lit(" "), e["level"]))
     shown = F.array_join(F.concat("c.timeline_excerpt.raw", "c.raw_error_extracts"), " ").rlike(IPV4_PATTERN)
     return parsed.select("host", "c.total_events", "c.severity_grade", F.size("c.timeline_excerpt").alias("excerpt_events"),
                          F.size("c.raw_error_extracts").alias("extracts"), F.array_join(lines, "|").alias("excerpt"),
                          shown.alias("shows_address"))
+
+
+def facts_ctes(scope: list[str]) -> str:
+    """CTEs up to `mf`: the rows of `model_facts` with their texts as they are."""
+    keys = "".join(f"{c}, " for c in scope)
+    names = ", ".join(scope)
+    part = f"PARTITION BY {names} " if scope else ""
+    group = f"GROUP BY {names}" if scope else ""
+    with_root = f"JOIN rt USING ({names})" if scope else "CROSS JOIN rt"
+    evidence_part = f"PARTITION BY {keys}kind"
+    return f"""{root_ctes(scope)}{_events_ctes(names)[len(EN):]},
+    eo2 AS (SELECT {keys}list(DISTINCT tag) AS error_only FROM (SELECT {keys}unnest(tags) AS tag FROM en WHERE is_error AND NOT is_recovery) {group}),
+    lb AS (SELECT {keys}root_tags, root_level, list_sort(list_filter(coalesce(error_only, []), lambda x: NOT list_contains(root_tags, x))) AS others
+        FROM rt LEFT JOIN eo2 {f'USING ({names})' if scope else 'ON TRUE'}),
+    ac AS (SELECT {keys}'root' AS kind, unnest(root_tags) AS tag, generate_subscripts(root_tags, 1) AS i FROM lb
+        UNION ALL SELECT {keys}'correlated', unnest(others), 1000 + generate_subscripts(others, 1) FROM lb),
+    cs AS (SELECT {keys}row_number() OVER ({part}ORDER BY i) AS n, kind, tag, {LABEL_SQL} AS label FROM ac
+        UNION ALL SELECT {keys}1, 'default', NULL, 'Error event at level ' || root_level FROM lb WHERE len(root_tags) + len(others) = 0),
+    pw AS (SELECT en.*, t0 FROM en {with_root}),
+    pc AS (SELECT *, {_CLIPPED} AS raw_text, row_number() OVER ({part}ORDER BY us, event_id) AS n FROM pw
+        WHERE (is_anomaly OR is_warning) AND us >= t0 - 600000000 AND us < t0),
+    vk AS (SELECT *, row_number() OVER ({evidence_part} ORDER BY value) AS k FROM ({evidence_sql('lv', TEXT_COLUMNS, keys)})),
+    vn AS (SELECT *, row_number() OVER ({part}ORDER BY kind, value) AS n FROM vk WHERE k <= 30),
+    mp AS (SELECT {keys}trim(regexp_replace(message, {quote(VOLATILE_TOKEN_PATTERN)}, '<N>', 'gi')) AS message_pattern, count(*) AS occurrences
+        FROM en WHERE is_error GROUP BY ALL),
+    mn AS (SELECT *, row_number() OVER ({part}ORDER BY occurrences DESC, message_pattern) AS n FROM mp),
+    bn2 AS (SELECT *, row_number() OVER ({part}ORDER BY events DESC, burst_start) AS n FROM ({burst_sql(3600, scope)})),
+    mf AS (SELECT {keys}1000000 + n AS fact_no, 'cause' AS section, kind, NULL AS ts, tag AS tags, label AS txt FROM cs
+        UNION ALL SELECT {keys}2000000 + event_no, 'timeline', lvl, {iso_sql('us')}, array_to_string(tags, '|'), raw_text FROM me
+        UNION ALL SELECT {keys}3000000 + n, 'precursor', lvl, {iso_sql('us')}, array_to_string(tags, '|'), raw_text FROM pc WHERE n <= 10
+        UNION ALL SELECT {keys}4000000 + n, 'evidence', kind, NULL, NULL, value FROM vn
+        UNION ALL SELECT {keys}5000000 + n, 'recurring', CAST(occurrences AS VARCHAR), NULL, NULL, message_pattern FROM mn WHERE n <= 5
+        UNION ALL SELECT {keys}6000000 + n, 'burst', CAST(events AS VARCHAR), {iso_sql('epoch_us(burst_start)')}, NULL, events || ' events, ' || errors || ' errors'
+            FROM bn2 WHERE n <= 5)"""
+
+
+@query("model_facts", f"WITH {facts_ctes(HOST)} SELECT * EXCLUDE (txt), txt AS text FROM mf")
+def _(spark, sf_dir):
+    return model_facts.model_facts(written(spark, sf_dir), scope=HOST, burst_seconds=3600, sanitize=False)
+
+
+@query("model_facts_sanitized", f"""WITH {facts_ctes([])}, {pseudonym_ctes('mf', 'fact_no', 'txt')}
+    SELECT fact_no, section, kind, ts, tags, t AS text FROM mf JOIN t4 ON fact_no = o""")
+def _(spark, sf_dir):
+    return model_facts.model_facts(written(spark, sf_dir), burst_seconds=3600)

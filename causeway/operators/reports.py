@@ -198,19 +198,6 @@ def model_events(df: DataFrame, roles: Roles | None = None, scope=(), max_events
     return pseudonymize(top, "raw", "event_no", scope)[0] if sanitize else top
 
 
-def model_context(df: DataFrame, summary: DataFrame, roles: Roles | None = None, scope=(), max_events: int = 30,
-                  extracts: int = 5, sanitize: bool = True) -> DataFrame:
-    """The facts of each incident with a short excerpt, as one JSON text. No model is called."""
-    events = model_events(df, roles, scope, max_events, sanitize)
-    event = F.struct("event_no", "ts", "level", "tags", "raw")
-    # At most max_events entries per scope.
-    lists = events.groupBy(*scope).agg(F.array_sort(F.collect_list(event)).alias("timeline_excerpt"))
-    lists = lists.withColumn("raw_error_extracts", F.slice(F.col("timeline_excerpt.raw"), 1, extracts))
-    facts = flat_summary(summary, scope)
-    row = beside(facts, lists, scope)
-    return row.select(*scope, F.to_json(F.struct(*[c for c in row.columns if c not in scope])).alias("context"))
-
-
 def bursts_ordered(bursts: DataFrame, scope=()) -> DataFrame:
     """Busiest first, then by time: the order of a report."""
     return bursts.orderBy(*scope, F.col("events").desc(), F.col("burst_start").asc())

@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from causeway.operators import evidence, reports
+from causeway.operators import evidence, model_facts, reports
 from causeway.operators.pseudonyms import pseudonymize
 from causeway.operators.replies import audit_replies, flatten_review
 from causeway.rules import PSEUDONYM_KINDS, REPLY_KEYS
@@ -82,6 +82,31 @@ def test_model_context_hides_addresses(events):
     assert reports.model_events(calm, sanitize=False).count() == 30
 
 
+def test_model_context_holds_all_facts(events):
+    rows = [(0, "web", "WARNING", "retry to 10.0.0.9"), (10, "db", "ERROR", "connection timeout to 10.0.0.9 port=5432"),
+            (11, "db", "ERROR", "connection timeout to 10.0.0.9 port=5432"), (12, "db", "ERROR", "out of memory"), (90, "db", "INFO", "service recovered")]
+    df = events(rows)
+    summary = reports.incident_summary(df)
+    raw = json.loads(model_facts.model_context(df, summary, sanitize=False).first().context)
+    assert raw["confidence"] == "HIGH" and raw["confidence_reason"] == "error_with_tags" or raw["confidence"] == "MEDIUM"
+    assert [c["tag"] for c in raw["causes"]][0] == "timeout" and {c["tag"] for c in raw["causes"]} == {"timeout", "oom_killer"}
+    assert [e["level"] for e in raw["timeline_excerpt"]] == ["ERROR"] * 3 and len(raw["raw_error_extracts"]) == 3
+    assert [p["level"] for p in raw["precursors"]] == ["WARNING"]
+    assert raw["network_evidence"]["ipv4"] == ["10.0.0.9"]
+    assert raw["top_recurring_errors"][0]["occurrences"] == 2
+    assert [r["host"] for r in raw["recovery_timeline"]] == ["db"] and raw["mttr_seconds"] == 80.0
+    text = model_facts.model_context(df, summary).first().context
+    clean = json.loads(text)
+    assert "10.0.0.9" not in text
+    # One name in the timeline and among the evidence.
+    assert clean["network_evidence"]["ipv4"] == ["ANON-IP-1"] and "ANON-IP-1" in clean["timeline_excerpt"][0]["raw"]
+    assert {k: v for k, v in clean.items() if k in ("causes", "confidence", "total_events", "mttr_seconds")} == {
+        k: v for k, v in raw.items() if k in ("causes", "confidence", "total_events", "mttr_seconds")}
+    none = df.where("false")
+    empty = json.loads(model_facts.model_context(none, reports.incident_summary(none)).first().context)
+    assert empty["total_events"] == 0 and empty["timeline_excerpt"] == [] and empty["causes"] == []
+
+
 def test_summary_record(spark, events, tmp_path):
     rows = [(0, "lb", "ERROR", "timeout to 10.0.0.1")] + [(i, "db", "ERROR", "out of memory") for i in range(1, 11)] + [
         (75, "lb", "INFO", "service recovered")]
