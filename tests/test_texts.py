@@ -88,7 +88,7 @@ def test_model_context_holds_all_facts(events):
     df = events(rows)
     summary = reports.incident_summary(df)
     raw = json.loads(model_facts.model_context(df, summary, sanitize=False).first().context)
-    assert raw["confidence"] == "HIGH" and raw["confidence_reason"] == "error_with_tags" or raw["confidence"] == "MEDIUM"
+    assert (raw["confidence"], raw["confidence_reason"]) == ("MEDIUM", "error_with_tags")
     assert [c["tag"] for c in raw["causes"]][0] == "timeout" and {c["tag"] for c in raw["causes"]} == {"timeout", "oom_killer"}
     assert [e["level"] for e in raw["timeline_excerpt"]] == ["ERROR"] * 3 and len(raw["raw_error_extracts"]) == 3
     assert [p["level"] for p in raw["precursors"]] == ["WARNING"]
