@@ -98,3 +98,18 @@ def test_time_range_includes_both_ends(events):
     df = events([(0, "a", "INFO", "x"), (1, "a", "INFO", "x"), (2, "a", "INFO", "x"), (None, "a", "INFO", "x")])
     got = enrich.time_range(df, "timestamp", "2024-03-15 08:00:00", "2024-03-15 08:00:01")
     assert got.count() == 2 and enrich.time_range(df, "timestamp", until="2024-03-16").count() == 3
+
+
+def test_short_durations_before_the_base_are_cut_towards_zero(spark, tmp_path):
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+
+    # 999,999,001 and 1,000,000,000 microseconds before 2024-01-11 19:06:40, and as long after it.
+    con, path = duckdb.connect(), f"{tmp_path}/events.parquet"
+    con.execute(f"""COPY (SELECT i AS event_id, make_timestamp(1705000000000000 + gap) AS ts, 7 AS user_id, 'view' AS event_type, '{{"k": 1}}' AS props
+        FROM (VALUES (1, -999999001), (2, -1000000000), (3, 999999001), (4, -1)) AS t(i, gap)) TO '{path}' (FORMAT parquet)""")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}'")
+    got = queries()["format_duration"](spark, str(tmp_path)).select("event_id", "duration", "short").orderBy("event_id").collect()
+    assert [tuple(r) for r in got] == sorted(con.execute(oracle_sql()["format_duration"]).fetchall())
+    assert [r.short for r in got] == ["0s", "1s", "0s", "0s"]
