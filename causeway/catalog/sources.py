@@ -99,14 +99,15 @@ def _(spark, sf_dir):
 @query("detect_encoding", """SELECT lang, 'written as utf-8' AS written, 'utf-8' AS encoding FROM documents GROUP BY lang
     UNION ALL SELECT lang, 'written as latin-1', CASE WHEN bool_or(regexp_matches(text, '[\\x{80}-\\x{ff}]')) THEN 'latin-1' ELSE 'utf-8' END FROM documents GROUP BY lang""")
 def _(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("lang", "text").repartition("lang")
+    # Each task writes its own files of the languages it meets; a folder is one source.
+    docs = table(spark, sf_dir, "documents").select("lang", "text")
+    folder = F.regexp_extract("_metadata.file_path", "lang=([^/]+)/", 1)
     out = []
     for encoding, spark_name in (("utf-8", "UTF-8"), ("latin-1", "ISO-8859-1")):
         path = shared_dir(spark, f"encoding-{encoding}")
         docs.write.partitionBy("lang").option("encoding", spark_name).csv(path)
-        found = files.detect_encoding(spark, path)
-        out.append(found.select(F.regexp_extract("file", "lang=([^/]+)/", 1).alias("lang"),
-                                F.lit(f"written as {encoding}").alias("written"), "encoding"))
+        found = files.detect_encoding(spark, path, source=folder)
+        out.append(found.select(F.col("file").alias("lang"), F.lit(f"written as {encoding}").alias("written"), "encoding"))
     return out[0].unionByName(out[1])
 
 

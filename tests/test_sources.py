@@ -155,6 +155,27 @@ def test_encoding_order(spark, tmp_path, requested, data, want):
     assert files.detect_encoding(spark, str(tmp_path), requested).first().encoding == want
 
 
+def test_encoding_of_a_source_of_many_files(spark, tmp_path):
+    for folder, data in (("a", ["x".encode(), "é".encode("latin-1")]), ("b", ["x".encode(), "é".encode()])):
+        (tmp_path / folder).mkdir()
+        for i, d in enumerate(data):
+            (tmp_path / folder / f"{i}").write_bytes(d + b"\n")
+    folder = F.regexp_extract("_metadata.file_path", "/([^/]+)/[^/]+$", 1)
+    found = files.detect_encoding(spark, f"{tmp_path}/*", source=folder).collect()
+    assert {(r.file, r.encoding) for r in found} == {("a", "latin-1"), ("b", "utf-8")}
+
+
+def test_no_language_is_written_by_one_task(spark, tmp_path, monkeypatch):
+    from __spark_entry__ import queries
+
+    spark.range(400).selectExpr("id AS doc_id", "IF(id = 7, 'é', 'plain') AS text", "'en' AS lang").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr("causeway.catalog.sources.shared_dir", lambda spark, purpose: f"{tmp_path}/shared/{purpose}")
+    rows = queries()["detect_encoding"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in rows} == {("en", "written as utf-8", "utf-8"), ("en", "written as latin-1", "latin-1")} and len(rows) == 2
+    for written in (tmp_path / "shared").iterdir():
+        assert len(list((written / "lang=en").glob("part-*"))) == 4
+
+
 def test_file_fingerprint_is_that_of_the_bytes(spark, tmp_path):
     import hashlib
     (tmp_path / "f").write_bytes(b"abc")
