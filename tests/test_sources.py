@@ -207,6 +207,19 @@ def test_formats(spark, texts, kind, want):
     assert got == want
 
 
+def test_every_format_is_voted_for_in_tasks_of_bounded_rows(spark, tmp_path):
+    from causeway.catalog.scalars import _RENDERED, timestamp_strings
+
+    times = spark.range(600_001).selectExpr("id AS event_id", "timestamp_micros(1704067211172425 + id) AS ts")
+    times.write.parquet(f"{tmp_path}/events.parquet")
+    strings = timestamp_strings(spark, str(tmp_path))
+    assert strings.rdd.getNumPartitions() == 7
+    few = strings.where("event_id < 3")
+    assert {c: f.kind for c, f in choose_formats(few, few.columns[1:], 2024).items()} == {
+        **{n: n for n, _, _ in _RENDERED}, "epoch_seconds": "seconds", "epoch_millis": "millis"}
+    assert choose_formats(strings.where("event_id < 0"), ["iso"], 2024)["iso"].kind == "inferred"
+
+
 def test_other_formats_become_null_unless_read_per_row(spark):
     rows = [(0, "2024-03-15 08:00:00"), (1, "2024-03-15 08:00:01"), (2, "15-03-2024 08:00:00")]
     df = spark.createDataFrame(rows, "n long, t string")
