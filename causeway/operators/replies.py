@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,32 +47,39 @@ def _repair(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(t) for t in texts], columns=["body", "keys", "kind"])
 
 
+def _apart(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are not copied into later filters or projections (see `compute_once`)."""
+    return df.select("*", F.inline(F.array(F.struct(*[value.alias(name) for name, value in columns.items()]))))
+
+
 def audit_replies(df: DataFrame, text: str) -> DataFrame:
     """Status, reason, missing keys and the usable JSON text of every reply.
 
     Plain objects are recognised natively. Python gets the texts of the other replies alone and looks for the
     object in them; plain ones pass it as nulls, since splitting the table in two would parse every reply twice.
+    A filter on the status stays above all this: pushed down, it would read every reply, and make it, many times.
     """
-    c = F.col(text)
+    kept = df.columns
+    df = _apart(df, _text=F.col(f"`{text}`"))
+    c = F.col("_text")
     # Strict JSON with nothing around it: as the only element of an array it must still parse.
     listed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
-    whole = (listed.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
-             & F.json_object_keys(c).isNotNull())
-    df = df.withColumn("_whole", F.coalesce(whole, F.lit(False)))
+    df = _apart(df, _listed=listed, _own=F.json_object_keys(c))
+    whole = (F.col("_listed").isNotNull() & F.try_variant_get("_listed", "$[1]", "variant").isNull()
+             & F.col("_own").isNotNull())
+    df = _apart(df, _whole=F.coalesce(whole, F.lit(False))).drop("_listed")
     df = df.withColumn("_fix", _repair(F.when(~F.col("_whole") & (c != ""), c)))
-    body = F.when(F.col("_whole"), c).otherwise(F.col("_fix.body"))
-    keys = F.when(F.col("_whole"), F.json_object_keys(c)).otherwise(F.col("_fix.keys"))
+    keys = F.when(F.col("_whole"), F.col("_own")).otherwise(F.col("_fix.keys"))
     required = F.array(*[F.lit(k) for k in REPLY_KEYS])
-    df = df.withColumns({"_body": body, "_keys": keys})
-    missing = F.array_except(required, F.coalesce("_keys", F.array().cast("array<string>")))
-    reason = (F.when(F.coalesce(c, F.lit("")) == "", "empty")
-              .when(F.col("_fix.kind") == "unreadable", "unreadable")
-              .when(F.size(missing) > 0, "missing_keys"))
-    out = df.withColumns({"reason": reason, "missing_keys": missing})
-    return out.withColumns({
-        "status": F.when(F.col("reason").isNull(), "ok").otherwise("error"),
-        "analysis": F.when(F.col("reason").isNull(), F.col("_body")),
-    }).drop("_whole", "_fix", "_body", "_keys")
+    df = _apart(df, missing_keys=F.array_except(required, F.coalesce(keys, F.array().cast("array<string>"))))
+    df = _apart(df, reason=F.when(F.coalesce(c, F.lit("")) == "", "empty")
+                .when(F.col("_fix.kind") == "unreadable", "unreadable")
+                .when(F.size("missing_keys") > 0, "missing_keys"))
+    body = F.when(F.col("_whole"), c).otherwise(F.col("_fix.body"))
+    return df.select(
+        *[F.col(f"`{name}`") for name in kept], "reason", "missing_keys",
+        F.when(F.col("reason").isNull(), "ok").otherwise("error").alias("status"),
+        F.when(F.col("reason").isNull(), body).alias("analysis"))
 
 
 def flatten_review(audited: DataFrame, keys: list[str]) -> DataFrame:

@@ -72,6 +72,14 @@ def test_review_items(spark):
         ("evidenze_deboli", 1, "evidenze_deboli"), ("evidenze_mancanti", 1, "evidenze_mancanti")}
 
 
+def test_replies_are_read_once(spark):
+    from causeway.catalog.texts import model_replies
+
+    rows = flatten_review(audit_replies(model_replies(spark, "/root/testdata/sf0.001"), "reply"), ["reply_id"])
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == plan.count("parseJson") == plan.count("ArrowEvalPython") == 1
+
+
 def test_model_context_hides_addresses(events):
     df = events([(0, "web01", "INFO", "ok login 10.0.0.5"), (10, "db01", "ERROR", "connection timeout to 10.0.0.9:5432")])
     clean = reports.model_events(df).collect()
