@@ -39,6 +39,23 @@ def test_pseudonyms_number_by_first_appearance(spark):
     assert left == []
 
 
+def test_values_are_found_once_per_kind(spark, monkeypatch):
+    from causeway.operators import pseudonyms
+
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "n long, t string")
+    plans, write = [], pseudonyms.materialize
+
+    def seen(df, purpose):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, purpose)
+
+    monkeypatch.setattr(pseudonyms, "materialize", seen)
+    out, _ = pseudonymize(df, "t", "n")
+    plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+    # Written with the text of each kind, and taken from there by the numbers and the replacement.
+    assert sum(p.count("regexp_extract_all") for p in plans) == len(PSEUDONYM_KINDS)
+
+
 def test_pseudonyms_restart_per_scope(spark):
     df = spark.createDataFrame([("x", 1, "10.0.0.1"), ("y", 2, "10.0.0.2 10.0.0.1")], "s string, n long, t string")
     out, _ = pseudonymize(df, "t", "n", ["s"])
