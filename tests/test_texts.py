@@ -107,6 +107,18 @@ def test_model_context_hides_addresses(events):
     assert reports.model_events(calm, sanitize=False).count() == 30
 
 
+def test_model_context_searches_evidence_once(events, monkeypatch):
+    df = events([(0, "web01", "INFO", "ok login 10.0.0.5"), (10, "db01", "ERROR", "connection timeout to 10.0.0.9 port=5432 by fe80::1:2")])
+    made, real = [], evidence.network_evidence
+    monkeypatch.setattr(evidence, "network_evidence", lambda *args, **kw: made.append(args) or real(*args, **kw))
+    text = model_facts.model_context(df, reports.incident_summary(df), sanitize=False).first().context
+    assert len(made) == 1
+    assert json.loads(text)["network_evidence"] == {
+        "ipv4": ["10.0.0.5", "10.0.0.9"], "ipv6": ["::1:2"], "port": ["port=5432"], "timeout": ["timeout"]}
+    plan = evidence.evidence_summary(real(df), shown=None)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_model_context_holds_all_facts(events):
     rows = [(0, "web", "WARNING", "retry to 10.0.0.9"), (10, "db", "ERROR", "connection timeout to 10.0.0.9 port=5432"),
             (11, "db", "ERROR", "connection timeout to 10.0.0.9 port=5432"), (12, "db", "ERROR", "out of memory"), (90, "db", "INFO", "service recovered")]
