@@ -14,11 +14,12 @@ are one node; the result is exact for the 64-bit shingle hashes.
    global order. Every set walks down the trie level by level; sets with a common beginning share its
    partial overlap, and a subtree is cut off as soon as the overlap so far and the shingles left in both
    cannot reach the bound.
-4. Clusters of several chunks. Their chunks' components first meet by one member each; then every
-   candidate pair of members of different components that can still reach the bound is compared, so that no
-   link is lost. Pairs within
-   a component are never made, and a large group of near copies costs a number of pairs in proportion to
-   the members outside its largest component.
+4. Clusters of several chunks. Chunks are dealt by the smallest shingle, which most near copies share. A
+   chunk's components then meet by one member each with the largest component of a shingle, and last every
+   candidate pair of members of different components that can still reach the bound is compared, so that
+   no link is lost. Candidates are found component by component and made once, not once per shared shingle.
+   Pairs within a component are never made, and a large group of near copies costs a number of pairs in
+   proportion to the members outside its largest component.
 """
 
 from __future__ import annotations
@@ -258,38 +259,73 @@ def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _trees(sets: DataFrame, placed: DataFrame) -> DataFrame:
-    """`doc_id, root` for sets `placed` (doc_id, n, cluster); a cluster over CHUNK_TOKENS is dealt to chunks by hash."""
-    sizes = placed.groupBy("cluster").agg(F.expr(f"sum(n) div {CHUNK_TOKENS} + 1").alias("chunks"))
-    dealt = placed.join(sizes, "cluster").select("doc_id", "cluster", F.pmod(F.xxhash64("doc_id"), "chunks").alias("chunk")).distinct()
+    """`doc_id, root` for sets `placed` (doc_id, n, first, cluster).
+
+    A cluster over CHUNK_TOKENS is dealt to chunks by its sets' `first` shingles, so that most near copies
+    meet in one; where sets of one first shingle alone are over it, these are dealt by document as well.
+    """
+    parts = F.expr(f"sum(n) div {CHUNK_TOKENS} + 1")
+    sizes = placed.groupBy("cluster").agg(parts.alias("chunks"))
+    crowds = placed.groupBy("cluster", "first").agg(parts.alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1)))
+    dealt = (placed.join(sizes, "cluster").join(crowds, ["cluster", "first"], "left")
+             .select("doc_id", "cluster", F.pmod(F.xxhash64("first", part), "chunks").alias("chunk")).distinct())
     sorted_ = sets.select("doc_id", "shingles").join(dealt, "doc_id").repartition("cluster", "chunk") \
         .sortWithinPartitions("cluster", "chunk", "doc_id")
     return sorted_.select("cluster", "chunk", "doc_id", "shingles").mapInArrow(_tree_rows, "doc_id long, root long")
 
 
-def _across(sets: DataFrame, rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """Links `a, b` between different components: every candidate pair that can reach the bound is compared.
+SIZED = "4 * least(na, nb) >= 3 * greatest(na, nb)"
+# Let c be the number of shingles that the first ones of both sets share, and r the number of a set's other
+# shingles, ceil(3n/4) - 1. Of the two, the set whose first shingles end earlier shares at most c + r with the other.
+IN_REACH = "7 * (c + (3 * greatest(na, nb) + 3) div 4 - 1) >= 3 * (na + nb)"
+# The least that IN_REACH and SIZED ask of any two sets whose sizes lie between low and high.
+ANY_IN_REACH = "28 * c >= greatest(12 * least(lowa, lowb) - 9 * greatest(higha, highb), 0) + 7"
 
-    Let c be the number of shingles that the first ones of both sets share, and r the number of a set's other
-    shingles. Of the two, the set whose first shingles end earlier shares at most c + r with the other.
-    """
-    placed = rows.join(comps, "doc_id")
-    per = placed.groupBy("key", "component").count()
-    main = per.groupBy("key").agg(F.max(F.struct("count", F.negative("component").alias("c"))).alias("top"), F.count("*").alias("k"))
-    mixed = placed.join(main.where("k > 1").select("key", F.negative(F.col("top.c")).alias("main")), "key")
-    side = lambda c: [F.col(x).alias(f"{y}{c}") for x, y in (("doc_id", ""), ("component", "c"), ("n", "n"))]
-    odd = mixed.where("component != main").select("key", *side("a"))
-    # Per key a pair comes once: a member of the main component is always on the right.
-    pairs = odd.join(mixed.select("key", "main", *side("b")), "key").where(
-        "ca != cb and (cb = main or a < b) and 4 * least(na, nb) >= 3 * greatest(na, nb)")
-    shared = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("na", "nb").alias("low"),
-                           F.greatest("na", "nb").alias("high")).agg(F.count("*").alias("c"))
-    # ceil(3n/4) - 1 shingles are not among the first ones.
-    pairs = shared.where("7 * (c + (3 * high + 3) div 4 - 1) >= 3 * (low + high)").select("a", "b").distinct()
+
+def _linked(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs `a, b` that link, by their whole sets."""
     of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}"))
-    met = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("o", F.size(F.array_intersect("sa", "sb")))
+    met = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").withColumn("o", F.size(F.array_intersect("sa", "sb")))
     return met.where(4 * F.col("o") >= 3 * (F.size("sa") + F.size("sb") - F.col("o"))).select("a", "b")
 
 
+def _stars(sets: DataFrame, per: DataFrame) -> DataFrame:
+    """Links `a, b` of one member of each component with one member of the largest component of a key."""
+    top = per.groupBy("key").agg(F.max(F.struct("members", F.negative("component").alias("c"), "one")).alias("top"))
+    met = per.join(top, "key").where("component != -top.c").select(
+        F.col("one.doc_id").alias("a"), F.col("one.n").alias("na"), F.col("top.one.doc_id").alias("b"), F.col("top.one.n").alias("nb"))
+    # A pair that fails here only for shingles counted for others is found by `_across`.
+    return _linked(sets, met.where(SIZED).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where(IN_REACH))
+
+
+def _by_component(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """The components of each key that has two at least: how many members, their sizes and one of them."""
+    per = rows.join(comps, "doc_id").groupBy("key", "component").agg(
+        F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"), F.min(F.struct("doc_id", "n")).alias("one"))
+    return per.join(per.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "key")
+
+
+def _candidates(per: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs `a, b` of members of different components that can reach the bound, each once.
+
+    Keys are met component by component: two sets share no more first shingles than their components do.
+    """
+    side = lambda c: per.select("key", *[F.col(x).alias(f"{x}{c}") for x in ("component", "low", "high")])
+    met = side("a").join(side("b"), "key").where("componenta < componentb and 4 * higha >= 3 * lowb and 4 * highb >= 3 * lowa")
+    both = met.groupBy("componenta", "componentb").agg(
+        F.count("*").alias("c"), *[f(x + y).alias(x + y) for f, x in ((F.min, "low"), (F.max, "high")) for y in "ab"])
+    # Sizes are those of a key's members; on the keys that two sets share they are among them.
+    of = lambda c: comps.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("component").alias(f"component{c}"))
+    pairs = both.where(ANY_IN_REACH).join(of("a"), "componenta").join(of("b"), "componentb")
+    return pairs.where(f"{SIZED} and {IN_REACH}").select("a", "b").distinct()
+
+
+def _across(sets: DataFrame, rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """Links `a, b` between different components: every candidate pair that can reach the bound is compared."""
+    return _linked(sets, _candidates(_by_component(rows, comps), comps))
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """`doc_id, n_shingles, component_id` of every row.
 
@@ -314,7 +350,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     shared = keep(shared_keys(sets.mapInArrow(_prefix_rows(frequent), KEYS))
                   .select("key", "owner", F.explode("docs").alias("doc_id")), "prefixes")
     clusters = components(shared.select(F.col("owner").alias("a"), F.col("doc_id").alias("b")).where("a != b").distinct())
-    light = sets.select("doc_id", "n").join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
+    light = keep(sets.select("doc_id", "n", F.element_at("shingles", 1).alias("first"))
+                 .join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id"), "light")
     roots = keep(_trees(sets, light), "roots")
     weights = light.groupBy("cluster").agg(F.sum("n").alias("w")).where(F.col("w") >= CHUNK_TOKENS)
     large = keep(light.select("doc_id", "n", "cluster").distinct().join(weights, "cluster").select("doc_id", "n"), "large")
@@ -322,14 +359,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     found = roots.select("doc_id", F.col("root").alias("component"))
     if not large.isEmpty():
         inner = roots.join(members, "doc_id")
-        leaders = light.join(inner.select(F.col("root").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        edges = inner.select(F.col("doc_id").alias("a"), F.col("root").alias("b")).unionByName(
-            _trees(sets, leaders).select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
-        edges = keep(edges.where("a != b"), "links")
+        across_rows = shared.select("key", "doc_id").join(members, "doc_id", "left_semi")
+        rooted = large.join(inner.groupBy("doc_id").agg(F.min("root").alias("component")), "doc_id")
+        stars = _stars(sets, _by_component(across_rows, rooted))
+        edges = keep(inner.select(F.col("doc_id").alias("a"), F.col("root").alias("b")).unionByName(stars).where("a != b"), "links")
         known = components(edges)
         comps = keep(large.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left")
                      .select("doc_id", "n", F.coalesce("component", "doc_id").alias("component")), "components")
-        across = _across(sets, shared.join(members, "doc_id", "left_semi"), comps)
+        across = _across(sets, across_rows, comps)
         merged = components(edges.unionByName(across))
         found = found.join(members, "doc_id", "left_anti").unionByName(
             merged.select(F.col("node").alias("doc_id"), "component"))

@@ -96,6 +96,29 @@ def test_jaccard_components(spark, odd, none, monkeypatch, chunk):
     assert jaccard.jaccard_components(none).collect() == []
 
 
+def test_jaccard_meets_a_large_group_once(spark, monkeypatch):
+    """Of a cluster over many chunks copies meet by one member each, and a candidate pair is made once."""
+    monkeypatch.setattr(jaccard, "CHUNK_TOKENS", 2000)
+    base = [f"w{k}" for k in range(60)]
+    copies = [(i, " ".join([*base[:-1], f"own{i}"]), "a") for i in range(80)]
+    # Half of these is the group's passage: no copies, but in its cluster.
+    halves = [(100 + i, " ".join([*base[:30], *[f"x{i}y{k}" for k in range(30)]]), "a") for i in range(40)]
+    seen = {}
+    across = jaccard._across
+
+    def spy(sets, rows, comps):
+        seen["components"] = comps.where("doc_id < 80").select("component").distinct().count()
+        placed = rows.join(comps, "doc_id")
+        seen["pairs"] = jaccard._candidates(jaccard._by_component(rows, comps), comps).count()
+        seen["placed"] = placed.count()
+        return across(sets, rows, comps)
+
+    monkeypatch.setattr(jaccard, "_across", spy)
+    got = jaccard.jaccard_components(spark.createDataFrame(copies + halves, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: 0 if i < 80 else i for i, _, _ in copies + halves}
+    assert seen["placed"] and seen["components"] == 1 and seen["pairs"] <= 120
+
+
 def test_substrings(odd, none):
     owner, words_of = {}, [(i, WORD.findall(t or "")) for i, t, _ in ROWS]
     for i, w in words_of:
