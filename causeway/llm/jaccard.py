@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.llm.common import (KEYS, U, keep, keep_by, keys_with_documents, run_hashes, shared_keys, signed, slices,
@@ -39,6 +39,7 @@ from causeway.llm.components import components
 SHINGLE = 5
 HINTS = 1 << 20
 CHUNK_TOKENS = 1 << 20
+CROWD = 8  # sets of one first shingle fill at most about this part of a chunk
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -262,11 +263,10 @@ def _trees(sets: DataFrame, placed: DataFrame) -> DataFrame:
     """`doc_id, root` for sets `placed` (doc_id, n, first, cluster).
 
     A cluster over CHUNK_TOKENS is dealt to chunks by its sets' `first` shingles, so that most near copies
-    meet in one; where sets of one first shingle alone are over it, these are dealt by document as well.
+    meet in one; where many sets have one first shingle, these are dealt by document as well.
     """
-    parts = F.expr(f"sum(n) div {CHUNK_TOKENS} + 1")
-    sizes = placed.groupBy("cluster").agg(parts.alias("chunks"))
-    crowds = placed.groupBy("cluster", "first").agg(parts.alias("parts")).where("parts > 1")
+    sizes = placed.groupBy("cluster").agg(F.expr(f"sum(n) div {CHUNK_TOKENS} + 1").alias("chunks"))
+    crowds = placed.groupBy("cluster", "first").agg(F.expr(f"{CROWD} * sum(n) div {CHUNK_TOKENS} + 1").alias("parts")).where("parts > 1")
     part = F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1)))
     dealt = (placed.join(sizes, "cluster").join(crowds, ["cluster", "first"], "left")
              .select("doc_id", "cluster", F.pmod(F.xxhash64("first", part), "chunks").alias("chunk")).distinct())
@@ -292,18 +292,29 @@ def _linked(sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _stars(sets: DataFrame, per: DataFrame) -> DataFrame:
     """Links `a, b` of one member of each component with one member of the largest component of a key."""
-    top = per.groupBy("key").agg(F.max(F.struct("members", F.negative("component").alias("c"), "one")).alias("top"))
-    met = per.join(top, "key").where("component != -top.c").select(
+    top = F.max(F.struct("members", F.negative("component").alias("c"), "one")).over(Window.partitionBy("key"))
+    met = per.withColumn("top", top).where("component != -top.c").select(
         F.col("one.doc_id").alias("a"), F.col("one.n").alias("na"), F.col("top.one.doc_id").alias("b"), F.col("top.one.n").alias("nb"))
     # A pair that fails here only for shingles counted for others is found by `_across`.
     return _linked(sets, met.where(SIZED).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where(IN_REACH))
 
 
+def _several(per: DataFrame) -> DataFrame:
+    """The rows of the keys that have two components at least; `per` is dealt by key, so this moves nothing."""
+    return per.withColumn("k", F.count("*").over(Window.partitionBy("key"))).where("k > 1").drop("k")
+
+
 def _by_component(rows: DataFrame, comps: DataFrame) -> DataFrame:
     """The components of each key that has two at least: how many members, their sizes and one of them."""
-    per = rows.join(comps, "doc_id").groupBy("key", "component").agg(
-        F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"), F.min(F.struct("doc_id", "n")).alias("one"))
-    return per.join(per.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "key")
+    return _several(rows.join(comps, "doc_id").repartition("key").groupBy("key", "component").agg(
+        F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"), F.min(F.struct("doc_id", "n")).alias("one")))
+
+
+def _merged(per: DataFrame, known: DataFrame) -> DataFrame:
+    """`per` after its components, named by a member, have become those of `known`."""
+    named = per.join(known.select(F.col("node").alias("component"), F.col("component").alias("of")), "component", "left")
+    return _several(named.withColumn("component", F.coalesce("of", "component")).repartition("key").groupBy("key", "component").agg(
+        F.sum("members").alias("members"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("one").alias("one")))
 
 
 def _candidates(per: DataFrame, comps: DataFrame) -> DataFrame:
@@ -321,9 +332,9 @@ def _candidates(per: DataFrame, comps: DataFrame) -> DataFrame:
     return pairs.where(f"{SIZED} and {IN_REACH}").select("a", "b").distinct()
 
 
-def _across(sets: DataFrame, rows: DataFrame, comps: DataFrame) -> DataFrame:
+def _across(sets: DataFrame, per: DataFrame, comps: DataFrame) -> DataFrame:
     """Links `a, b` between different components: every candidate pair that can reach the bound is compared."""
-    return _linked(sets, _candidates(_by_component(rows, comps), comps))
+    return _linked(sets, _candidates(per, comps))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -359,14 +370,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     found = roots.select("doc_id", F.col("root").alias("component"))
     if not large.isEmpty():
         inner = roots.join(members, "doc_id")
-        across_rows = shared.select("key", "doc_id").join(members, "doc_id", "left_semi")
         rooted = large.join(inner.groupBy("doc_id").agg(F.min("root").alias("component")), "doc_id")
-        stars = _stars(sets, _by_component(across_rows, rooted))
+        per = keep(_by_component(shared.select("key", "doc_id"), rooted), "met")
+        stars = _stars(sets, per)
         edges = keep(inner.select(F.col("doc_id").alias("a"), F.col("root").alias("b")).unionByName(stars).where("a != b"), "links")
         known = components(edges)
         comps = keep(large.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left")
                      .select("doc_id", "n", F.coalesce("component", "doc_id").alias("component")), "components")
-        across = _across(sets, across_rows, comps)
+        across = _across(sets, _merged(per, known), comps)
         merged = components(edges.unionByName(across))
         found = found.join(members, "doc_id", "left_anti").unionByName(
             merged.select(F.col("node").alias("doc_id"), "component"))
