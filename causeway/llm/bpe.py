@@ -209,12 +209,14 @@ def tokenizer(path: str) -> PairIndexBpe:
 def encode_texts(bpe: PairIndexBpe, texts: pa.Array) -> Iterator[tuple[bytes, str]]:
     """For each text its ids as little-endian 32-bit numbers and the decoded text."""
     flat, ends = words(filled(texts))
-    chunks = flat.to_pylist()
+    coded = flat.dictionary_encode()
+    chunks = coded.dictionary.to_pylist()
     known = bpe.known(chunks)
-    ends = ends.tolist()
+    found = [known[c] for c in chunks]  # once per distinct chunk; a word is then a number
+    at, ends = coded.indices.to_pylist(), ends.tolist()
     for a, b in zip(ends, ends[1:], strict=False):
-        found = [known[c] for c in chunks[a:b]]
-        yield b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[0]])
+        each = [found[i] for i in at[a:b]]
+        yield b"".join([x[0] for x in each]), " ".join([x[1] for x in each if x[0]])
 
 
 def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -57,6 +57,15 @@ def test_bpe_is_the_library(odd, none):
     assert bpe.encode(none, path).collect() == []
 
 
+def test_bpe_asks_for_each_chunk_of_a_slice_once(monkeypatch):
+    tokenizer, asked = bpe.tokenizer(P.path("word_bpe_49k.json")), []
+    known = tokenizer.known
+    monkeypatch.setattr(tokenizer, "known", lambda chunks: (asked.extend(chunks), known(chunks))[1])
+    got = list(bpe.encode_texts(tokenizer, pa.array(["one two one", None, "", "two one"])))
+    assert sorted(asked) == ["one", "two"]
+    assert [t for _, t in got][1:3] == ["", ""] and len(got) == 4
+
+
 def sets_of(rows):
     out = {}
     for i, text, _ in rows:
